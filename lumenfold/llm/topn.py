@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lumenfold.operators.skew import hot_keys, lookup
@@ -25,7 +26,7 @@ from lumenfold.session import parallelism, stage
 FANOUT = 64
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def _double_words(x: pd.Series) -> pd.Series:
     raw = (x.to_numpy(np.float64, na_value=np.nan) + 0.0).view(np.uint64)
     code = np.where(raw >> np.uint64(63), ~raw, raw | np.uint64(1 << 63))
