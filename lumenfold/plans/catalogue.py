@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenfold.operators import compaction, drift
+from lumenfold.plans import results
 
-_MODULES = [compaction, drift]
+_MODULES = [compaction, drift, results]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
