@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenfold.operators import compaction, drift
-from lumenfold.plans import results
+from lumenfold.plans import features, results
 
-_MODULES = [compaction, drift, results]
+_MODULES = [compaction, drift, results, features]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,3 +18,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracles() -> dict[str, str]:
     return {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
+
+
+flagship = features.flagship
