@@ -207,7 +207,8 @@ def candidates(vectors: DataFrame, model: dict, k: int, min_cosine: float, hot_r
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     queries = dealt.withColumn("i", block).withColumn("j", every).groupBy("part", "hot", "i", "j")
-    rows = dealt.withColumn("j", block).withColumn("i", every).groupBy("part", "hot", "i", "j")
+    again = dealt.select(*[F.col(c).alias(c) for c in dealt.columns])
+    rows = again.withColumn("j", block).withColumn("i", every).groupBy("part", "hot", "i", "j")
     hot_pairs = queries.cogroup(rows).applyInArrow(_best_in_block(k, min_cosine), "id_a long, id_b long")
     return pairs.unionByName(hot_pairs).distinct()
 
