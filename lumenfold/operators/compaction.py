@@ -129,33 +129,37 @@ def with_ranges(coded: DataFrame, ranges: Ranges, identity: Column) -> DataFrame
 
 @dataclass(frozen=True)
 class Clustered:
-    """rows: every source row with _code, _file, _key (what equal records share, null: nothing) and _repeat; n_files: the output files."""
+    """rows: every source row as _row, with _code, _file, _key (what equal records share, null: nothing) and _repeat; n_files: the output files."""
 
     rows: DataFrame
     n_files: int
 
 
-def cluster(rows: DataFrame, folder: Column, content: Column, place: Column, order: list[Column], identity: str, weight: Column, target_bytes: int = TARGET_BYTES) -> Clustered:
-    """Assign rows to balanced output files along the curve and mark those that repeat an earlier one.
+def cluster(rows: DataFrame, columns: list[str], folder: Column, content: Column, place: Column, order: list[Column], identity: str, weight: Column, target_bytes: int = TARGET_BYTES) -> Clustered:
+    """Assign rows (of which columns are carried along) to balanced output files along the curve and mark those that repeat an earlier one.
 
     Two rows repeat each other if content and place are equal and not null; the first by order (then identity) is the original.
     """
-    rows = rows.withColumns({
-        "_key": F.when(content.isNotNull() & place.isNotNull(), F.struct(content.alias("c"), place.alias("p"))),
-        "_weight": F.greatest(F.coalesce(weight.cast("long"), F.lit(1)), F.lit(1)),
-    })
-    mask = (1 << AXIS_BITS) - 1
-    axis = lambda c: F.xxhash64(c).bitwiseAND(F.lit(mask))
-    coded = rows.withColumn("_code", _hilbert(axis(folder), axis(content)))
+    axis = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << AXIS_BITS) - 1))
+    # The row itself travels as one struct, so its columns cannot clash with those of the clustering.
+    rows = rows.select(
+        F.struct(*[F.col(c) for c in columns]).alias("_row"),
+        F.when(content.isNotNull() & place.isNotNull(), F.struct(content.alias("c"), place.alias("p"))).alias("_key"),
+        F.greatest(F.coalesce(weight.cast("long"), F.lit(1)), F.lit(1)).alias("_weight"),
+        F.struct(*[o.alias(f"o{i}") for i, o in enumerate([*order, F.col(identity)])]).alias("_order"),
+        axis(folder).alias("_x"),
+        axis(content).alias("_y"),
+    )
+    coded = rows.withColumn("_code", _hilbert("_x", "_y")).drop("_x", "_y")
     ranges = plan_ranges(coded, "_weight", target_bytes)
-    placed = with_ranges(coded, ranges, F.col(identity)).withColumn("_order", F.struct(*[o.alias(f"o{i}") for i, o in enumerate([*order, F.col(identity)])]))
+    placed = with_ranges(coded, ranges, F.col("_order"))
     placed = placed.repartitionById(ranges.n_files, "_file")
     nth = F.row_number().over(Window.partitionBy("_file", "_key").orderBy("_order"))
     placed = placed.withColumn("_repeat", F.col("_key").isNotNull() & (nth > 1))
     if ranges.split:
         # A code heavier than a file: its copies lie in several files, so the first of each key is aggregated over all of them.
         firsts = placed.filter(F.col("_split") & F.col("_key").isNotNull()).groupBy("_key").agg(F.min("_order").alias("_first"))
-        placed = placed.join(firsts, "_key", "left").withColumn("_repeat", F.when(F.col("_first").isNotNull(), F.col("_order") != F.col("_first")).otherwise(F.col("_repeat"))).drop("_first")
+        placed = placed.join(firsts, "_key", "left").withColumn("_repeat", F.when(F.col("_first").isNotNull(), (F.col("_order") != F.col("_first")) | F.col("_repeat")).otherwise(F.col("_repeat"))).drop("_first")
     return Clustered(placed, ranges.n_files)
 
 
@@ -168,8 +172,8 @@ def digest(columns: list[str]) -> list[Column]:
 def write_files(clustered: Clustered, columns: list[str], path: str) -> None:
     """Write the rows that repeat nothing as one file per range, each ordered along the curve."""
     kept = clustered.rows.filter(~F.col("_repeat"))
-    kept = kept.repartitionById(clustered.n_files, "_file").sortWithinPartitions("_code", *columns[:1])
-    kept.select(*columns).write.option("maxRecordsPerFile", 0).parquet(path)
+    kept = kept.repartitionById(clustered.n_files, "_file").sortWithinPartitions("_code", "_order")
+    kept.select(*[F.col("_row")[c].alias(c) for c in columns]).write.option("maxRecordsPerFile", 0).parquet(path)
 
 
 def compact(clustered: Clustered, columns: list[str], path: str) -> DataFrame:
@@ -179,7 +183,8 @@ def compact(clustered: Clustered, columns: list[str], path: str) -> DataFrame:
     """
     spark = clustered.rows.sparkSession
     write_files(clustered, columns, path)
-    parts = [("source", clustered.rows), ("kept", spark.read.parquet(path)), ("repeat", clustered.rows.filter("_repeat"))]
+    rows = lambda df: df.select(*[F.col("_row")[c].alias(c) for c in columns])
+    parts = [("source", rows(clustered.rows)), ("kept", spark.read.parquet(path)), ("repeat", rows(clustered.rows.filter("_repeat")))]
     sums = None
     for name, df in parts:
         one = df.agg(*digest(columns)).select(*[F.col(c).alias(f"{name}_{c}") for c in ("n", "hash_sum", "hash_xor")])
@@ -201,12 +206,12 @@ def image_clusters(spark: SparkSession, sf_dir: str, table: str, target_bytes: i
     rows = records.join(arrivals, "file_id", "left").withColumn("_place", canonical_path(F.col(path)))
     late = F.coalesce(F.col("_arrived"), F.lit("9999-12-31").cast(arrivals.schema["_arrived"].dataType))
     folder = F.regexp_replace(F.col("_place"), r"[^/]*$", "")
-    return cluster(rows, folder, F.col("checksum"), F.col("_place"), [late, F.col("file_id"), F.col("row_no")], "rec_id", F.col("n_bytes"), target_bytes), records.columns
+    return cluster(rows, records.columns, folder, F.col("checksum"), F.col("_place"), [late, F.col("file_id"), F.col("row_no")], "rec_id", F.col("n_bytes"), target_bytes), records.columns
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(dataset, rec_id) of each image record that repeats an earlier one."""
-    parts = [image_clusters(spark, sf_dir, t)[0].rows.filter("_repeat").select(F.lit(t).alias("dataset"), "rec_id") for t in IMAGE_TABLES]
+    parts = [image_clusters(spark, sf_dir, t)[0].rows.filter("_repeat").select(F.lit(t).alias("dataset"), F.col("_row.rec_id").alias("rec_id")) for t in IMAGE_TABLES]
     return parts[0].unionByName(parts[1])
 
 
