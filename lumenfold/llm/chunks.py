@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.topn import label
+from lumenfold.functions.labels import label
 from lumenfold.llm.vectors import copies, cosines, matrix, usable, with_digest
 from lumenfold.operators.skew import hot_keys
 from lumenfold.session import parallelism, stage

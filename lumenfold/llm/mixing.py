@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.topn import label, order_words, select_top
+from lumenfold.functions.labels import label
+from lumenfold.llm.topn import order_words, select_top
 from lumenfold.session import stage
 
 #: Vocabulary file of ranks, and the folder that holds it.

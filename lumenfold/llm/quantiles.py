@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.topn import label, last_version
+from lumenfold.functions.labels import last_version, method_label
 from lumenfold.session import parallelism
 
 CODE_BITS = 24
@@ -211,11 +211,6 @@ def percentiles(merged: DataFrame, keys: list[str], qs: list[float] = QS) -> Dat
 METRICS = ["accuracy", "time_total"]
 
 
-def method_label(c: str) -> Column:
-    """A method's label without its dimensions in brackets, trimmed and in upper case."""
-    return F.upper(F.regexp_replace(F.regexp_replace(c, r"\([^)]*\)", ""), r"^[ \t\r\n]+|[ \t\r\n]+$", ""))
-
-
 def counted(df: DataFrame) -> DataFrame:
     """Runs with method in its one form and figures outside their range (sentinels such as -1) as null; failed runs at exactly 0.0 stay in."""
     return df.withColumns({"method": method_label("method"), "accuracy": F.when(F.col("accuracy").between(0, 100), F.col("accuracy")), "time_total": F.when(F.col("time_total") >= 0, F.col("time_total"))})

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from lumenfold.functions.labels import dataset_label, label, last_version
 from lumenfold.operators.skew import hot_keys, lookup
 from lumenfold.session import parallelism, stage
 
@@ -56,7 +57,9 @@ def select_top(df: DataFrame, keys: list[str], words: list[Column], n: Column, f
     """The rows of df with the n best word sequences of each group, exactly n where the group has as many. n: the same in all rows of a group."""
     spark = df.sparkSession
     names = [f"_w{i}" for i in range(len(words))]
-    rows = df.withColumns({"_g": F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0)), "_need": F.coalesce(n.cast("long"), F.lit(0)), **{k: w for k, w in zip(names, words, strict=True)}})
+    group = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0))
+    # The row itself travels as one struct, so its columns cannot clash with those of the bisection.
+    rows = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("_row"), group.alias("_g"), F.coalesce(n.cast("long"), F.lit(0)).alias("_need"), *[w.alias(k) for k, w in zip(names, words, strict=True)])
     active = stage(rows.filter("_need > 0"), "topn-rows")
     salt, kept, hot, first = F.struct(*names), [], None, True
     tasks = parallelism(spark)
@@ -83,7 +86,7 @@ def select_top(df: DataFrame, keys: list[str], words: list[Column], n: Column, f
             joined = lookup(active, cut.drop("n"), "_g", hot, salt).withColumn("_in", (F.col("_b") > F.col("cut_b")) | (F.col("done") & (F.col("_b") == F.col("cut_b"))))
             joined = joined.filter("_in OR (NOT done AND _b = cut_b)").withColumns({"_need": F.col("left"), "_lo": F.col("lo"), "_hi": F.col("hi")}).drop("left", "lo", "hi", "cut_b", "done")
             joined = stage(joined, "topn-round")
-            kept.append(joined.filter("_in").select(*df.columns))
+            kept.append(joined.filter("_in").select("_row.*"))
             active = joined.filter("NOT _in").withColumn("_open", F.col("_lo") < F.col("_hi")).drop("_in")
             state = active.agg(F.count(F.lit(1)), F.count_if("_open")).first()
             narrowed = True
@@ -94,7 +97,7 @@ def select_top(df: DataFrame, keys: list[str], words: list[Column], n: Column, f
     if narrowed and state[0]:
         # Left are rows that equal each other in every word: any of them will do.
         nth = F.row_number().over(Window.partitionBy("_g").orderBy(F.lit(0)))
-        kept.append(active.withColumn("_nth", nth).filter(F.col("_nth") <= F.col("_need")).select(*df.columns))
+        kept.append(active.withColumn("_nth", nth).filter(F.col("_nth") <= F.col("_need")).select("_row.*"))
     out = kept[0]
     for k in kept[1:]:
         out = out.unionByName(k)
@@ -110,23 +113,6 @@ def top_n(df: DataFrame, keys: list[str], order: list[tuple[str, bool]], n: int
     return rows.withColumn("rank_no", F.row_number().over(Window.partitionBy(*keys).orderBy(*by)))
 
 
-def label(c: str) -> Column:
-    """A label trimmed and in lower case."""
-    return F.lower(F.regexp_replace(F.col(c), r"^[ \t\r\n]+|[ \t\r\n]+$", ""))
-
-
-def dataset_label(c: str) -> Column:
-    """A dataset label in its one form: cifar and its subsets are cifar100."""
-    return F.regexp_replace(label(c), r"^cifar(_s.*)?$", "cifar100$1")
-
-
-def last_version(df: DataFrame, key: str, at: str) -> DataFrame:
-    """Of rows with equal key the one with the largest (at, other columns), aggregated map-side; a null key is a version of nothing and dropped."""
-    rest = [c for c in df.columns if c not in (key, at)]
-    last = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(at, *rest)).alias("v"))
-    return last.select(key, "v.*")
-
-
 def ranked_results(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     raw = spark.read.parquet(f"{sf_dir}/all_results.parquet").select("result_id", "ingested_at", "backbone", "dataset", "method", "accuracy_mean", "time_total", "status")
     good = (F.upper(F.regexp_replace("status", r"^[ \t\r\n]+|[ \t\r\n]+$", "")) == "OK") & F.col("accuracy_mean").between(0, 100) & ~F.isnan("accuracy_mean")
