@@ -225,15 +225,15 @@ def nearest(df: DataFrame, group: str, identity: str, vector: str, k: int, min_c
 
 
 def with_copies(rows: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """Neighbours of all rows (id, g, _same) from pairs of representatives: copies of a vector come first, those of its neighbours follow."""
+    """Neighbours of all rows (id, g, _same) from pairs of representatives: copies of a vector count as neighbours with a cosine of 1, those of its neighbours as the neighbours themselves."""
     members = rows.join(classes, ["g", "_same"]).select("id", "rep", "n")
     first = first_members(members, "rep", "id", k + 1)
     both = pairs.select(F.col("id_a").alias("rep"), F.col("id_b").alias("of"), "cosine").unionByName(pairs.select(F.col("id_b").alias("rep"), F.col("id_a").alias("of"), "cosine"))
-    itself = classes.filter("n > 1").select("rep", F.col("rep").alias("of"), F.lit(2.0).alias("cosine"))
+    itself = classes.filter("n > 1").select("rep", F.col("rep").alias("of"), F.lit(1.0).alias("cosine"))
     offers = both.unionByName(itself).join(first.withColumnRenamed("rep", "of"), "of").select("rep", F.round("cosine", 12).alias("c"), F.explode("first").alias("o"))
     nth = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("c"), "o"))
     # One row per representative with at most 2 k + 2 offers: enough for each of its copies.
-    best = offers.withColumn("_nth", nth).filter(F.col("_nth") <= 2 * k + 2).groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("_nth", F.least("c", F.lit(1.0)).alias("cosine"), F.col("o").alias("id")))).alias("offers"))
+    best = offers.withColumn("_nth", nth).filter(F.col("_nth") <= 2 * k + 2).groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("_nth", F.col("c").alias("cosine"), F.col("o").alias("id")))).alias("offers"))
     counts = classes.select("rep", "n")
     hot = hot_keys(counts, "rep", "n", parallelism(rows.sparkSession)).collect()
     hot_df = rows.sparkSession.createDataFrame(hot, counts.select("rep").schema) if hot else None
