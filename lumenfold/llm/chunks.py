@@ -25,12 +25,15 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.labels import label
 from lumenfold.llm.vectors import copies, cosines, matrix, usable, with_digest
-from lumenfold.operators.skew import hot_keys
+from lumenfold.operators.skew import frequent
 from lumenfold.session import parallelism, stage
 
-VIEWS = 8
+VIEWS = 10
 WINDOW = 5
-MIN, AVERAGE, MAX = 10, 6, 28
+MIN, AVERAGE, MAX = 12, 6, 30
+#: Least overlap of a pair that is measured: of two unrelated records one in about ten million shares so much, of pairs with a
+#: cosine of 0.985 all but one in two hundred do, of closer ones nearly all.
+MIN_OVERLAP = 0.05
 SEED = 11
 #: Vectors whose chunks are computed at a time.
 BLOCK = 8192
@@ -89,21 +92,19 @@ def chunks(df: DataFrame, group: str, vector: str, columns: list[str]) -> DataFr
     return chosen.mapInArrow(cut, schema)
 
 
-def overlaps(left: DataFrame, right: DataFrame, min_fraction: float = 0.0) -> DataFrame:
-    """(id_l, id_r, overlap) of records (columns id, digest, length, whole) that share chunks. Digests of many records on either side are salted."""
-    tasks = parallelism(left.sparkSession)
+def overlaps(left: DataFrame, right: DataFrame, hot: list[int], min_fraction: float = 0.0) -> DataFrame:
+    """(id_l, id_r, overlap) of records (columns id, digest, length, whole) that share at least min_fraction of the left one. hot: digests to be salted."""
     a = left.select(F.col("id").alias("id_l"), "digest", "length", "whole")
     b = right.select(F.col("id").alias("id_r"), "digest")
-    counts = a.select("digest").unionByName(b.select("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1000")
-    hot = [r[0] for r in hot_keys(counts, "digest", "n", tasks).collect()]  # at most twice as many as tasks
     if hot:
         # Of a hot digest, every left row meets every right row: left rows are dealt to salts, right rows are copied to each.
-        is_hot = F.col("digest").isin(hot)
+        tasks = parallelism(left.sparkSession)
+        is_hot = F.col("digest").isin(hot)  # at most four times as many as tasks
         a = a.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("id_l"), F.lit(tasks))).otherwise(0))
         b = b.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.when(is_hot, tasks - 1).otherwise(0).cast("long"))))
     joined = a.join(b, ["digest", "salt"] if hot else ["digest"])
     shared = joined.groupBy("id_l", "id_r").agg((F.sum("length") / F.first("whole")).alias("overlap"))
-    return shared.filter(F.col("overlap") > min_fraction)
+    return shared.filter((F.col("overlap") > 0) & (F.col("overlap") >= min_fraction))
 
 
 def cross_split_pairs(df: DataFrame, group: str, identity: str, vector: str, in_train: str, min_cosine: float) -> DataFrame:
@@ -111,12 +112,15 @@ def cross_split_pairs(df: DataFrame, group: str, identity: str, vector: str, in_
     rows = stage(with_digest(usable(df.filter(F.col(in_train).isNotNull()), group, vector), vector).select(F.col(identity).alias("id"), F.col(group).alias("g"), F.col(in_train).alias("train"), "_same", F.col(vector).alias("v")), "split-rows")
     classes = stage(copies(rows.drop("_same"), ["g", "train"], "id", "v"), "split-classes")
     distinct = rows.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
-    cut = stage(chunks(distinct, "g", "v", ["id", "train"]), "split-chunks")
-    near = overlaps(cut.filter("train"), cut.filter("NOT train")).withColumnsRenamed({"id_l": "rep_train", "id_r": "rep_eval"})
+    # Chunks are cheaper cut again than kept: there are dozens of each record.
+    distinct = stage(distinct, "split-distinct")
+    side = lambda t: chunks(distinct.filter(F.col("train") == t), "g", "v", ["id"])
+    hot = sorted({h for t in (True, False) for h in frequent(side(t), "digest", parallelism(df.sparkSession))})
+    near = overlaps(side(True), side(False), hot, MIN_OVERLAP).withColumnsRenamed({"id_l": "rep_train", "id_r": "rep_eval"})
     near = stage(cosines(near, distinct, "id", "v", "rep_train", "rep_eval").filter(F.col("cosine") >= min_cosine), "split-pairs")
     members = rows.join(classes, ["g", "train", "_same"]).select("id", "rep", "train")
-    side = lambda t, name: members.filter(F.col("train") == t).select(F.col("rep").alias(f"rep_{name}"), F.col("id").alias(f"id_{name}"))
-    return near.join(side(True, "train"), "rep_train").join(side(False, "eval"), "rep_eval").select("id_train", "id_eval", "cosine", "overlap")
+    copied = lambda t, name: members.filter(F.col("train") == t).select(F.col("rep").alias(f"rep_{name}"), F.col("id").alias(f"id_{name}"))
+    return near.join(copied(True, "train"), "rep_train").join(copied(False, "eval"), "rep_eval").select("id_train", "id_eval", "cosine", "overlap")
 
 
 def feature_splits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from lumenfold.llm import chunks, mih
+from lumenfold.operators.skew import frequent
 
 SCHEMA = "sample_id long, backbone string, dataset string, split string, img_id long, label int, features array<float>"
 CUB = "img_id long, is_train int"
@@ -154,7 +155,9 @@ def test_chunks_cover_the_record():
 def test_hot_chunk_is_salted(spark):
     left = spark.createDataFrame([(i, 1 if i < 3000 else i, 10, 100) for i in range(6000)], "id long, digest long, length int, whole int")
     right = spark.createDataFrame([(i + 10_000, 1, 10, 100) for i in range(5)] + [(20_000, 4000, 10, 100)], "id long, digest long, length int, whole int")
-    got = chunks.overlaps(left, right)
+    hot = frequent(left, "digest", 4)
+    assert hot == [1]
+    got = chunks.overlaps(left, right, hot)
     assert got.count() == 3000 * 5 + 1 and got.select("overlap").distinct().collect()[0][0] == 0.1
 
 
