@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lumenfold.operators import compaction, drift
 from lumenfold.plans import features, results
+from lumenfold.streaming import monitor
 
-_MODULES = [compaction, drift, results, features]
+_MODULES = [compaction, drift, results, features, monitor]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
