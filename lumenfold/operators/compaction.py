@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lumenfold.session import stage_path
+from lumenfold.session import stage, stage_path
 
 #: Bits of each of the two coordinates.
 AXIS_BITS = 16
@@ -129,10 +129,12 @@ def with_ranges(coded: DataFrame, ranges: Ranges, identity: Column) -> DataFrame
 
 @dataclass(frozen=True)
 class Clustered:
-    """rows: every source row as _row, with _code, _file, _key (what equal records share, null: nothing) and _repeat; n_files: the output files."""
+    """rows: every source row as _row, with _code, _file, _key (what equal records share, null: nothing) and _repeat; n_files: the output files;
+    in_place: whether each file's rows already are one partition."""
 
     rows: DataFrame
     n_files: int
+    in_place: bool
 
 
 def cluster(rows: DataFrame, columns: list[str], folder: Column, content: Column, place: Column, order: list[Column], identity: str, weight: Column, target_bytes: int = TARGET_BYTES) -> Clustered:
@@ -160,7 +162,7 @@ def cluster(rows: DataFrame, columns: list[str], folder: Column, content: Column
         # A code heavier than a file: its copies lie in several files, so the first of each key is aggregated over all of them.
         firsts = placed.filter(F.col("_split") & F.col("_key").isNotNull()).groupBy("_key").agg(F.min("_order").alias("_first"))
         placed = placed.join(firsts, "_key", "left").withColumn("_repeat", F.when(F.col("_first").isNotNull(), (F.col("_order") != F.col("_first")) | F.col("_repeat")).otherwise(F.col("_repeat"))).drop("_first")
-    return Clustered(placed, ranges.n_files)
+    return Clustered(placed, ranges.n_files, not ranges.split)
 
 
 def digest(columns: list[str]) -> list[Column]:
@@ -169,26 +171,39 @@ def digest(columns: list[str]) -> list[Column]:
     return [F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(38,0)")).alias("hash_sum"), F.expr(f"bit_xor(xxhash64({', '.join(f'`{c}`' for c in columns)}))").alias("hash_xor")]
 
 
-def write_files(clustered: Clustered, columns: list[str], path: str) -> None:
-    """Write the rows that repeat nothing as one file per range, each ordered along the curve."""
-    kept = clustered.rows.filter(~F.col("_repeat"))
-    kept = kept.repartitionById(clustered.n_files, "_file").sortWithinPartitions("_code", "_order")
-    kept.select(*[F.col("_row")[c].alias(c) for c in columns]).write.option("maxRecordsPerFile", 0).parquet(path)
+def write_files(clustered: Clustered, columns: list[str], path: str, target: int = TARGET_BYTES) -> None:
+    """Write each range, ordered along the curve, as one file of the rows that repeat nothing (_role=kept) and one of the others (_role=repeat)."""
+    role = F.when(F.col("_repeat"), "repeat").otherwise("kept")
+    write = lambda df, mode: df.withColumn("_role", role).sortWithinPartitions("_role", "_code", "_order").select(*[F.col("_row")[c].alias(c) for c in columns], "_role").write.mode(mode).option("maxRecordsPerFile", 0).partitionBy("_role").parquet(path)
+    if clustered.in_place:
+        return write(clustered.rows, "errorifexists")
+    # Copies of heavy codes took whole files in the plan; what is left of them needs a plan of its own to fill files evenly.
+    rows = stage(clustered.rows.drop("_file", "_split"), "compact-marked")
+    kept = rows.filter(~F.col("_repeat"))
+    ranges = plan_ranges(kept.select("_code", "_weight"), "_weight", target)
+    write(with_ranges(kept, ranges, F.col("_order")).repartitionById(ranges.n_files, "_file"), "errorifexists")
+    write(rows.filter("_repeat"), "append")
 
 
-def compact(clustered: Clustered, columns: list[str], path: str) -> DataFrame:
-    """Write the files and report on them: rows and digests of the source, the files as read again, and the repeats.
+def read_files(spark: SparkSession, path: str, schema: T.StructType, role: str = "kept") -> DataFrame:
+    """The rows of the written files; the other role's files are not touched."""
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("_role", T.StringType())])).parquet(path).filter(F.col("_role") == role).drop("_role")
+
+
+def compact(source: DataFrame, clustered: Clustered, columns: list[str], path: str, target: int = TARGET_BYTES) -> DataFrame:
+    """Write the files in one pass and report on them: rows and digests of the source as it lies, the files as read again, and the repeats.
 
     One row: source_rows, kept_rows, repeat_rows, and intact (source digests equal those of files and repeats together).
     """
-    spark = clustered.rows.sparkSession
-    write_files(clustered, columns, path)
-    rows = lambda df: df.select(*[F.col("_row")[c].alias(c) for c in columns])
-    parts = [("source", rows(clustered.rows)), ("kept", spark.read.parquet(path)), ("repeat", rows(clustered.rows.filter("_repeat")))]
+    spark = source.sparkSession
+    write_files(clustered, columns, path, target)
+    schema = source.select(*columns).schema
+    parts = [("source", source.select(*columns)), ("kept", read_files(spark, path, schema)), ("repeat", read_files(spark, path, schema, "repeat"))]
     sums = None
     for name, df in parts:
-        one = df.agg(*digest(columns)).select(*[F.col(c).alias(f"{name}_{c}") for c in ("n", "hash_sum", "hash_xor")])
-        sums = one if sums is None else sums.crossJoin(one)  # one row each
+        one = df.agg(*digest(columns)).withColumn("part", F.lit(name))
+        sums = one if sums is None else sums.unionByName(one)
+    sums = sums.agg(*[F.max(F.when(F.col("part") == name, F.col(c))).alias(f"{name}_{c}") for name, _ in parts for c in ("n", "hash_sum", "hash_xor")])
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     intact = (zero("source_n") == zero("kept_n") + zero("repeat_n")) & (zero("source_hash_sum") == zero("kept_hash_sum") + zero("repeat_hash_sum")) & (zero("source_hash_xor") == zero("kept_hash_xor").bitwiseXOR(zero("repeat_hash_xor")))
     return sums.select(F.col("source_n").alias("source_rows"), F.col("kept_n").alias("kept_rows"), F.col("repeat_n").alias("repeat_rows"), intact.alias("intact"))
@@ -198,15 +213,15 @@ def compact(clustered: Clustered, columns: list[str], path: str) -> DataFrame:
 IMAGE_TABLES = {"tiny_imagenet": "img_path", "cub200": "images"}
 
 
-def image_clusters(spark: SparkSession, sf_dir: str, table: str, target_bytes: int = TARGET_BYTES) -> tuple[Clustered, list[str]]:
-    """The records of an image table, clustered; and the table's own columns."""
+def image_clusters(spark: SparkSession, sf_dir: str, table: str, target_bytes: int = TARGET_BYTES) -> tuple[Clustered, DataFrame]:
+    """The records of an image table, clustered and as they lie."""
     path = IMAGE_TABLES[table]
     records = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     arrivals = spark.read.parquet(f"{sf_dir}/image_files.parquet").select("file_id", F.col("arrived_at").alias("_arrived"))
     rows = records.join(arrivals, "file_id", "left").withColumn("_place", canonical_path(F.col(path)))
     late = F.coalesce(F.col("_arrived"), F.lit("9999-12-31").cast(arrivals.schema["_arrived"].dataType))
     folder = F.regexp_replace(F.col("_place"), r"[^/]*$", "")
-    return cluster(rows, records.columns, folder, F.col("checksum"), F.col("_place"), [late, F.col("file_id"), F.col("row_no")], "rec_id", F.col("n_bytes"), target_bytes), records.columns
+    return cluster(rows, records.columns, folder, F.col("checksum"), F.col("_place"), [late, F.col("file_id"), F.col("row_no")], "rec_id", F.col("n_bytes"), target_bytes), records
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,8 +234,8 @@ def p1_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compact both image tables into new files in the shared folder and report rows and digests per table."""
     reports = []
     for t in IMAGE_TABLES:
-        clustered, columns = image_clusters(spark, sf_dir, t)
-        reports.append(compact(clustered, columns, stage_path(spark, f"compact-{t}")).select(F.lit(t).alias("dataset"), "*"))
+        clustered, records = image_clusters(spark, sf_dir, t)
+        reports.append(compact(records, clustered, records.columns, stage_path(spark, f"compact-{t}")).select(F.lit(t).alias("dataset"), "*"))
     return reports[0].unionByName(reports[1])
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenfold.operators.moments import accumulate, dense, gather
+from lumenfold.operators.skew import small
 
 BLOCK_ROWS = 4096
 #: Relative accuracy of the bounds between which the exact median is sought.
@@ -47,7 +48,7 @@ def _neighbours(k: int):
 def knn_within_class(rows: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(label, i, j, dist, nth) of the min(k, class size - 1) nearest rows of the same class. rows: (id, label, x)."""
     sizes = rows.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
-    dealt = rows.join(F.broadcast(sizes.limit(1_000_000)), "label")  # a registry of classes
+    dealt = rows.join(small(sizes), "label")  # a registry of classes
     block, every = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     queries = dealt.withColumn("a", block).withColumn("b", every)
     again = dealt.select(*[F.col(c).alias(c) for c in dealt.columns])
@@ -63,7 +64,7 @@ def exact_median(df: DataFrame, key: str, value: str) -> DataFrame:
     low, high = 0.5 - 2 / MEDIAN_ACCURACY, 0.5 + 2 / MEDIAN_ACCURACY
     bounds = df.groupBy(key).agg(F.percentile_approx(value, F.array(F.lit(low), F.lit(high)), MEDIAN_ACCURACY).alias("b"), F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"))
     # Values equal to a bound are counted, not listed, so ties of any number stay cheap.
-    near = df.join(F.broadcast(bounds.limit(1_000_000)), key)
+    near = df.join(small(bounds), key)
     counted = near.filter((F.col(value) >= F.col("b")[0]) & (F.col(value) <= F.col("b")[1])).groupBy(key, value).agg(F.count(F.lit(1)).alias("c"))
     below = near.groupBy(key).agg(F.count_if(F.col(value) < F.col("b")[0]).alias("below"), F.first("n").alias("n"))
     upto = F.sum("c").over(Window.partitionBy(key).orderBy(value))
@@ -81,7 +82,7 @@ def sigma(knn: DataFrame) -> DataFrame:
 def affinity(knn: DataFrame, rows: DataFrame) -> DataFrame:
     """(label, i, j, w) of directed edges: heat kernel over the class size."""
     sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    both = knn.join(F.broadcast(sigma(knn).limit(1_000_000)), "label").join(F.broadcast(sizes.limit(1_000_000)), "label")
+    both = knn.join(small(sigma(knn)), "label").join(small(sizes), "label")
     return both.select("label", "i", "j", (F.exp(-F.pow("dist", F.lit(2)) / (2 * F.pow("sigma", F.lit(2)))) / F.col("n")).alias("w"))
 
 

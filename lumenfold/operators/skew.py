@@ -67,3 +67,8 @@ def frequent(df: DataFrame, column: str, tasks: int, least: int = 1000) -> list[
     found = df.select(column).mapInArrow(report, "value long, n long, total boolean").groupBy("total", "value").agg(F.sum("n").alias("n"))
     rows = found.agg(F.sum(F.when(F.col("total"), F.col("n")))).first()[0] or 0
     return [r.value for r in found.filter(~F.col("total") & (F.col("n") >= max(least, share * rows))).collect()]
+
+
+def small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """df marked for broadcast if it has at most max_rows rows (it is counted), else df as it is, to be joined by shuffle."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -14,6 +14,7 @@ from lumenfold.operators import classify, experiments, graph, sampling
 from lumenfold.operators import results as results_op
 from lumenfold.operators.moments import fourth_moment, moments
 from lumenfold.operators.reducers import Reducer, class_pairs, project
+from lumenfold.operators.skew import small
 from lumenfold.session import stage, stage_path
 from lumenfold.sources import features as src
 
@@ -343,7 +344,7 @@ def metadata_three_way_join(spark, sf_dir):
 @query("WITH c AS (SELECT class_id, CAST(row_number() OVER (ORDER BY class_id) - 1 AS INTEGER) AS label FROM (SELECT DISTINCT class_id FROM tiny_imagenet WHERE class_id IS NOT NULL)) SELECT rec_id, class_id, label FROM tiny_imagenet JOIN c USING (class_id)")
 def class_index_lookup(spark, sf_dir):
     images = spark.read.parquet(f"{sf_dir}/tiny_imagenet.parquet").select("rec_id", "class_id")
-    return images.join(F.broadcast(src.class_index(images, "class_id").limit(1_000_000)), "class_id").select("rec_id", "class_id", "label")
+    return images.join(small(src.class_index(images, "class_id")), "class_id").select("rec_id", "class_id", "label")
 
 
 @query("SELECT lower(trim(backbone)) AS backbone, lower(trim(dataset)) AS dataset, coalesce(lower(trim(split)), 'by_image') AS split, count(*) AS n, count(DISTINCT label) AS classes, max(len(features)) AS feature_dim FROM extract_features_multi GROUP BY ALL")

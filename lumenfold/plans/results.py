@@ -237,5 +237,5 @@ def figure_pareto(spark, sf_dir):
 def figure_heatmap(spark, sf_dir):
     """LDA less Full of each configuration, and whether its text is light on the colour scale."""
     g = _means(spark, sf_dir).groupBy("backbone", "dataset").agg((F.max(F.when(F.col("method") == "LDA", F.col("accuracy"))) - F.max(F.when(F.col("method") == "FULL", F.col("accuracy")))).alias("gain"))
-    limit = g.agg(F.max(F.abs("gain")).alias("limit"))
-    return g.crossJoin(limit).select("backbone", "dataset", half_up("gain", 6).alias("gain"), (F.abs("gain") > 0.6 * F.col("limit")).alias("light_text"))
+    limit = F.max(F.abs("gain")).over(Window.partitionBy())  # one row per configuration
+    return g.select("backbone", "dataset", half_up("gain", 6).alias("gain"), (F.abs("gain") > 0.6 * limit).alias("light_text"))

@@ -55,16 +55,17 @@ def test_hot_copy_is_split(spark, tables, tmp_path):
     """A third of the rows are copies of one record: its code is heavier than a file and spread over several."""
     images = [(i, 1 + i % 4, i, "hot/a.JPEG", "k", "train", 100, 1) for i in range(1000)] + [(i, 1 + i % 4, i, f"d{i % 7}/b{i}.JPEG", "k", "train", 100, i) for i in range(1000, 3000)]
     put_images(tables, images)
-    clustered, columns = c.image_clusters(spark, tables.dir, "tiny_imagenet", target_bytes=10_000)
+    clustered, records = c.image_clusters(spark, tables.dir, "tiny_imagenet", target_bytes=10_000)
     assert clustered.n_files == 30
-    report = c.compact(clustered, columns, str(tmp_path / "out")).first()
+    report = c.compact(records, clustered, records.columns, str(tmp_path / "out"), 10_000).first()
     assert (report.source_rows, report.kept_rows, report.repeat_rows, report.intact) == (3000, 2001, 999, True)
     sizes = [r[0] for r in clustered.rows.groupBy("_file").count().select("count").collect()]
     assert max(sizes) < 250 and len(sizes) == 30
-    kept = spark.read.parquet(str(tmp_path / "out"))
-    assert kept.columns == columns and kept.select("rec_id").distinct().count() == 2001
+    kept = c.read_files(spark, str(tmp_path / "out"), records.schema)
+    assert kept.columns == records.columns and kept.select("rec_id").distinct().count() == 2001
     first = kept.filter("checksum = 1").first()
     assert first.file_id == 4  # the file that arrived first
+    assert len(list((tmp_path / "out" / "_role=kept").glob("*.parquet"))) == 21
 
 
 def test_extra_columns_with_clashing_names(spark, tables):

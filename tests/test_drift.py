@@ -63,3 +63,16 @@ def test_hot_chain_and_long_cells(spark, tables):
     put(tables, files, {i: [f"run_id,{'a' if i % 2 else 'b'}", f"1,{'v' * 50_000}"] for i in range(1, 40)})
     got = changes(spark, tables)
     assert len(got) == 38 and {k for _, _, k in got} == {"renamed"}
+
+
+def test_against_plain_loops(spark):
+    import os
+
+    import brute_drift
+    import pytest
+
+    data = "/root/testdata/sf0.01"
+    if not os.path.isdir(data):
+        pytest.skip("no test data")
+    got = rows(d.p6_found(spark, data))
+    assert len(got) == len(set(got)) and set(got) == brute_drift.changes(data)
