@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenfold.llm.vectors import copies, cosines, first_members, matrix, usable, with_digest
-from lumenfold.operators.skew import hot_keys, lookup
+from lumenfold.operators.skew import hot_keys, lookup, small
 from lumenfold.session import parallelism, stage
 
 BITS, SUB = 192, 16
@@ -203,7 +203,7 @@ def candidates(vectors: DataFrame, model: dict, k: int, min_cosine: float, hot_r
     members = entries.filter("NOT probe").select("id", F.shiftright("cell", SUB).alias("part"), "value").join(spread, ["part", "value"]).select("id", "part", "hot")
     members = stage(members.join(vectors.select("id", "v"), "id"), "mih-hot")
     blocks = members.groupBy("part", "hot").agg(F.ceil(F.count(F.lit(1)) / hot_run).cast("int").alias("blocks"))
-    dealt = members.join(F.broadcast(blocks.limit(1_000_000)), ["part", "hot"])  # one row for each HOT_RUN entries
+    dealt = members.join(small(blocks), ["part", "hot"])
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     queries = dealt.withColumn("i", block).withColumn("j", every).groupBy("part", "hot", "i", "j")
