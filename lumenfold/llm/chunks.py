@@ -152,13 +152,16 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("dataset", "split", "train_dataset").agg(F.count_distinct("id_eval").alias("records"), F.count(F.lit(1)).alias("pairs"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_report": p5_report}
-ORACLES = {
-    "p5_found": """
+_PAIRS = """
 WITH cub AS (SELECT img_id, max(is_train) AS is_train FROM cub200 GROUP BY img_id),
-rows AS (SELECT e.sample_id AS id, e.backbone, e.features AS v, len(e.features) AS d, CASE WHEN lower(trim(e.dataset)) = 'cub200' THEN CASE WHEN c.is_train IN (0, 1) THEN c.is_train = 1 END WHEN lower(trim(e.split)) = 'train' THEN true WHEN lower(trim(e.split)) IN ('test', 'val') THEN false END AS in_train
+rows AS (SELECT e.sample_id AS id, e.backbone, lower(trim(e.dataset)) AS dataset, coalesce(lower(trim(e.split)), 'by image') AS split, e.features AS v, len(e.features) AS d, CASE WHEN lower(trim(e.dataset)) = 'cub200' THEN CASE WHEN c.is_train IN (0, 1) THEN c.is_train = 1 END WHEN lower(trim(e.split)) = 'train' THEN true WHEN lower(trim(e.split)) IN ('test', 'val') THEN false END AS in_train
   FROM extract_features_multi e LEFT JOIN cub c ON c.img_id = e.img_id WHERE e.features IS NOT NULL AND e.backbone IS NOT NULL),
 usual AS (SELECT backbone, mode(d) AS d FROM rows WHERE in_train IS NOT NULL GROUP BY backbone),
-good AS (SELECT id, backbone, in_train, CAST(v AS DOUBLE[]) AS v FROM rows JOIN usual USING (backbone, d) WHERE in_train IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0)
-SELECT least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b FROM good a JOIN good b ON a.backbone = b.backbone AND a.in_train AND NOT b.in_train AND list_cosine_similarity(a.v, b.v) >= 0.985"""
+good AS (SELECT id, backbone, dataset, split, in_train, CAST(v AS DOUBLE[]) AS v FROM rows JOIN usual USING (backbone, d) WHERE in_train IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+pairs AS (SELECT a.id AS id_train, b.id AS id_eval, a.dataset AS train_dataset, b.dataset, b.split FROM good a JOIN good b ON a.backbone = b.backbone AND a.in_train AND NOT b.in_train AND list_cosine_similarity(a.v, b.v) >= 0.985)
+"""
+QUERIES = {"p5_found": p5_found, "p5_report": p5_report}
+ORACLES = {
+    "p5_found": _PAIRS + "SELECT least(id_train, id_eval) AS id_a, greatest(id_train, id_eval) AS id_b FROM pairs",
+    "p5_report": _PAIRS + "SELECT dataset, split, train_dataset, count(DISTINCT id_eval) AS records, count(*) AS pairs FROM pairs GROUP BY ALL",
 }
