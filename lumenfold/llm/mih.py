@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenfold.llm.vectors import copies, cosines, first_members, matrix, usable, with_digest
-from lumenfold.operators.skew import hot_keys, lookup, small
+from lumenfold.operators.skew import frequent, hot_keys, lookup, small
 from lumenfold.session import parallelism, stage
 
 BITS, SUB = 192, 16
@@ -95,8 +95,23 @@ def distance_bound(min_cosine: float) -> int:
 _CELLS = "id long, cell long, value int, probe boolean, code binary"
 
 
-def index(vectors: DataFrame, model: dict) -> DataFrame:
-    """The entries of all vectors (id, g, v): one for each substring in its own cell, and the probes that lead to other cells."""
+def values(vectors: DataFrame, model: dict) -> DataFrame:
+    """(key) of every substring of every vector: group, part and value in one number."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = np.array(b["g"].to_pylist(), object)
+            for g in set(names):
+                number, _, mean, turn = model[g]
+                subs = encode(matrix(b["v"].take(pa.array(np.flatnonzero(names == g)))), mean, turn).view(">u2").astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array((((number * PARTS + np.arange(PARTS)) << SUB) | subs).reshape(-1))], ["key"])
+
+    return vectors.select("g", "v").mapInArrow(keys, "key long")
+
+
+def index(vectors: DataFrame, model: dict, hot: list[int] | None = None) -> DataFrame:
+    """The entries of all vectors (id, g, v): one for each substring in its own cell, and the probes that lead to other cells; none for substrings whose key is hot."""
+    skip = np.array(sorted(hot or []), np.int64)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -111,12 +126,15 @@ def index(vectors: DataFrame, model: dict) -> DataFrame:
                     bits = cell_bits(n)
                     where = np.repeat(np.arange(len(codes)), PARTS)
                     s, value = np.tile(np.arange(PARTS), len(codes)), subs.reshape(-1)
-                    rows, values, parts, probes = [where], [value], [s], [np.zeros(len(where), bool)]
+                    if len(skip):
+                        cold = ~np.isin(((number * PARTS + s) << SUB) | value, skip)
+                        where, s, value = where[cold], s[cold], value[cold]
+                    rows, targets, parts, probes = [where], [value], [s], [np.zeros(len(where), bool)]
                     for t in range(SUB - bits, SUB):
                         # A pair that differs in a leading bit is found from the side where the bit is 0.
                         zero = (value >> t) & 1 == 0
-                        rows.append(where[zero]), values.append(value[zero] | (1 << t)), parts.append(s[zero]), probes.append(np.ones(zero.sum(), bool))
-                    row, value, s = np.concatenate(rows), np.concatenate(values), np.concatenate(parts)
+                        rows.append(where[zero]), targets.append(value[zero] | (1 << t)), parts.append(s[zero]), probes.append(np.ones(zero.sum(), bool))
+                    row, value, s = np.concatenate(rows), np.concatenate(targets), np.concatenate(parts)
                     cell = ((number * PARTS + s) << SUB) | (value >> (SUB - bits))
                     blob = pa.array([c.tobytes() for c in codes], pa.binary())
                     at_row = pa.array(row)
@@ -192,15 +210,19 @@ def _best_in_block(k: int, min_cosine: float):
 
 def candidates(vectors: DataFrame, model: dict, k: int, min_cosine: float, hot_run: int = HOT_RUN) -> DataFrame:
     """Distinct pairs (id_a, id_b) of vectors (id, g, v) that hold, for every vector, the k best others that the index retrieves."""
-    entries = index(vectors, model)
+    # Values that hold much of all entries are known beforehand, so no cell is grown by one; smaller ones show in their cell.
+    known = frequent(values(vectors, model), "key", parallelism(vectors.sparkSession), hot_run)
+    entries = index(vectors, model, known)
     found = stage(entries.groupBy("cell").applyInArrow(_near_in_cell(distance_bound(min_cosine), hot_run), "id_a long, id_b long, part long"), "mih-pairs")
     pairs = found.filter("part < 0").select("id_a", "id_b").distinct()
     marks = found.filter("part >= 0").select(F.col("id_b").cast("int").alias("hot"), "part")
+    if known:
+        marks = marks.unionByName(vectors.sparkSession.createDataFrame([(k & ((1 << SUB) - 1), k >> SUB) for k in known], "hot int, part long"))
     if not marks.head(1):
         return pairs
     # Values of very many vectors: these and the vectors one bit away, in blocks of queries against blocks of rows.
     spread = marks.select("part", "hot", F.explode(F.concat(F.array(F.col("hot")), F.transform(F.sequence(F.lit(0), F.lit(SUB - 1)), lambda t: F.col("hot").bitwiseXOR(F.call_function("shiftleft", F.lit(1), t))))).alias("value"))
-    members = entries.filter("NOT probe").select("id", F.shiftright("cell", SUB).alias("part"), "value").join(spread, ["part", "value"]).select("id", "part", "hot")
+    members = index(vectors, model).filter("NOT probe").select("id", F.shiftright("cell", SUB).alias("part"), "value").join(spread, ["part", "value"]).select("id", "part", "hot")
     members = stage(members.join(vectors.select("id", "v"), "id"), "mih-hot")
     blocks = members.groupBy("part", "hot").agg(F.ceil(F.count(F.lit(1)) / hot_run).cast("int").alias("blocks"))
     dealt = members.join(small(blocks), ["part", "hot"])
