@@ -266,7 +266,7 @@ def with_copies(rows: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -
 
 K, MIN_COSINE = 5, 0.90
 #: Codes nearest to a query's, per block of rows, that are reranked with the floats when the radius is not bounded.
-SHORTLIST = 512
+SHORTLIST = 2048
 SCAN_ROWS = 65_536
 
 
