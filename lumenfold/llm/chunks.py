@@ -71,8 +71,8 @@ def chunk_rows(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def chunks(df: DataFrame, group: str, vector: str, columns: list[str]) -> DataFrame:
-    """(columns..., digest, length, whole) of each vector's chunks; the digest holds the group as well. whole: the record's length in symbols."""
-    schema = df.select(*columns).schema.add("digest", "long").add("length", "integer").add("whole", "integer")
+    """(columns..., digest) of each vector's chunks. A digest is 42 bits of a hash of group, place and symbols, the chunk's length (6 bits) and the record's (16)."""
+    schema = df.select(*columns).schema.add("digest", "long")
     chosen = df.select(*columns, F.xxhash64(group).alias("_group"), F.col(vector).alias("_vector"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,16 +85,18 @@ def chunks(df: DataFrame, group: str, vector: str, columns: list[str]) -> DataFr
                     part = b.take(pa.array(np.flatnonzero(sizes == d)))
                     turn = turned.setdefault(int(d), rotations(int(d)))
                     row, digest, length = chunk_rows((matrix(part["_vector"]) @ turn > 0).view(np.uint8))
-                    digest = digest ^ (part["_group"].to_numpy()[row] * 31)
+                    if turn.shape[1] >= 1 << 16:
+                        raise ValueError(f"vectors of {d} elements")
+                    digest = ((digest ^ (part["_group"].to_numpy()[row] * 31)) & np.int64(-1 << 22)) | (length << 16) | turn.shape[1]
                     index = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([*[part[c].take(index) for c in columns], pa.array(digest), pa.array(length.astype(np.int32)), pa.array(np.full(len(row), turn.shape[1], np.int32))], [*columns, "digest", "length", "whole"])
+                    yield pa.RecordBatch.from_arrays([*[part[c].take(index) for c in columns], pa.array(digest)], [*columns, "digest"])
 
     return chosen.mapInArrow(cut, schema)
 
 
 def overlaps(left: DataFrame, right: DataFrame, hot: list[int], min_fraction: float = 0.0) -> DataFrame:
-    """(id_l, id_r, overlap) of records (columns id, digest, length, whole) that share at least min_fraction of the left one. hot: digests to be salted."""
-    a = left.select(F.col("id").alias("id_l"), "digest", "length", "whole")
+    """(id_l, id_r, overlap) of records (columns id, digest) that share at least min_fraction of the left one. hot: digests to be salted."""
+    a = left.select(F.col("id").alias("id_l"), "digest")
     b = right.select(F.col("id").alias("id_r"), "digest")
     if hot:
         # Of a hot digest, every left row meets every right row: left rows are dealt to salts, right rows are copied to each.
@@ -103,7 +105,7 @@ def overlaps(left: DataFrame, right: DataFrame, hot: list[int], min_fraction: fl
         a = a.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("id_l"), F.lit(tasks))).otherwise(0))
         b = b.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.when(is_hot, tasks - 1).otherwise(0).cast("long"))))
     joined = a.join(b, ["digest", "salt"] if hot else ["digest"])
-    shared = joined.groupBy("id_l", "id_r").agg((F.sum("length") / F.first("whole")).alias("overlap"))
+    shared = joined.groupBy("id_l", "id_r").agg((F.sum(F.shiftright("digest", 16).bitwiseAND(F.lit(63))) / F.first(F.col("digest").bitwiseAND(F.lit(0xFFFF)))).alias("overlap"))
     return shared.filter((F.col("overlap") > 0) & (F.col("overlap") >= min_fraction))
 
 
