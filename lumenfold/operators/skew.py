@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.session import parallelism
+from lumenfold.session import parallelism, stage
 
 #: A key is hot from one such share of a task's even part on; at most this many times the tasks can be.
 HOT_PER_TASK = 2
@@ -64,7 +64,7 @@ def frequent(df: DataFrame, column: str, tasks: int, least: int = 1000) -> list[
         if n:
             yield block()
 
-    found = df.select(column).mapInArrow(report, "value long, n long, total boolean").groupBy("total", "value").agg(F.sum("n").alias("n"))
+    found = stage(df.select(column).mapInArrow(report, "value long, n long, total boolean").groupBy("total", "value").agg(F.sum("n").alias("n")), "frequent")
     rows = found.agg(F.sum(F.when(F.col("total"), F.col("n")))).first()[0] or 0
     return [r.value for r in found.filter(~F.col("total") & (F.col("n") >= max(least, share * rows))).collect()]
 
