@@ -240,7 +240,7 @@ def nearest(df: DataFrame, group: str, identity: str, vector: str, k: int, min_c
     rows = with_digest(usable(df, group, vector), vector).select(F.col(identity).alias("id"), F.col(group).cast("string").alias("g"), "_same", F.col(vector).alias("v"))
     rows = stage(rows, "mih-rows")
     classes = stage(copies(rows.drop("_same"), ["g"], "id", "v"), "mih-classes")
-    distinct = rows.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "g", "v")
+    distinct = stage(rows.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "g", "v"), "mih-distinct")
     model = learn(distinct)
     pairs = stage(cosines(candidates(distinct, model, k, min_cosine, hot_run), distinct, "id", "v").filter(F.col("cosine") >= min_cosine), "mih-reranked")
     return stage(with_copies(rows, classes, pairs, k), "mih-neighbours")
