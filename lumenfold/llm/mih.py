@@ -265,28 +265,46 @@ def with_copies(rows: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -
 
 
 K, MIN_COSINE = 5, 0.90
-#: Codes nearest to a query's, per block of rows, that are reranked with the floats when the radius is not bounded.
+#: Rows of a block that meet a batch of queries in one matrix product. All rows do, so it bounds memory, not the result.
 SHORTLIST = 2048
 SCAN_ROWS = 65_536
+SCAN_QUERIES = 512
 
 
-def _scan(k: int, model: dict, shortlist: int):
-    def scan(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+def _scan(k: int, shortlist: int):
+    def scan(left: pa.Table, right: pa.Table) -> pa.Table:
         q, r = left["id"].to_numpy(), right["id"].to_numpy()
         ids, others, cosine = [], [], []
         if len(q) and len(r):
-            _, _, mean, turn = model[key[0].as_py()]
-            x, y = matrix(left["v"].combine_chunks()), matrix(right["v"].combine_chunks())
-            a, b = (np.ascontiguousarray(encode(m, mean, turn)).view(np.uint64) for m in (x, y))
-            for i in range(len(q)):
-                d = np.bitwise_count(b[:, 0] ^ a[i, 0]).astype(np.uint16)
-                for w in range(1, BITS // 64):
-                    d += np.bitwise_count(b[:, w] ^ a[i, w])
-                near = np.argpartition(d, shortlist)[:shortlist] if len(r) > shortlist else np.arange(len(r))
-                near = near[r[near] != q[i]]
-                c = np.round(y[near] @ x[i], 6)
-                top = np.lexsort((r[near], -c))[:k]
-                ids.append(np.full(len(top), q[i])), others.append(r[near[top]]), cosine.append(c[top])
+            # In order of id, a later row never displaces one of equal cosine.
+            order = np.argsort(r)
+            x, y, r = matrix(left["v"].combine_chunks()), matrix(right["v"].combine_chunks())[order], r[order]
+            for at in range(0, len(q), SCAN_QUERIES):
+                part, own = x[at : at + SCAN_QUERIES], q[at : at + SCAN_QUERIES]
+                rows = np.arange(len(part))
+                i, o, c = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+                # The k-th best so far, rounded; nothing below -1 - 1e-6 exists.
+                worst = np.full(len(part), -2.0)
+                for p in range(0, len(r), shortlist):
+                    s = part @ y[p : p + shortlist].T
+                    least = worst
+                    if not p and s.shape[1] > k:
+                        # The query itself may be among the k + 1.
+                        least = np.round(np.partition(s, -k - 1, axis=1)[:, -k - 1], 6) - 1e-6
+                    a, b = np.nonzero(s > (least - 1e-6)[:, None])
+                    value, other = np.round(s[a, b], 6), r[p + b]
+                    better = (value > least[a]) & (other != own[a])
+                    if not better.any():
+                        continue
+                    i, o, c = np.concatenate([i, a[better]]), np.concatenate([o, other[better]]), np.concatenate([c, value[better]])
+                    best = np.lexsort((o, -c, i))
+                    i, o, c = i[best], o[best], c[best]
+                    keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+                    i, o, c = i[keep], o[keep], c[keep]
+                    last = np.searchsorted(i, rows, "right")
+                    full = last - np.searchsorted(i, rows) == k
+                    worst = np.where(full, c[last - 1], -2.0)
+                ids.append(own[i]), others.append(o), cosine.append(c)
         cat = lambda parts, t: np.concatenate(parts) if parts else np.empty(0, t)
         return pa.table({"id": cat(ids, np.int64), "neighbour_id": cat(others, np.int64), "cosine": cat(cosine, np.float64)})
 
@@ -294,17 +312,19 @@ def _scan(k: int, model: dict, shortlist: int):
 
 
 def scan_nearest(df: DataFrame, group: str, identity: str, vector: str, is_query, k: int, shortlist: int = SHORTLIST) -> DataFrame:
-    """(id, neighbour_id, cosine, rank_no) of the k most similar vectors of the stated queries, however far: the radius grows until SHORTLIST codes of a block lie within it."""
+    """(id, neighbour_id, cosine, rank_no) of the k most similar vectors of the stated queries, however far: every query meets the floats of all vectors of its group, so the result is exact."""
     rows = stage(usable(df, group, vector).select(F.col(identity).alias("id"), F.col(group).cast("string").alias("g"), F.col(vector).alias("v"), is_query.alias("q")), "scan-rows")
-    model = learn(rows)
-    blocks = {g: ceil(m[1] / SCAN_ROWS) for g, m in model.items()} or {"": 1}
+    sizes = rows.groupBy("g").count().limit(MAX_GROUPS + 1).collect()
+    if len(sizes) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups of vectors")
+    blocks = {r.g: ceil(r["count"] / SCAN_ROWS) for r in sizes} or {"": 1}
     n_blocks = F.create_map(*[x for g, n in blocks.items() for x in (F.lit(g), F.lit(n))])[F.col("g")]
     index_rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks).cast("int"))
     # The queries meet every block; they are dealt to several tasks by a part of their own.
     parts = ceil(2 * parallelism(df.sparkSession) / sum(blocks.values()))
     queries = rows.filter("q").withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1))).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
     index_rows = index_rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    found = queries.groupBy("g", "block", "part").cogroup(index_rows.groupBy("g", "block", "part")).applyInArrow(_scan(k, model, shortlist), "id long, neighbour_id long, cosine double")
+    found = queries.groupBy("g", "block", "part").cogroup(index_rows.groupBy("g", "block", "part")).applyInArrow(_scan(k, shortlist), "id long, neighbour_id long, cosine double")
     nth = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour_id"))
     return found.withColumn("rank_no", nth).filter(F.col("rank_no") <= k)
 

@@ -98,6 +98,26 @@ def test_recall_without_threshold(spark, tables):
     assert set(got) == {i for i in good if i % 20 == 0} and hits >= 0.9 * 5 * len(got)
 
 
+def test_scan_is_exact_in_a_cluster(spark, tables):
+    """More near and exact copies than any fixed number of codes: neighbours, cosines and the order of ties are those of all pairs."""
+    rng = np.random.default_rng(4)
+    centre = rng.standard_normal(16)
+    x = rng.standard_normal((8000, 16))
+    x[::4] = centre
+    x[1::4] = [near(rng, centre, 0.999) for _ in range(2000)]
+    x[2::8] = [near(rng, centre, 0.95) for _ in range(1000)]
+    ids = [int(i) for i in rng.permutation(8000)]
+    tables("extract_features_multi", [(i, "a", "c", "train", None, 1, [float(a) for a in v]) for i, v in zip(ids, x, strict=True)], SCHEMA)
+    unit = np.float32(x).astype(float)[np.argsort(ids)]
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = set()
+    for i in range(0, 8000, 20):
+        c = np.round(unit @ unit[i], 6)
+        want |= {(i, int(j), float(c[j]), n) for n, j in enumerate([j for j in np.lexsort((np.arange(8000), -c)) if j != i][:5], 1)}
+    got = rows(mih.p4_knn(spark, tables.dir))
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_index_retrieves_the_radius():
     """Every pair of codes within 2 * PARTS - 1 bits meets in a cell, whatever the number of cells."""
     import pyarrow as pa
