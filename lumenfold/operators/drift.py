@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumenfold.operators.skew import small
 from lumenfold.session import stage
 
 DELIMITERS = [",", ";", "\t", "|"]
@@ -158,8 +159,8 @@ class Drift:
     def changes(self) -> DataFrame:
         return changes(self.files, self.cells, self.types)
 
-    def names(self, targets: list[str], max_names: int = 100_000, min_evidence: int = 2) -> list[tuple[str, str]]:
-        """(name, target column) of each field name that is a target or was renamed from or to one in at least min_evidence steps.
+    def names(self, targets: list[str], fields: set[tuple[str, str]], max_names: int = 100_000, min_evidence: int = 2) -> dict[tuple[str, str], str]:
+        """(table_name, name) -> column of each of the lower-case names in fields: a target if it is one or was renamed from or to one in at least min_evidence steps, else itself.
 
         Works on distinct names, not on files; their number is checked against max_names.
         """
@@ -175,23 +176,61 @@ class Drift:
                     if x == at and y not in known:
                         known[y] = known[x]
                         todo.append(y)
-        return sorted(known.items())
+        return {(t, n): known.get(n, n) for t, n in fields}
 
-    def typed(self, targets: dict[str, str]) -> DataFrame:
-        """One row per data line: file_id, line_no, the target columns in their types, and failed_casts, the targets whose value does not cast."""
-        by_target: dict[str, list[str]] = {}
-        for name, t in self.names(list(targets)):
-            by_target.setdefault(t, []).append(name)
-        lower = F.map_from_entries(F.transform(F.map_entries("cells"), lambda e: F.struct(F.lower(e["key"]), e["value"])))
-        rows = self.cells.filter("line_no > 0").withColumn("low", lower)
-        raw = {t: F.coalesce(*[F.col("low")[n] for n in sorted(by_target[t], key=lambda n, t=t: (n != t, n))]) for t in targets}
-        cast = {t: raw[t].try_cast(kind) for t, kind in targets.items()}
-        failed = F.array_compact(F.array(*[F.when(raw[t].isNotNull() & cast[t].isNull(), t) for t in targets]))
-        return rows.select("file_id", "line_no", *[c.alias(t) for t, c in cast.items()], failed.alias("failed_casts"))
+    def columns(self, targets: dict[str, str], max_columns: int = 1000) -> tuple[dict[str, str], list[tuple[str, str, str]]]:
+        """(column -> type of all fields of all files, (table_name, field_name, column)): the targets, then the fields that lead to none.
 
-
-#: The columns of the consistent table and their types.
-TARGETS = {"run_id": "bigint", "backbone": "string", "dataset": "string", "method": "string", "category": "string", "accuracy": "double", "accuracy_mean": "double", "dim": "bigint", "feature_dim": "bigint", "n_classes": "bigint", "time_reduce": "double", "time_classify": "double", "time_total": "double"}
+        An added field has the type of most files that hold values of it, of numbers the widest.
+        """
+        seen = self.types.join(self.files.select("file_id", F.coalesce("table_name", F.lit("")).alias("table_name")), "file_id")
+        found = seen.groupBy("table_name", "field_name", "type").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("n_values") > 0).alias("valued")).limit(MAX_NAMES + 1).collect()
+        if len(found) > MAX_NAMES:
+            raise ValueError(f"more than {MAX_NAMES} distinct fields")
+        to = self.names(list(targets), {(r.table_name, r.field_name.lower()) for r in found})
+        where = sorted({(r.table_name, r.field_name, to[r.table_name, r.field_name.lower()]) for r in found})
+        counts: dict[str, dict[str, int]] = {}
+        for r in found:
+            kinds = counts.setdefault(to[r.table_name, r.field_name.lower()], {})
+            kinds[r.type] = kinds.get(r.type, 0) + r.valued
+        types = dict(targets)
+        for column in sorted(c for c in counts if c and c not in targets):
+            n = {k: counts[column].get(k, 0) for k in ("bigint", "double", "boolean", "string")}
+            number, most = n["bigint"] + n["double"], max(n["boolean"], n["string"])
+            types[column] = ("double" if n["double"] else "bigint") if number > most else "boolean" if n["boolean"] > n["string"] else "string"
+        if len(types) > max_columns:
+            raise ValueError(f"more than {max_columns} columns")
+        return types, where
+
+    def typed(self, targets: dict[str, str], added: bool = False) -> DataFrame:
+        """One row per data line: file_id, line_no, the target columns in their types (added: those of all other fields too), failed_casts, the columns whose value does not cast, and other_values, the values that are in no column as they are.
+
+        Of several fields of a file that lead to one column the one of its name, else the first by name counts.
+        """
+        types, where = self.columns(targets)
+        types = types if added else dict(targets)
+        spark = self.cells.sparkSession
+        named = spark.createDataFrame([(t, n, c, n != c, n.lower() != c) for t, n, c in where if c in types], "table_name string, field_name string, column string, other boolean, renamed boolean")
+        fields = self.types.join(self.files.select("file_id", F.coalesce("table_name", F.lit("")).alias("table_name")), "file_id").join(small(named), ["table_name", "field_name"])
+        firsts = fields.groupBy("file_id", "column").agg(F.min(F.struct("renamed", "other", "field_name")).alias("f"))
+        held = firsts.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("column", "f.field_name"))).alias("held"))
+        rows = self.cells.filter("line_no > 0").join(held, "file_id", "left")
+        raw = {t: F.col("cells")[F.col("held")[t]] for t in types}
+        cast = {t: raw[t].try_cast(kind) for t, kind in types.items()}
+        failed = F.array_compact(F.array(*[F.when(raw[t].isNotNull() & cast[t].isNull(), t) for t in types]))
+        kept = F.array_compact(F.array(*[F.when(cast[t].isNotNull(), F.col("held")[t]) for t in types]))
+        rest = F.map_filter("cells", lambda k, v: v.isNotNull() & ~F.array_contains("_kept", k))
+        out = lambda t: t if t not in ("file_id", "line_no", "failed_casts", "other_values") else f"{t}_value"
+        return rows.withColumn("_kept", kept).select("file_id", "line_no", *[c.alias(out(t)) for t, c in cast.items()], failed.alias("failed_casts"), rest.alias("other_values"))
+
+
+#: Distinct names, or distinct renames, of all files; they are held on the driver.
+MAX_NAMES = 100_000
+#: The columns of the three tables and their types.
+TARGETS = {
+    "run_id": "bigint", "backbone": "string", "dataset": "string", "method": "string", "category": "string", "classifier": "string", "accuracy": "double", "accuracy_mean": "double", "accuracy_std": "double",
+    "dim": "bigint", "feature_dim": "bigint", "n_classes": "bigint", "n_components": "bigint", "time_reduce": "double", "time_classify": "double", "time_total": "double", "n_seeds": "bigint", "status": "string",
+}
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,14 +239,14 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of all files as one table with typed columns."""
-    return Drift(spark, sf_dir).typed(TARGETS).drop("failed_casts")
+    """The lines of all files as one table with a typed column for every field of any file; other_values holds, as they are, values that do not cast and those of a second field of one column."""
+    return Drift(spark, sf_dir).typed(TARGETS, added=True).drop("failed_casts")
 
 
 def p6_failed_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(table_name, field_name, lines): how many lines of each table hold a value that does not cast to the column's type."""
     drift = Drift(spark, sf_dir)
-    rows = drift.typed(TARGETS).select("file_id", F.explode("failed_casts").alias("field_name"))
+    rows = drift.typed(TARGETS, added=True).select("file_id", F.explode("failed_casts").alias("field_name"))
     return rows.join(drift.files.select("file_id", "table_name"), "file_id").groupBy("table_name", "field_name").agg(F.count(F.lit(1)).alias("lines"))
 
 

@@ -65,6 +65,22 @@ def test_hot_chain_and_long_cells(spark, tables):
     assert len(got) == 38 and {k for _, _, k in got} == {"renamed"}
 
 
+def test_table_holds_every_field(spark, tables):
+    put(
+        tables,
+        [(1, "f", "all_results", 1, ","), (2, "f", "all_benchmarks", 1, ","), (3, "f", "cifar100_benchmark", 1, ",")],
+        {3: ["run_id,lr", "1,0.5"], 1: ["run_id,classifier,accuracy_std,n_components,n_seeds,status,lr,file_id,", "1,LogReg,0.5,9,3,OK,0.1,77,z", "2,MLP,x,9,many,FAILED,3,78,"], 2: ["run_id,Lr,is_pareto,notes,NOTES", "1,low,true,a,b"]},
+    )
+    df = d.p6_table(spark, tables.dir)
+    assert dict(df.dtypes)["lr"] == "double" and dict(df.dtypes)["is_pareto"] == "boolean"
+    got = {(r.file_id, r.line_no): r for r in df.collect()}
+    a, b, c = got[1, 1], got[1, 2], got[2, 1]
+    assert (a.classifier, a.accuracy_std, a.n_components, a.n_seeds, a.status, a.lr, a.file_id_value, a.other_values) == ("LogReg", 0.5, 9, 3, "OK", 0.1, 77, {"": "z"})
+    assert (b.accuracy_std, b.n_seeds, b.lr, b.status, b.other_values) == (None, None, 3.0, "FAILED", {"accuracy_std": "x", "n_seeds": "many"})
+    assert (c.lr, c.is_pareto, c.notes, c.other_values) == (None, True, "a", {"Lr": "low", "NOTES": "b"})
+    assert sorted(rows(d.p6_failed_casts(spark, tables.dir))) == [("all_benchmarks", "lr", 1), ("all_results", "accuracy_std", 1), ("all_results", "n_seeds", 1)]
+
+
 def test_against_plain_loops(spark):
     import os
 
