@@ -147,6 +147,18 @@ def changes(files: DataFrame, cells: DataFrame, types: DataFrame) -> DataFrame:
     )
 
 
+#: Distinct names, or distinct renames, of all files; they are held on the driver.
+MAX_NAMES = 100_000
+#: The columns of the three tables and their types.
+TARGETS = {
+    "run_id": "bigint", "backbone": "string", "dataset": "string", "method": "string", "category": "string", "classifier": "string", "accuracy": "double", "accuracy_mean": "double", "accuracy_std": "double",
+    "dim": "bigint", "feature_dim": "bigint", "n_classes": "bigint", "n_components": "bigint", "time_reduce": "double", "time_classify": "double", "time_total": "double", "n_seeds": "bigint", "status": "string",
+}
+#: What the tables have of them: where a table has only one of accuracy and accuracy_mean, the other is a rename of it.
+_BENCH = {"run_id", "backbone", "dataset", "method", "category", "accuracy", "dim", "time_reduce", "time_classify", "time_total"}
+OWN = {"all_benchmarks": _BENCH, "cifar100_benchmark": _BENCH | {"n_classes", "feature_dim"}, "all_results": set(TARGETS) - {"accuracy"}}
+
+
 class Drift:
     """The parts of a drift study over manifest files and their lines."""
 
@@ -159,24 +171,40 @@ class Drift:
     def changes(self) -> DataFrame:
         return changes(self.files, self.cells, self.types)
 
-    def names(self, targets: list[str], fields: set[tuple[str, str]], max_names: int = 100_000, min_evidence: int = 2) -> dict[tuple[str, str], str]:
-        """(table_name, name) -> column of each of the lower-case names in fields: a target if it is one or was renamed from or to one in at least min_evidence steps, else itself.
+    def names(self, targets: list[str], fields: set[tuple[str, str]], max_names: int = MAX_NAMES) -> dict[tuple[str, str], str]:
+        """(table_name, name) -> column of each of the lower-case names in fields: the target that renames lead to, else the name itself or the first of those it was renamed from or to.
 
-        Works on distinct names, not on files; their number is checked against max_names.
+        Every rename counts, those of the table itself before those of other tables and frequent ones before rare ones; only one
+        that would join two of the table's own targets does not. Works on distinct names, not on files.
         """
-        edges = [(r.old_name, r.field_name) for r in self.changes().filter("change_kind = 'renamed'").groupBy("old_name", "field_name").count().filter(F.col("count") >= min_evidence).limit(max_names + 1).collect()]
-        if len(edges) > max_names:
+        files = self.files.select("file_id", F.coalesce("table_name", F.lit("")).alias("table_name"))
+        renames = self.changes().filter("change_kind = 'renamed'").join(files, "file_id").groupBy("table_name", "old_name", "field_name").agg(F.count(F.lit(1)).alias("n")).limit(max_names + 1).collect()
+        if len(renames) > max_names:
             raise ValueError(f"more than {max_names} distinct renames")
-        known = {t.lower(): t for t in targets}
-        todo = list(known)
-        while todo:
-            at = todo.pop()
-            for a, b in edges:
-                for x, y in ((a.lower(), b.lower()), (b.lower(), a.lower())):
-                    if x == at and y not in known:
-                        known[y] = known[x]
-                        todo.append(y)
-        return {(t, n): known.get(n, n) for t, n in fields}
+        edges = sorted((-r.n, r.old_name.lower(), r.field_name.lower(), r.table_name) for r in renames)
+
+        def joined(own: set[str], some: list[tuple]) -> dict[str, list[str]]:
+            """name -> the names that some of the edges join it with."""
+            groups: dict[str, list[str]] = {}
+            for _, a, b, _ in some:
+                x, y = groups.setdefault(a, [a]), groups.setdefault(b, [b])
+                if x is not y and not (own & set(x) and own & set(y)):
+                    x += y
+                    groups.update(dict.fromkeys(y, x))
+            return groups
+
+        out = {}
+        low = {t.lower(): t for t in targets}
+        # Added fields bear one name in all tables.
+        common = joined(set(low), edges)
+        for table in {t for t, _ in fields}:
+            own = set(low) & OWN.get(table, set(low))
+            groups = joined(own, [e for e in edges if e[3] == table] + [e for e in edges if e[3] != table])
+            for name in {n for t, n in fields if t == table}:
+                group = groups.get(name, [name])
+                first = [t for t in low if t in own and t in group] or [name for _ in [0] if name in low] or [t for t in low if t in group]
+                out[table, name] = low[first[0]] if first else min(common.get(name, [name]))
+        return out
 
     def columns(self, targets: dict[str, str], max_columns: int = 1000) -> tuple[dict[str, str], list[tuple[str, str, str]]]:
         """(column -> type of all fields of all files, (table_name, field_name, column)): the targets, then the fields that lead to none.
@@ -224,15 +252,6 @@ class Drift:
         return rows.withColumn("_kept", kept).select("file_id", "line_no", *[c.alias(out(t)) for t, c in cast.items()], failed.alias("failed_casts"), rest.alias("other_values"))
 
 
-#: Distinct names, or distinct renames, of all files; they are held on the driver.
-MAX_NAMES = 100_000
-#: The columns of the three tables and their types.
-TARGETS = {
-    "run_id": "bigint", "backbone": "string", "dataset": "string", "method": "string", "category": "string", "classifier": "string", "accuracy": "double", "accuracy_mean": "double", "accuracy_std": "double",
-    "dim": "bigint", "feature_dim": "bigint", "n_classes": "bigint", "n_components": "bigint", "time_reduce": "double", "time_classify": "double", "time_total": "double", "n_seeds": "bigint", "status": "string",
-}
-
-
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file_id, field_name, change_kind) of every change along the chains."""
     return Drift(spark, sf_dir).changes().select("file_id", "field_name", "change_kind")

@@ -81,6 +81,26 @@ def test_table_holds_every_field(spark, tables):
     assert sorted(rows(d.p6_failed_casts(spark, tables.dir))) == [("all_benchmarks", "lr", 1), ("all_results", "accuracy_std", 1), ("all_results", "n_seeds", 1)]
 
 
+def test_every_rename_is_followed_in_its_table(spark, tables):
+    put(
+        tables,
+        [(1, "f", "all_benchmarks", 1, ","), (2, "f", "all_benchmarks", 2, ","), (3, "f", "all_results", 1, ","), (4, "f", "all_results", 2, ","), (5, "g", "all_results", 1, ","), (6, "f", "all_benchmarks", 3, ",")],
+        {
+            1: ["run_id,accuracy,dim,lr", "1,70,9,5", "2,71,8,6"],
+            2: ["run_id,accuracy_mean,out_dim,rate", "1,70,9,5", "2,71,8,6", "3,72,7,7"],
+            3: ["run_id,accuracy_mean,dim", "1,60,9"],
+            4: ["run_id,accuracy,dim", "1,60,9", "2,61,9"],
+            5: ["run_id,accuracy,out_dim,rate", "4,62,5,8"],
+            6: ["run_id,accuracy_mean,out_dim,lr", "3,72,7,7"],
+        },
+    )
+    got = {(r.file_id, r.line_no): r for r in d.p6_table(spark, tables.dir).collect()}
+    assert all(not r.other_values for r in got.values())
+    assert [(got[2, i].accuracy, got[2, i].accuracy_mean, got[2, i].dim, got[2, i].lr) for i in (1, 2, 3)] == [(70, None, 9, 5), (71, None, 8, 6), (72, None, 7, 7)]
+    assert (got[4, 2].accuracy, got[4, 2].accuracy_mean) == (None, 61)
+    assert (got[5, 1].accuracy, got[5, 1].accuracy_mean, got[5, 1].dim, got[5, 1].lr) == (None, 62, 5, 8)
+
+
 def test_against_plain_loops(spark):
     import os
 
