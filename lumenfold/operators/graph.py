@@ -31,13 +31,14 @@ def _neighbours(k: int):
             for at in range(0, len(q), 512):
                 part = x[at : at + 512]
                 approx = y2[None, :] - 2 * part @ y.T
-                keep = min(len(r), k + 17)
-                some = np.argpartition(approx, keep - 1, axis=1)[:, :keep]
+                # All rows up to the k-th distance, the query itself apart, and what rounding may hide: ties of any number stay whole.
+                upto = np.partition(approx, min(k, len(r) - 1), axis=1)[:, min(k, len(r) - 1)] + 1e-9 * (1 + (part * part).sum(axis=1) + y2.max())
                 for a in range(len(part)):
-                    b = some[a][r[some[a]] != q[at + a]]
-                    # Distances of the few candidates are recomputed by differences, which keeps ties exact.
+                    b = np.flatnonzero(approx[a] <= upto[a])
+                    b = b[r[b] != q[at + a]]
+                    # Distances of the candidates are recomputed by differences, which keeps ties exact.
                     d = np.sqrt(((part[a] - y[b]) ** 2).sum(axis=1))
-                    best = np.lexsort((r[b], d))[:k]
+                    best = np.lexsort((r[b], np.round(d, 10)))[:k]
                     i.append(np.full(len(best), q[at + a])), j.append(r[b[best]]), dist.append(d[best])
         cat = lambda parts, t: np.concatenate(parts) if parts else np.empty(0, t)
         return pa.table({"i": cat(i, np.int64), "j": cat(j, np.int64), "dist": cat(dist, np.float64)})

@@ -182,3 +182,18 @@ def test_failed_method_is_a_row(spark, data):
     df = data[2]
     out = experiments.table(spark, experiments.run(df, df, ["PCA", "nonsense"], 2)).collect()
     assert [(o.method, o.status) for o in out] == [("PCA", "OK"), ("nonsense", "FAILED")] and out[1].accuracy is None
+
+
+def test_neighbours_keep_all_ties():
+    """Of many copies the least ids count, whatever the order of the rows."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    x = np.concatenate([np.tile(rng.standard_normal(6), (200, 1)), rng.standard_normal((100, 6)) + 9])
+    ids = rng.permutation(300)
+    t = pa.table({"id": pa.array(ids, pa.int64()), "x": pa.array(x.tolist(), pa.list_(pa.float64()))})
+    out = graph._neighbours(7)(t, t).to_pandas()
+    assert len(out) == 300 * 7
+    for i, near in out.groupby("i"):
+        dist = np.round(np.sqrt(((x - x[ids == i]) ** 2).sum(axis=1)), 10)
+        assert list(near["j"]) == [j for j in ids[np.lexsort((ids, dist))] if j != i][:7]
