@@ -28,7 +28,7 @@ def standardize(train: DataFrame, vector: str, label: str, out: str, m: Moments
 class Logistic:
     """Multinomial logistic regression with L2 penalty 1 / (c * n) and an unpenalised intercept."""
 
-    def __init__(self, vector: str, label: str, c: float = 1.0, max_iter: int = 200, tol: float = 1e-6):
+    def __init__(self, vector: str, label: str, c: float = 1.0, max_iter: int = 5000, tol: float = 1e-6):
         self.vector, self.label, self.c, self.max_iter, self.tol = vector, label, c, max_iter, tol
 
     def fit(self, df: DataFrame):
@@ -56,7 +56,7 @@ class Perceptron:
     with one partition this is ordinary training.
     """
 
-    def __init__(self, vector: str, label: str, hidden: tuple[int, ...] = (256, 128), batch: int = 256, rate: float = 1e-3, epochs: int = 40, patience: int = 10, seed: int = 42):
+    def __init__(self, vector: str, label: str, hidden: tuple[int, ...] = (256, 128), batch: int = 256, rate: float = 1e-3, epochs: int = 500, patience: int = 10, seed: int = 42):
         self.vector, self.label, self.hidden, self.batch, self.rate, self.epochs, self.patience, self.seed = vector, label, hidden, batch, rate, epochs, patience, seed
 
     @staticmethod

@@ -197,3 +197,10 @@ def test_neighbours_keep_all_ties():
     for i, near in out.groupby("i"):
         dist = np.round(np.sqrt(((x - x[ids == i]) ** 2).sum(axis=1)), 10)
         assert list(near["j"]) == [j for j in ids[np.lexsort((ids, dist))] if j != i][:7]
+
+
+def test_training_lasts_as_surveyed():
+    """C1 and C3 of the survey: 5000 iterations and 500 epochs, patience 10, unless the tolerance ends it before."""
+    assert classify.CLASSIFIERS["LogReg"]("v", "y", 42).max_iter == 5000
+    mlp = classify.CLASSIFIERS["MLP"]("v", "y", 42)
+    assert (mlp.epochs, mlp.patience) == (500, 10)
