@@ -31,9 +31,8 @@ from lumenfold.session import parallelism, stage
 VIEWS = 10
 WINDOW = 5
 MIN, AVERAGE, MAX = 12, 6, 30
-#: Least overlap of a pair that is measured: of two unrelated records one in about ten million shares so much, of pairs with a
-#: cosine of 0.985 all but one in two hundred do, of closer ones nearly all.
-MIN_OVERLAP = 0.05
+#: Least overlap of a pair that is measured: any shared chunk. A greater one would lose pairs at a cosine of 0.985.
+MIN_OVERLAP = 0.0
 SEED = 11
 #: Vectors whose chunks are computed at a time.
 BLOCK = 8192

@@ -160,6 +160,18 @@ def test_cross_split_pairs(spark, tables):
     assert sum(r.pairs for r in report) == len(got)
 
 
+def test_pairs_that_share_little(spark, tables):
+    rng = np.random.default_rng(6)
+    data = []
+    for i in range(1500):
+        v = rng.standard_normal(64)
+        data += [(2 * i, "a", "c", "train", None, 1, [float(x) for x in v]), (2 * i + 1, "a", "c", "test", None, 1, [float(x) for x in near(rng, v, 0.9851)])]
+    tables("extract_features_multi", data, SCHEMA)
+    tables("cub200", [], CUB)
+    got = set(rows(chunks.p5_found(spark, tables.dir)))
+    assert len(got & {(2 * i, 2 * i + 1) for i in range(1500)}) >= 1497
+
+
 def test_chunks_cover_the_record():
     rng = np.random.default_rng(3)
     symbols = rng.integers(0, 2, (50, 200)).astype(np.uint8)
