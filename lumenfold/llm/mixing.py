@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions.labels import label
-from lumenfold.llm.topn import order_words, select_top
+from lumenfold.llm.topn import select_top
 from lumenfold.session import stage
 
 #: Vocabulary file of ranks, and the folder that holds it.
@@ -143,8 +143,7 @@ def repeats(documents: DataFrame, targets: DataFrame, seed: int = SEED, exponent
     want = stage(want.withColumn("rank", F.log(u / (1 - u)) - F.log(F.col("p") / (1 - F.col("p")))), "mix-wanted")
     sized = want.groupBy("mix_id", "source").agg(F.round(F.sum("p")).cast("long").alias("n"))
     drawn = want.filter("p > 0").join(F.broadcast(sized), ["mix_id", "source"]).select("mix_id", "source", "doc_id", "tokens", "rank", "n")
-    words = [*order_words(drawn, "rank", True), *order_words(drawn, "doc_id", True)]
-    taken = select_top(drawn, ["mix_id", "source"], words, F.col("n")).select("mix_id", "doc_id", "source", "tokens", F.lit(1).cast("long").alias("copies"))
+    taken = select_top(drawn, ["mix_id", "source"], [("rank", True), ("doc_id", True)], F.col("n")).select("mix_id", "doc_id", "source", "tokens", F.lit(1).cast("long").alias("copies"))
     certain = want.filter("whole > 0").select("mix_id", "doc_id", "source", "tokens", F.col("whole").alias("copies"))
     return certain.unionByName(taken).groupBy("mix_id", "doc_id", "source", "tokens").agg(F.sum("copies").alias("copies")), plan
 

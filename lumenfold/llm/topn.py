@@ -1,10 +1,12 @@
 """The N best rows of every group by simultaneous bisection of per-group cutoffs.
 
-The order of the rows is encoded as a sequence of unsigned 32-bit words that compare like the order columns followed by the
-identifier (better is larger). One word at a time, the interval of every group that may still hold its cutoff is cut at
-FANOUT - 1 midpoints at once and the rows above each midpoint are counted; rows surely inside are put aside, rows surely
-outside are dropped, and only the rows of the cut interval go on. A group ends as soon as an interval edge leaves exactly N
-rows above it. Only counts are shuffled by group; the rows of a hot group are spread over salts.
+The order of the rows is a code of 64-bit words that compare like the order columns followed by the identifier (better is
+larger): one word for a number and its null, a word for every seven bytes of a string. Words that are the same in all rows are
+passed over, and those of a string are taken from the rows only where a group still ties in what came before. A round cuts the
+open interval of every group at FANOUT - 1 midpoints at once and counts the rows above each; rows surely inside are put aside,
+rows surely outside are dropped, and only the rows of the interval that holds the cutoff go on. A group ends when an interval
+edge leaves exactly N rows above it, or when at most END_ROWS rows are in its open interval, which are then put in order as
+they are. Only counts are shuffled by group; the rows of a hot group are spread over salts.
 
 Defined results: null keys form groups like any other; null order values come last, NaN as the largest number; rows equal in all
 order columns and the identifier are interchangeable; a group of fewer than N rows is returned whole; a null N counts as 0.
@@ -12,6 +14,10 @@ order columns and the identifier are interchangeable; a group of fewer than N ro
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,89 +31,144 @@ from lumenfold.session import parallelism, stage
 
 #: Intervals that one round cuts the open interval of a group into.
 FANOUT = 64
+#: Rows of an open interval that a task puts in order at once.
+END_ROWS = 1024
+#: Bytes of a string in one word: 56 bits are never negative.
+BYTES = 7
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _double_words(x: pd.Series) -> pd.Series:
-    raw = (x.to_numpy(np.float64, na_value=np.nan) + 0.0).view(np.uint64)
-    code = np.where(raw >> np.uint64(63), ~raw, raw | np.uint64(1 << 63))
-    return pd.Series(list(np.stack([code >> np.uint64(32), code & np.uint64(0xFFFFFFFF)], axis=1).astype(np.int64)))
+@F.pandas_udf(T.LongType())
+def _double_code(x: pd.Series) -> pd.Series:
+    """Signed 64-bit code that compares like the number; the least long is left free."""
+    x = x.to_numpy(np.float64, na_value=np.nan) + 0.0
+    raw = np.where(np.isnan(x), np.nan, x).view(np.int64)
+    return pd.Series(np.where(raw < 0, raw ^ np.int64(_MOST), raw))
 
 
-def order_words(df: DataFrame, column: str, ascending: bool) -> list[Column]:
-    """Word columns that compare like the column (larger is better); nulls get the least words."""
-    c, kind = F.col(column), df.schema[column].dataType.typeName()
-    top = 0xFFFFFFFF
+def number_words(c: Column, kind: str, ascending: bool) -> list[Column]:
+    """Word columns of a column that is no string."""
+    turn = F.bitwise_not if ascending else (lambda w: w)
     if kind in ("double", "float"):
-        both = _double_words(c.cast("double"))
-        words = [both[0], both[1]]
-    elif kind in ("byte", "short", "integer", "long", "date", "timestamp", "boolean", "timestamp_ntz"):
-        n = F.unix_micros(c.cast("timestamp")) if kind.startswith("timestamp") else F.unix_date(c).cast("long") if kind == "date" else c.cast("long")
-        words = [F.shiftrightunsigned(n, 32).bitwiseXOR(F.lit(1 << 31)), n.bitwiseAND(F.lit(top))]
-    else:
-        data = c.cast("string").cast("binary")
-        longest = df.agg(F.max(F.octet_length(data))).first()[0] or 0
-        padded = F.rpad(F.hex(data), 8 * -(-longest // 4), "0")
-        words = [F.conv(F.substring(padded, 8 * i + 1, 8), 16, 10).cast("long") for i in range(-(-longest // 4))] + [F.octet_length(data).cast("long")]
-    flip = (lambda w: F.lit(top) - w) if ascending else (lambda w: w)
-    return [F.when(c.isNotNull(), 1).otherwise(0).cast("long"), *[F.coalesce(flip(w), F.lit(0)) for w in words]]
+        return [F.when(c.isNull(), F.lit(_LEAST)).otherwise(turn(_double_code(c.cast("double"))))]
+    n = F.unix_micros(c.cast("timestamp")) if kind.startswith("timestamp") else F.unix_date(c).cast("long") if kind == "date" else c.cast("long")
+    return [c.isNotNull().cast("long"), F.coalesce(turn(n), F.lit(0))]
+
+
+def string_word(c: Column, i: int, ascending: bool) -> Column:
+    """The i-th word of a string: seven bytes, filled up with zeros."""
+    bytes_ = F.hex(F.substring(c.cast("binary"), BYTES * i + 1, BYTES))
+    word = F.coalesce(F.conv(F.rpad(bytes_, 2 * BYTES, "0"), 16, 10).cast("long"), F.lit(0))
+    return F.bitwise_not(word) if ascending else word
+
+
+def _is_number(kind: str) -> bool:
+    return kind in ("double", "float", "byte", "short", "integer", "long", "date", "timestamp", "boolean", "timestamp_ntz")
 
 
-def select_top(df: DataFrame, keys: list[str], words: list[Column], n: Column, fanout: int = FANOUT) -> DataFrame:
-    """The rows of df with the n best word sequences of each group, exactly n where the group has as many. n: the same in all rows of a group."""
+def _bucket(word: str, fanout: int) -> Column:
+    """Number of the interval of [_lo, _hi] that a word is in. Spans of more than 62 bits are halved, so nothing overflows."""
+    half = "(shiftright(_hi, 1) - shiftright(_lo, 1))"
+    wide = f"({half} >= {1 << 61})"
+    span, off = f"IF({wide}, {half}, _hi - _lo)", f"IF({wide}, shiftright({word}, 1) - shiftright(_lo, 1), {word} - _lo)"
+    return F.expr(f"CAST({off} div ({span} div {fanout} + 1) AS INT)")
+
+
+def select_top(df: DataFrame, keys: list[str], order: list[tuple[str, bool]], n: Column, fanout: int = FANOUT, end_rows: int = END_ROWS) -> DataFrame:
+    """The n best rows of each group, exactly n where the group has as many. order: (column, ascending), most important first. n: the same in all rows of a group."""
     spark = df.sparkSession
-    names = [f"_w{i}" for i in range(len(words))]
+    kinds = [df.schema[c].dataType.typeName() for c, _ in order]
     group = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0))
-    # The row itself travels as one struct, so its columns cannot clash with those of the bisection.
-    rows = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("_row"), group.alias("_g"), F.coalesce(n.cast("long"), F.lit(0)).alias("_need"), *[w.alias(k) for k, w in zip(names, words, strict=True)])
+    static: dict[int, list[Column]] = {i: number_words(F.col(c), k, asc) for i, ((c, asc), k) in enumerate(zip(order, kinds, strict=True)) if _is_number(k)}
+    # The row itself travels as one struct, so its columns cannot clash with those of the bisection; strings are read from it when they are needed.
+    rows = df.select(
+        F.struct(*[F.col(c) for c in df.columns]).alias("_row"), group.alias("_g"), F.coalesce(n.cast("long"), F.lit(0)).alias("_need"),
+        *[w.alias(f"_w{i}_{j}") for i, words in static.items() for j, w in enumerate(words)],
+    )
     active = stage(rows.filter("_need > 0"), "topn-rows")
-    salt, kept, hot, first = F.struct(*names), [], None, True
-    tasks = parallelism(spark)
-    for word in names:
-        # The widest interval a word can have serves as first bounds; each round then takes the least and the largest word really there.
-        active = active.withColumns({"_lo": F.lit(0).cast("long"), "_hi": F.lit((1 << 32) - 1).cast("long"), "_open": F.lit(True)})
-        narrowed = False
+    text = {i: F.col("_row")[c].cast("string") for i, (c, _) in enumerate(order) if i not in static}
+    names = [c for c in active.columns if c.startswith("_w")]
+    seen = active.agg(F.count(F.lit(1)), *[f(c) for c in names for f in (F.min, F.max)], *[f for t in text.values() for f in (F.coalesce(F.max(F.octet_length(t)), F.lit(0)), F.count(t))]).first()
+    if not seen[0]:
+        return active.select("_row.*")
+    ends = dict(zip(names, zip(seen[1 : 1 + 2 * len(names) : 2], seen[2 : 2 + 2 * len(names) : 2], strict=True), strict=True))
+    lengths = dict(zip(text, zip(seen[1 + 2 * len(names) :: 2], seen[2 + 2 * len(names) :: 2], strict=True), strict=True))
+
+    def words() -> Iterator[tuple[Column, int, int]]:
+        """(word, bounds) of every word that is not the same in all rows."""
+        for i, (_, ascending) in enumerate(order):
+            if i in static:
+                yield from ((F.col(f"_w{i}_{j}"), *ends[f"_w{i}_{j}"]) for j in range(len(static[i])) if ends[f"_w{i}_{j}"][0] < ends[f"_w{i}_{j}"][1])
+                continue
+            longest, there = lengths[i]
+            if there < seen[0]:
+                yield text[i].isNotNull().cast("long"), 0, 1
+            j = 0
+            while j < -(-longest // BYTES):
+                if j and j % 16 == 0:
+                    # What all rows that are left begin with is passed over at once.
+                    least, most = active.agg(F.min(text[i]), F.max(text[i])).first()
+                    j = max(j, len(os.path.commonprefix([(least or "").encode(), (most or "").encode()])) // BYTES)
+                yield string_word(text[i], j, ascending), -(1 << 56), 1 << 56
+                j += 1
+            if longest:
+                # Only strings that differ in nothing but zeros at their end are left.
+                size = F.coalesce(F.octet_length(text[i]).cast("long"), F.lit(0))
+                yield (-size if ascending else size), -longest, longest
+
+    salt, tasks, hot, first = F.xxhash64("_row"), parallelism(spark), None, True
+    kept, short = [], []
+    for word, low, high in words():
+        # The bounds of all rows serve in a word's first round; each round then takes the least and the largest word really there.
+        active = active.withColumns({"_word": word, "_lo": F.lit(low).cast("long"), "_hi": F.lit(high).cast("long")})
         while True:
-            width = F.floor((F.col("_hi") - F.col("_lo")) / F.lit(fanout)) + 1
-            active = active.withColumn("_b", F.when(F.col("_open"), F.floor((F.col(word) - F.col("_lo")) / width)).otherwise(0).cast("int"))
-            counts = active.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("c"), F.min(word).alias("lo"), F.max(word).alias("hi"), F.first("_need").alias("need"))
-            counts = stage(counts, "topn-counts")
-            down = Window.partitionBy("_g").orderBy(F.desc("_b"))
-            upto = F.sum("c").over(down)
-            group_n = F.sum("c").over(Window.partitionBy("_g"))
-            cut = counts.withColumns({"upto": upto, "n": group_n}).withColumn("above", F.col("upto") - F.col("c"))
+            active = active.withColumn("_b", _bucket("_word", fanout))
+            counts = active.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("c"), F.min("_word").alias("lo"), F.max("_word").alias("hi"), F.first("_need").alias("need"))
+            upto = F.sum("c").over(Window.partitionBy("_g").orderBy(F.desc("_b")))  # at most fanout rows a group
+            cut = counts.withColumns({"upto": upto, "n": F.sum("c").over(Window.partitionBy("_g"))}).withColumn("above", F.col("upto") - F.col("c"))
             # The interval in which the count passes the need; a group smaller than its need is cut below its lowest interval.
-            cut = cut.filter((F.col("above") < F.col("need")) & ((F.col("upto") >= F.col("need")) | (F.col("upto") == F.col("n"))))
-            cut = cut.select("_g", F.col("_b").alias("cut_b"), "lo", "hi", (F.col("need") - F.col("above")).alias("left"), (F.col("upto") <= F.col("need")).alias("done"), "n")
+            cut = cut.filter("above < need AND (upto >= need OR upto = n)")
+            cut = cut.selectExpr("_g", "_b AS cut_b", "lo", "hi", "need - above AS left", f"CASE WHEN upto <= need THEN 'whole' WHEN c <= {end_rows} THEN 'short' WHEN lo < hi THEN 'open' ELSE 'tied' END AS state", "n")
             if first:
                 cut, first = stage(cut, "topn-cut"), False
                 sized = hot_keys(cut, "_g", "n", tasks).collect()  # at most twice as many as tasks
                 hot = spark.createDataFrame(sized, cut.select("_g").schema) if sized else None
-            joined = lookup(active, cut.drop("n"), "_g", hot, salt).withColumn("_in", (F.col("_b") > F.col("cut_b")) | (F.col("done") & (F.col("_b") == F.col("cut_b"))))
-            joined = joined.filter("_in OR (NOT done AND _b = cut_b)").withColumns({"_need": F.col("left"), "_lo": F.col("lo"), "_hi": F.col("hi")}).drop("left", "lo", "hi", "cut_b", "done")
+            joined = lookup(active, cut.drop("n"), "_g", hot, salt).filter("_b >= cut_b").withColumn("_state", F.expr("IF(_b > cut_b, 'whole', state)"))
+            joined = joined.withColumns({"_need": F.col("left"), "_lo": F.col("lo"), "_hi": F.col("hi")}).drop("left", "lo", "hi", "cut_b", "state", "_b")
             joined = stage(joined, "topn-round")
-            kept.append(joined.filter("_in").select("_row.*"))
-            active = joined.filter("NOT _in").withColumn("_open", F.col("_lo") < F.col("_hi")).drop("_in")
-            state = active.agg(F.count(F.lit(1)), F.count_if("_open")).first()
-            narrowed = True
-            if not state[0] or not state[1]:
+            kept.append(joined.filter("_state = 'whole'").select("_row"))
+            short.append(joined.filter("_state = 'short'").select("_row", "_g", "_need"))
+            active = joined.filter("_state IN ('open', 'tied')")
+            states = {r[0] for r in active.select("_state").distinct().collect()}
+            # Tied groups wait for the next word in an interval of one value.
+            if "open" not in states:
                 break
-        if not state[0]:
+        if not states:
             break
-    if narrowed and state[0]:
-        # Left are rows that equal each other in every word: any of them will do.
-        nth = F.row_number().over(Window.partitionBy("_g").orderBy(F.lit(0)))
-        kept.append(active.withColumn("_nth", nth).filter(F.col("_nth") <= F.col("_need")).select("_row.*"))
-    out = kept[0]
-    for k in kept[1:]:
-        out = out.unionByName(k)
-    return out
-
-
-def top_n(df: DataFrame, keys: list[str], order: list[tuple[str, bool]], n: int | Column, fanout: int = FANOUT) -> DataFrame:
+        active = active.drop("_word", "_lo", "_hi", "_state")
+    else:
+        kept.append(_any_of(active.select("_row", "_g", "_need"), tasks))
+    # At most end_rows rows of a group, in the same order as the code's.
+    by = [F.col("_row")[c].asc_nulls_last() if asc else F.col("_row")[c].desc_nulls_last() for c, asc in order]
+    if short:
+        nth = F.row_number().over(Window.partitionBy("_g").orderBy(*by))
+        kept.append(reduce(DataFrame.unionByName, short).withColumn("_nth", nth).filter("_nth <= _need").select("_row"))
+    return reduce(DataFrame.unionByName, kept).select("_row.*")
+
+
+def _any_of(rows: DataFrame, tasks: int) -> DataFrame:
+    """_need of the rows of each group, all of which equal each other: whichever are met first in each of several parts of it."""
+    rows = stage(rows.withColumn("_s", F.pmod(F.monotonically_increasing_id(), F.lit(tasks))), "topn-tied")
+    parts = rows.groupBy("_g", "_s").agg(F.count(F.lit(1)).alias("c"), F.first("_need").alias("need"))
+    before = F.sum("c").over(Window.partitionBy("_g").orderBy("_s")) - F.col("c")  # at most as many parts as tasks
+    quota = parts.select("_g", "_s", F.greatest(F.col("need") - before, F.lit(0)).alias("_quota"))
+    nth = F.row_number().over(Window.partitionBy("_g", "_s").orderBy(F.lit(0)))
+    return rows.join(quota, ["_g", "_s"]).withColumn("_nth", nth).filter("_nth <= _quota").select("_row")
+
+
+def top_n(df: DataFrame, keys: list[str], order: list[tuple[str, bool]], n: int | Column, fanout: int = FANOUT, end_rows: int = END_ROWS) -> DataFrame:
     """The n best rows of each group with their rank_no. order: (column, ascending), most important first; end it with an identifier."""
-    words = [w for c, asc in order for w in order_words(df, c, asc)]
-    rows = select_top(df, keys, words, n if isinstance(n, Column) else F.lit(n), fanout)
+    rows = select_top(df, keys, order, n if isinstance(n, Column) else F.lit(n), fanout, end_rows)
     by = [F.col(c).asc_nulls_last() if asc else F.col(c).desc_nulls_last() for c, asc in order]
     # At most n rows of a group are left.
     return rows.withColumn("rank_no", F.row_number().over(Window.partitionBy(*keys).orderBy(*by)))

@@ -22,12 +22,12 @@ VALUES = st.sampled_from([None, -1e300, -1.5, -0.0, 0.0, 1e-300, 2.5, 70.125, 70
 ROWS = st.lists(st.tuples(st.sampled_from([None, "a", "b"]), VALUES, st.sampled_from([None, "", "é", "z", "zebra", "zebr", "Z"])), max_size=40)
 
 
-@settings(max_examples=6, deadline=None)
-@given(ROWS, st.integers(1, 6))
-def test_against_sorting(spark, data, n):
+@settings(max_examples=8, deadline=None)
+@given(ROWS, st.integers(1, 6), st.sampled_from([0, 3, 1024]))
+def test_against_sorting(spark, data, n, end_rows):
     data = [(*r, i) for i, r in enumerate(data)]
     df = spark.createDataFrame(data, "g string, a double, m string, id long")
-    got = topn.top_n(df, ["g"], [("a", False), ("m", True), ("id", True)], n, fanout=4)
+    got = topn.top_n(df, ["g"], [("a", False), ("m", True), ("id", True)], n, fanout=4, end_rows=end_rows)
     want = brute([(g, None if a is None else a + 0.0, m, i) for g, a, m, i in data], n, key=lambda r: (r[1] is None, -(r[1] or 0.0), r[2] is None, (r[2] or "").encode(), r[3]))
     assert sorted(((g, None if a is None else a + 0.0, m, i, k) for g, a, m, i, k in rows(got)), key=str) == want
 
@@ -41,13 +41,14 @@ def test_hot_group_of_ties(spark):
 
 def test_repeated_rows_and_clashing_columns(spark):
     df = spark.createDataFrame([("x", 1.0, 7, 5, 6)] * 9, "g string, a double, id long, _need int, _w0 int")
-    got = rows(topn.top_n(df, ["g"], [("a", False), ("id", True)], 4))
+    for end_rows in (0, 1024):
+        got = rows(topn.top_n(df, ["g"], [("a", False), ("id", True)], 4, end_rows=end_rows))
     assert len(got) == 4 and sorted(r[-1] for r in got) == [1, 2, 3, 4] and {r[:5] for r in got} == {("x", 1.0, 7, 5, 6)}
 
 
 def test_n_by_group(spark):
     df = spark.createDataFrame([(g, i, n) for g, n in (("a", 3), ("b", 0), ("c", None), ("d", 99)) for i in range(10)], "g string, i long, n int")
-    got = topn.select_top(df, ["g"], topn.order_words(df, "i", False), F.col("n"))
+    got = topn.select_top(df, ["g"], [("i", False)], F.col("n"))
     assert sorted(rows(got.groupBy("g").agg(F.count("*"), F.min("i")))) == [("a", 3, 7), ("d", 10, 0)]
 
 
@@ -56,9 +57,21 @@ def test_types_keep_their_order(spark):
     for kind, vs in values.items():
         df = spark.createDataFrame([(i, v) for i, v in enumerate(vs)] + [(-1, None)], f"i int, v {kind}")
         for asc in (False, True):
+            want = [*(range(len(vs)) if asc else reversed(range(len(vs)))), -1]
             got = [r.i for r in topn.top_n(df, [], [("v", asc), ("i", True)], 99).orderBy("rank_no").collect()]
-            want = list(range(len(vs)))
-            assert got == [*(want if asc else want[::-1]), -1], (kind, asc)
+            assert got == want, (kind, asc)
+            some = {r.i for r in topn.top_n(df, [], [("v", asc), ("i", True)], 2, fanout=4, end_rows=0).collect()}
+            assert some == set(want[:2]), (kind, asc)
+
+
+def test_long_strings(spark):
+    stem = "é" * 30_000
+    df = spark.createDataFrame([(i, stem + t) for i, t in enumerate(["b", "a", "a\0", "", "c"])], "i int, s string")
+    got = [r.i for r in topn.top_n(df, [], [("s", True), ("i", True)], 3, end_rows=5).orderBy("rank_no").collect()]
+    assert got == [3, 1, 2]
+    short = spark.createDataFrame([(i, "prefix of " + t) for i, t in enumerate(["beta", "alpha", "alpha\0", "", "alphabet"])], "i int, s string")
+    got = {r.i for r in topn.top_n(short, [], [("s", True), ("i", True)], 3, end_rows=0).collect()}
+    assert got == {3, 1, 2}
 
 
 def test_found_rules(spark, tables):
