@@ -1,32 +1,47 @@
 """Consolidating very many small files by Hilbert-curve clustering.
 
-Every record gets a code on a Hilbert curve through the space of its (folder, content) coordinates. An exact histogram of the
-codes is cut into ranges of equal weight, one per output file; the records are shuffled by range once, repeats are recognised
-inside a range (equal records have equal codes, so they share it), and each range is written as one file. Source, kept and
-repeated rows are compared by order-free digests.
+Every record gets a code on a Hilbert curve through the space of its (place, content) coordinates. A coordinate is the record's
+bucket in the order of all records by that axis, buckets of equal depth, so the curve keeps near what is near. An exact histogram of
+the codes, of what repeats nothing and in bytes as they are written, is cut into ranges of equal weight, one per output file; the
+records are shuffled by range once, repeats are recognised inside a range (equal records have equal codes and equal shares of
+a code, so they share it), and each range is written as one file. Source, files and repeats are compared by order-free digests.
+
+Bytes are measured: a range of about one file is written first, and what its rows took, against their raw length, holds for all.
+A code heavier than an eighth of a file is cut further by a hash of place and content. The copies of a record of which very many
+exist are not gathered: their first one is aggregated, and they are dealt to all ranges.
 
 Defined results: a record with a null path or checksum repeats nothing and is kept; a null arrival time counts as latest;
-an empty table gives no files; extra columns are carried along (names starting with "_" are reserved).
+identities are unique; an empty table gives no rows; extra columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lumenfold.session import stage, stage_path
+from lumenfold.operators.skew import frequent, small
+from lumenfold.session import parallelism, stage, stage_path
 
-#: Bits of each of the two coordinates.
-AXIS_BITS = 16
-#: Histogram cells that the driver may hold at once (16 bytes each).
-MAX_CELLS = 1 << 20
+#: Bits of each of the two coordinates: 1,023 bounds of an axis and at most 2 ** 20 cells of the histogram are held on the driver.
+AXIS_BITS = 10
+#: Characters of a value that its place on an axis is told by.
+AXIS_CHARS = 256
+#: Points that stand for all values of an axis that a task has met; each merging moves a bound by at most one part in as many.
+SUMMARY = 8192
 TARGET_BYTES = 128 << 20
+#: Units of a file in which codes are dealt to files.
+UNITS = 8
 
 
 def hilbert_encode(axes: np.ndarray, bits: int) -> np.ndarray:
@@ -55,11 +70,6 @@ def hilbert_encode(axes: np.ndarray, bits: int) -> np.ndarray:
     return code.astype(np.int64)
 
 
-@F.pandas_udf(T.LongType())
-def _hilbert(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(hilbert_encode(np.stack([a.to_numpy(), b.to_numpy()], axis=1), AXIS_BITS))
-
-
 def canonical_path(path: Column) -> Column:
     """The place a delivered image path names, whatever the spelling of separators, dot steps, dataset root and extension."""
     steps = F.filter(F.split(F.translate(F.regexp_replace(path, r"^[ \t\r\n]+|[ \t\r\n]+$", ""), "\\", "/"), "/"), lambda s: (s != "") & (s != "."))
@@ -68,175 +78,260 @@ def canonical_path(path: Column) -> Column:
     return F.when(path.isNotNull(), F.concat(F.left(place, F.length(place) - F.length(ending)), F.lower(ending)))
 
 
-@dataclass(frozen=True)
-class Ranges:
-    """Code ranges: range i starts at starts[i] and goes to the files first[i] ... first[i] + span[i] - 1."""
+def _thin(values: list[str], weights: np.ndarray, points: int) -> tuple[list[str], np.ndarray]:
+    """At most points of the sorted weighted values, at equal steps of weight, with the weight up to each."""
+    if len(values) <= points:
+        return values, weights
+    upto = np.cumsum(weights)
+    at = np.unique(np.searchsorted(upto, upto[-1] * np.arange(1, points + 1) / points - 0.5))
+    return [values[i] for i in at], np.diff(upto[at], prepend=0)
 
-    starts: np.ndarray
-    first: np.ndarray
-    span: np.ndarray
-    n_files: int
 
-    @property
-    def split(self) -> bool:
-        return bool((self.span > 1).any())
+def axis_bounds(df: DataFrame, axes: list[Column], buckets: int) -> list[list[str]]:
+    """For each axis at most buckets - 1 values that cut all its values, nulls apart, into buckets of equal depth.
 
+    Every task summarises what it meets, and summaries are merged in two levels: no values are left out, and buckets - 1 of them
+    reach the driver.
+    """
+    names = [f"a{i}" for i in range(len(axes))]
 
-def _cells(coded: DataFrame, weight: str, shift: int) -> DataFrame:
-    return coded.groupBy(F.shiftright("_code", shift).alias("cell")).agg(F.sum(weight).alias("w"))
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh: list[list[str]] = [[] for _ in names]
+        held: list[tuple[list[str], np.ndarray]] = [([], np.empty(0)) for _ in names]
 
+        def absorb(i: int) -> None:
+            own = _thin(sorted(fresh[i]), np.ones(len(fresh[i])), SUMMARY)
+            both = sorted(zip([*held[i][0], *own[0]], [*held[i][1], *own[1]], strict=True))
+            held[i] = _thin([v for v, _ in both], np.array([w for _, w in both]), SUMMARY)
+            fresh[i] = []
 
-def plan_ranges(coded: DataFrame, weight: str, target: float, bits: int = 2 * AXIS_BITS, max_cells: int = MAX_CELLS) -> Ranges:
-    """Cut the codes (column _code, below 2**bits) into ranges of about target weight from their exact histogram.
+        for b in batches:
+            for i in range(len(names)):
+                fresh[i] += b[i].drop_null().to_pylist()
+                if len(fresh[i]) > 200_000:
+                    absorb(i)
+        for i in range(len(names)):
+            absorb(i)
+            if held[i][0]:
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(held[i][0]), pa.int32()), pa.array(held[i][0], pa.string()), pa.array(held[i][1], pa.float64()), pa.array([crc32(held[i][0][0].encode()) % 997] * len(held[i][0]), pa.int32())], ["axis", "value", "weight", "part"])
 
-    The histogram has as many cells as the number of files asks for; cells heavier than a quarter file are counted again
-    more finely until a cell is one code. A single code heavier than a file is spread over several files.
-    """
-    total = coded.agg(F.sum(weight)).first()[0] or 0
-    n_files = max(1, -(-int(total) // int(target)))
-    even = max(1.0, total / n_files)
-    depth = min(bits, max(10, int(np.ceil(np.log2(n_files * 64)))), int(np.log2(max_cells)))
-    found = sorted((int(r.cell) << (bits - depth), depth, float(r.w)) for r in _cells(coded, weight, bits - depth).toLocalIterator())
-    while heavy := [c for c in found if c[2] > even / 4 and c[1] < bits]:
-        at = heavy[0][1]
-        heavy = [c for c in heavy if c[1] == at]
-        step = max(1, min(bits - at, int(np.log2(max(2, max_cells // len(heavy))))))
-        lists = coded.sparkSession.createDataFrame([(c[0] >> (bits - at),) for c in heavy], "top long")
-        finer = coded.withColumn("top", F.shiftright("_code", bits - at)).join(F.broadcast(lists), "top", "left_semi")
-        drop = {(c[0], c[1]) for c in heavy}
-        fresh = [(int(r.cell) << (bits - at - step), at + step, float(r.w)) for r in _cells(finer, weight, bits - at - step).toLocalIterator()]
-        found = sorted([c for c in found if (c[0], c[1]) not in drop] + fresh)
-    starts, first, span, before = [], [], [], 0.0
-    for start, _, w in found:
-        at = min(n_files - 1, int(before // even))
-        wide = max(1, min(n_files - at, int(np.ceil(w / even)))) if w > even else 1
-        if wide > 1 or not first or first[-1] != at or span[-1] > 1:
-            starts.append(start), first.append(at), span.append(wide)
-        before += w
-    return Ranges(np.array(starts or [0], np.int64), np.array(first or [0], np.int32), np.array(span or [1], np.int32), n_files)
-
-
-def with_ranges(coded: DataFrame, ranges: Ranges, identity: Column) -> DataFrame:
-    """Adds _file (the output file of the row) and _split (whether its code is spread over several files)."""
-
-    @F.pandas_udf("file int, split boolean")
-    def place(code: pd.Series, salt: pd.Series) -> pd.DataFrame:
-        i = np.maximum(np.searchsorted(ranges.starts, code.to_numpy(), side="right") - 1, 0)
-        return pd.DataFrame({"file": ranges.first[i] + (salt.to_numpy() % ranges.span[i]).astype(np.int32), "split": ranges.span[i] > 1})
-
-    return coded.withColumn("_at", place("_code", F.pmod(F.xxhash64(identity), F.lit(1 << 30)))).withColumns({"_file": F.col("_at.file"), "_split": F.col("_at.split")}).drop("_at")
+    def merge(points: int):
+        def run(t: pa.Table) -> pa.Table:
+            both = sorted(zip(t["value"].to_pylist(), t["weight"].to_pylist(), strict=True))
+            v, w = _thin([x for x, _ in both], np.array([x for _, x in both]), points)
+            return pa.table({"axis": pa.array([t["axis"][0].as_py()] * len(v), pa.int32()), "value": pa.array(v, pa.string()), "weight": pa.array(w, pa.float64())})
+
+        return run
+
+    parts = df.select(*[F.left(a.cast("string"), F.lit(AXIS_CHARS)).alias(n) for a, n in zip(axes, names, strict=True)]).mapInArrow(summarise, "axis int, value string, weight double, part int")
+    wide = max(1, int(np.sqrt(parallelism(df.sparkSession))))
+    some = parts.withColumn("part", F.pmod("part", F.lit(wide))).groupBy("axis", "part").applyInArrow(merge(SUMMARY), "axis int, value string, weight double")
+    found = some.groupBy("axis").applyInArrow(merge(buckets), "axis int, value string, weight double").collect()
+    return [sorted({r.value for r in found if r.axis == i})[: buckets - 1] for i in range(len(axes))]
+
+
+def hilbert_code(axes: list[Column], bounds: list[list[str]], bits: int = AXIS_BITS) -> Column:
+    """The code of the buckets that two axes' values are in; nulls are in the first."""
+
+    @F.pandas_udf(T.LongType())
+    def code(a: pd.Series, b: pd.Series) -> pd.Series:
+        places = [np.fromiter((bisect_right(bound, v) if v is not None else 0 for v in s.array), np.int64, len(s)) for s, bound in ((a, bounds[0]), (b, bounds[1]))]
+        return pd.Series(hilbert_encode(np.stack(places, axis=1), bits))
+
+    return code(*[F.left(a.cast("string"), F.lit(AXIS_CHARS)) for a in axes])
+
+
+def raw_bytes(row: Column, schema: T.StructType) -> Column:
+    """Length of a row: that of texts and binaries as they are, 8 bytes of any other value."""
+    size = {T.StringType: F.octet_length, T.BinaryType: F.octet_length, T.ArrayType: lambda c: F.size(c) * 8, T.MapType: lambda c: F.size(c) * 16}
+    sized = [F.coalesce(size.get(type(f.dataType), lambda _: F.lit(8))(row[f.name]), F.lit(0)) for f in schema.fields]
+    total = F.lit(1).cast("long")
+    for c in sized:
+        total = total + c
+    return total
 
 
 @dataclass(frozen=True)
 class Clustered:
-    """rows: every source row as _row, with _code, _file, _key (what equal records share, null: nothing) and _repeat; n_files: the output files;
-    in_place: whether each file's rows already are one partition."""
+    """rows: every source row as _row with _code, _key (what equal records share, null: nothing), _hash, _order and _weight (raw bytes), staged;
+    hot: hashes of the keys of very many copies."""
 
     rows: DataFrame
-    n_files: int
-    in_place: bool
+    hot: list[int]
 
 
-def cluster(rows: DataFrame, columns: list[str], folder: Column, content: Column, place: Column, order: list[Column], identity: str, weight: Column, target_bytes: int = TARGET_BYTES) -> Clustered:
-    """Assign rows (of which columns are carried along) to balanced output files along the curve and mark those that repeat an earlier one.
+def cluster(rows: DataFrame, row: str, place: Column, content: Column, order: list[Column]) -> Clustered:
+    """The rows, of which the struct column row is carried along, on the curve through place and content.
 
-    Two rows repeat each other if content and place are equal and not null; the first by order (then identity) is the original.
+    Two rows repeat each other if content and place are equal and not null; the first by order, which ends with an identity, is the original.
     """
-    axis = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << AXIS_BITS) - 1))
-    # The row itself travels as one struct, so its columns cannot clash with those of the clustering.
-    rows = rows.select(
-        F.struct(*[F.col(c) for c in columns]).alias("_row"),
+    bounds = axis_bounds(rows, [place, content], 1 << AXIS_BITS)
+    coded = rows.select(
+        F.col(row).alias("_row"),
         F.when(content.isNotNull() & place.isNotNull(), F.struct(content.alias("c"), place.alias("p"))).alias("_key"),
-        F.greatest(F.coalesce(weight.cast("long"), F.lit(1)), F.lit(1)).alias("_weight"),
-        F.struct(*[o.alias(f"o{i}") for i, o in enumerate([*order, F.col(identity)])]).alias("_order"),
-        axis(folder).alias("_x"),
-        axis(content).alias("_y"),
+        F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("_order"),
+        raw_bytes(F.col(row), rows.schema[row].dataType).alias("_weight"),
+        hilbert_code([place, content], bounds).alias("_code"),
     )
-    coded = rows.withColumn("_code", _hilbert("_x", "_y")).drop("_x", "_y")
-    ranges = plan_ranges(coded, "_weight", target_bytes)
-    placed = with_ranges(coded, ranges, F.col("_order"))
-    placed = placed.repartitionById(ranges.n_files, "_file")
+    staged = stage(coded.withColumn("_hash", F.when(F.col("_key").isNotNull(), F.xxhash64("_key")).otherwise(F.xxhash64("_order"))), "compact-coded")
+    return Clustered(staged, frequent(staged, "_hash", parallelism(rows.sparkSession)))
+
+
+def written_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the files below path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getContentSummary(at).getLength() if fs.exists(at) else 0
+
+
+@dataclass(frozen=True)
+class Ranges:
+    """first[i]: the first unit of cell cells[i], which has units[i] of them; file[u]: the output file of unit u."""
+
+    cells: np.ndarray
+    first: np.ndarray
+    units: np.ndarray
+    file: np.ndarray
+    n_files: int
+
+
+def cut(cells: np.ndarray, weights: np.ndarray, n_files: int) -> Ranges:
+    """Ranges of about equal weight: cells in order of their codes, those heavier than a unit in several units of equal weight."""
+    unit = max(1.0, weights.sum() / n_files / UNITS)
+    units = np.maximum(1, np.ceil(weights / unit)).astype(np.int64)
+    each = np.repeat(weights / units, units)
+    middle = np.cumsum(each) - each / 2
+    file = np.minimum(n_files - 1, (middle / max(weights.sum(), 1) * n_files).astype(np.int64))
+    return Ranges(cells, np.cumsum(units) - units, units, file.astype(np.int32), n_files)
+
+
+def histogram(clustered: Clustered) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, raw bytes) of what repeats nothing: copies of a key count once."""
+    once = clustered.rows.groupBy("_code", "_hash").agg(F.max("_weight").alias("w"))
+    t = once.groupBy("_code").agg(F.sum("w").alias("w")).toArrow()  # at most 2 ** (2 * AXIS_BITS) rows
+    order = np.argsort(t["_code"].to_numpy())
+    return t["_code"].to_numpy()[order], t["w"].to_numpy()[order].astype(float)
+
+
+def encoded_share(clustered: Clustered, columns: list[str], cells: np.ndarray, weights: np.ndarray, target: int) -> float:
+    """Written bytes of a raw one, measured on a range in the middle of the curve that holds about one file's raw bytes."""
+    spark, upto = clustered.rows.sparkSession, np.cumsum(weights)
+    size = min(float(target), upto[-1])
+    start = int(np.searchsorted(upto, (upto[-1] - size) / 2))
+    stop = min(len(cells) - 1, int(np.searchsorted(upto, (upto[-1] + size) / 2)))
+    # A code of many files is thinned by the hash that would deal it to them.
+    thin = max(1, int(weights[start : stop + 1].sum() // (2 * size)))
+    some = clustered.rows.filter(F.col("_code").between(int(cells[start]), int(cells[stop])) & (F.pmod("_hash", F.lit(thin)) == 0))
+    once = stage(some.groupBy("_code", "_hash").agg(F.first("_row").alias("_row"), F.max("_weight").alias("w")), "compact-range")
+    path = stage_path(spark, "compact-measure")
+    once.repartition(1).sortWithinPartitions("_code", "_hash").select(*[F.col("_row")[c].alias(c) for c in columns]).write.parquet(path)
+    return written_bytes(spark, path) / max(1, once.agg(F.sum("w")).first()[0] or 1)
+
+
+def place_rows(clustered: Clustered, ranges: Ranges) -> DataFrame:
+    """The rows, each in the partition of its file, with _repeat."""
+    n_files, cells, first, units, file = ranges.n_files, ranges.cells, ranges.first, ranges.units, ranges.file
+
+    @F.pandas_udf(T.IntegerType())
+    def to_file(code: pd.Series, key: pd.Series) -> pd.Series:
+        i = np.searchsorted(cells, code.to_numpy())
+        return pd.Series(file[first[i] + (key.to_numpy().astype(np.uint64) >> np.uint64(1)).astype(np.int64) % units[i]])
+
+    rows = clustered.rows.withColumn("_file", to_file("_code", "_hash"))
+    later = F.lit(None).cast("boolean")
+    if clustered.hot:  # at most four times as many keys as tasks
+        firsts = clustered.rows.filter(F.col("_hash").isin(clustered.hot) & F.col("_key").isNotNull()).groupBy("_key").agg(F.min("_order").alias("_first"))
+        rows = rows.join(small(stage(firsts, "compact-firsts")), "_key", "left")
+        later = F.when(F.col("_first").isNotNull(), ~F.col("_order").eqNullSafe(F.col("_first")))
+        rows = rows.withColumn("_file", F.when(later, F.pmod(F.xxhash64("_order"), F.lit(n_files)).cast("int")).otherwise(F.col("_file")))
     nth = F.row_number().over(Window.partitionBy("_file", "_key").orderBy("_order"))
-    placed = placed.withColumn("_repeat", F.col("_key").isNotNull() & (nth > 1))
-    if ranges.split:
-        # A code heavier than a file: its copies lie in several files, so the first of each key is aggregated over all of them.
-        firsts = placed.filter(F.col("_split") & F.col("_key").isNotNull()).groupBy("_key").agg(F.min("_order").alias("_first"))
-        placed = placed.join(firsts, "_key", "left").withColumn("_repeat", F.when(F.col("_first").isNotNull(), (F.col("_order") != F.col("_first")) | F.col("_repeat")).otherwise(F.col("_repeat"))).drop("_first")
-    return Clustered(placed, ranges.n_files, not ranges.split)
+    return rows.repartitionById(n_files, "_file").withColumn("_repeat", F.col("_key").isNotNull() & F.coalesce(later, nth > 1))
 
 
 def digest(columns: list[str]) -> list[Column]:
     """Order-free digest of rows: how many, the sum and the exclusive or of their hashes."""
-    h = F.xxhash64(*columns)
+    h = F.xxhash64(*[F.col(f"`{c}`") for c in columns])
     return [F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(38,0)")).alias("hash_sum"), F.expr(f"bit_xor(xxhash64({', '.join(f'`{c}`' for c in columns)}))").alias("hash_xor")]
 
 
-def write_files(clustered: Clustered, columns: list[str], path: str, target: int = TARGET_BYTES) -> None:
-    """Write each range, ordered along the curve, as one file of the rows that repeat nothing (_role=kept) and one of the others (_role=repeat)."""
-    role = F.when(F.col("_repeat"), "repeat").otherwise("kept")
-    write = lambda df, mode: df.withColumn("_role", role).sortWithinPartitions("_role", "_code", "_order").select(*[F.col("_row")[c].alias(c) for c in columns], "_role").write.mode(mode).option("maxRecordsPerFile", 0).partitionBy("_role").parquet(path)
-    if clustered.in_place:
-        return write(clustered.rows, "errorifexists")
-    # Copies of heavy codes took whole files in the plan; what is left of them needs a plan of its own to fill files evenly.
-    rows = stage(clustered.rows.drop("_file", "_split"), "compact-marked")
-    kept = rows.filter(~F.col("_repeat"))
-    ranges = plan_ranges(kept.select("_code", "_weight"), "_weight", target)
-    write(with_ranges(kept, ranges, F.col("_order")).repartitionById(ranges.n_files, "_file"), "errorifexists")
-    write(rows.filter("_repeat"), "append")
-
-
-def read_files(spark: SparkSession, path: str, schema: T.StructType, role: str = "kept") -> DataFrame:
-    """The rows of the written files; the other role's files are not touched."""
-    return spark.read.schema(T.StructType([*schema.fields, T.StructField("_role", T.StringType())])).parquet(path).filter(F.col("_role") == role).drop("_role")
+@dataclass(frozen=True)
+class Compacted:
+    """The files and the repeats, as they lie in their folders; digests of source, files and repeats; number of files, and how many are of less than half a target or of more than one and a half."""
 
+    files: DataFrame
+    repeats: DataFrame
+    digests: dict[str, tuple]
+    n_files: int
+    n_short: int
+    n_long: int
 
-def compact(source: DataFrame, clustered: Clustered, columns: list[str], path: str, target: int = TARGET_BYTES) -> DataFrame:
-    """Write the files in one pass and report on them: rows and digests of the source as it lies, the files as read again, and the repeats.
+    @property
+    def intact(self) -> bool:
+        """Whether the source is the files and the repeats together, by number, sum and exclusive or."""
+        (n, s, x), (kn, ks, kx), (rn, rs, rx) = ((d[0], d[1] or 0, d[2] or 0) for d in (self.digests[k] for k in ("source", "files", "repeats")))
+        return n == kn + rn and s == ks + rs and x == kx ^ rx
 
-    One row: source_rows, kept_rows, repeat_rows, and intact (source digests equal those of files and repeats together).
-    """
-    spark = source.sparkSession
-    write_files(clustered, columns, path, target)
-    schema = source.select(*columns).schema
-    parts = [("source", source.select(*columns)), ("kept", read_files(spark, path, schema)), ("repeat", read_files(spark, path, schema, "repeat"))]
-    sums = None
-    for name, df in parts:
-        one = df.agg(*digest(columns)).withColumn("part", F.lit(name))
-        sums = one if sums is None else sums.unionByName(one)
-    sums = sums.agg(*[F.max(F.when(F.col("part") == name, F.col(c))).alias(f"{name}_{c}") for name, _ in parts for c in ("n", "hash_sum", "hash_xor")])
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    intact = (zero("source_n") == zero("kept_n") + zero("repeat_n")) & (zero("source_hash_sum") == zero("kept_hash_sum") + zero("repeat_hash_sum")) & (zero("source_hash_xor") == zero("kept_hash_xor").bitwiseXOR(zero("repeat_hash_xor")))
-    return sums.select(F.col("source_n").alias("source_rows"), F.col("kept_n").alias("kept_rows"), F.col("repeat_n").alias("repeat_rows"), intact.alias("intact"))
+    @property
+    def well_sized(self) -> bool:
+        """Whether all files, the last one apart, are of half to one and a half targets."""
+        return not self.n_long and self.n_short <= 1
+
+
+def compact(source: DataFrame, clustered: Clustered, path: str, target: int = TARGET_BYTES) -> Compacted:
+    """Write the rows that repeat nothing in files of about target bytes, the others as they come together, both below path, and compare them with the source."""
+    spark, columns = source.sparkSession, source.columns
+    cells, weights = histogram(clustered)
+    role = next(n for i in range(len(columns) + 1) if (n := f"_role{i}") not in {c.lower() for c in columns})
+    at = {name: f"{path}/parts/{role}={name}" for name in ("files", "repeats")}
+    if len(cells):
+        encoded = weights * encoded_share(clustered, columns, cells, weights, target)
+        marked = place_rows(clustered, cut(cells, encoded, max(1, round(float(encoded.sum()) / target))))
+        # One pass writes both.
+        out = marked.withColumn(role, F.when(F.col("_repeat"), "repeats").otherwise("files")).sortWithinPartitions(role, "_code", "_order")
+        out.select(*[F.col("_row")[c].alias(c) for c in columns], role).write.partitionBy(role).parquet(f"{path}/parts")
+    read = lambda p: spark.read.schema(source.schema).parquet(p) if written_bytes(spark, p) else spark.createDataFrame([], source.schema)
+    # The repeats of all ranges are small files once more, and brought together.
+    read(at["repeats"]).coalesce(max(1, ceil(written_bytes(spark, at["repeats"]) / target))).write.parquet(f"{path}/repeats")
+    parts = {"source": source, "files": read(at["files"]), "repeats": read(f"{path}/repeats")}
+    digests = {name: tuple(df.agg(*digest(columns)).first()) for name, df in parts.items()}
+    sizes = (0, 0, 0)
+    if digests["files"][0]:
+        each = parts["files"].select("_metadata.file_path", "_metadata.file_size").groupBy("file_path").agg(F.max("file_size").alias("b"))
+        sizes = each.agg(F.count(F.lit(1)), F.count_if(F.col("b") < 0.5 * target), F.count_if(F.col("b") > 1.5 * target)).first()
+    return Compacted(parts["files"], parts["repeats"], digests, *sizes)
 
 
 #: The image tables and their path columns.
 IMAGE_TABLES = {"tiny_imagenet": "img_path", "cub200": "images"}
 
 
-def image_clusters(spark: SparkSession, sf_dir: str, table: str, target_bytes: int = TARGET_BYTES) -> tuple[Clustered, DataFrame]:
-    """The records of an image table, clustered and as they lie."""
-    path = IMAGE_TABLES[table]
+def compact_images(spark: SparkSession, sf_dir: str, table: str, target: int = TARGET_BYTES, path: str | None = None) -> Compacted:
+    """The records of an image table in new files (in the shared folder, if no path is given); raises if the files and the repeats are not the source."""
     records = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    arrivals = spark.read.parquet(f"{sf_dir}/image_files.parquet").select("file_id", F.col("arrived_at").alias("_arrived"))
-    rows = records.join(arrivals, "file_id", "left").withColumn("_place", canonical_path(F.col(path)))
-    late = F.coalesce(F.col("_arrived"), F.lit("9999-12-31").cast(arrivals.schema["_arrived"].dataType))
-    folder = F.regexp_replace(F.col("_place"), r"[^/]*$", "")
-    return cluster(rows, records.columns, folder, F.col("checksum"), F.col("_place"), [late, F.col("file_id"), F.col("row_no")], "rec_id", F.col("n_bytes"), target_bytes), records
+    arrivals = spark.read.parquet(f"{sf_dir}/image_files.parquet").groupBy("file_id").agg(F.min("arrived_at").alias("arrived"))
+    # The row itself travels as one struct, so its columns cannot clash with those of the clustering.
+    rows = records.select(F.struct(*[F.col(c) for c in records.columns]).alias("row"), "file_id", canonical_path(F.col(IMAGE_TABLES[table])).alias("place")).join(small(arrivals), "file_id", "left")
+    late = F.coalesce("arrived", F.lit("9999-12-31").cast(arrivals.schema["arrived"].dataType))
+    content = F.lpad(F.hex(F.col("row")["checksum"].bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")  # hex digits in the order of the numbers
+    done = compact(records, cluster(rows, "row", F.col("place"), content, [late, F.col("file_id"), F.col("row")["row_no"], F.col("row")["rec_id"]]), path or stage_path(spark, f"compact-{table}"), target)
+    if not done.intact:
+        raise ValueError(f"{table}: files and repeats are not the source")
+    return done
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(dataset, rec_id) of each image record that repeats an earlier one."""
-    parts = [image_clusters(spark, sf_dir, t)[0].rows.filter("_repeat").select(F.lit(t).alias("dataset"), F.col("_row.rec_id").alias("rec_id")) for t in IMAGE_TABLES]
+    """(dataset, rec_id) of each image record that repeats an earlier one: what compaction, once its digests agree, has put aside."""
+    parts = [compact_images(spark, sf_dir, t).repeats.select(F.lit(t).alias("dataset"), "rec_id") for t in IMAGE_TABLES]
     return parts[0].unionByName(parts[1])
 
 
 def p1_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Compact both image tables into new files in the shared folder and report rows and digests per table."""
-    reports = []
+    """Compact both image tables and report rows, digests and sizes per table."""
+    rows = []
     for t in IMAGE_TABLES:
-        clustered, records = image_clusters(spark, sf_dir, t)
-        reports.append(compact(records, clustered, records.columns, stage_path(spark, f"compact-{t}")).select(F.lit(t).alias("dataset"), "*"))
-    return reports[0].unionByName(reports[1])
+        done = compact_images(spark, sf_dir, t)
+        rows.append((t, *[done.digests[k][0] for k in ("source", "files", "repeats")], done.intact, done.well_sized))
+    return spark.createDataFrame(rows, "dataset string, source_rows long, kept_rows long, repeat_rows long, intact boolean, well_sized boolean")
 
 
 _PLACE = r"""
@@ -250,5 +345,5 @@ _IMAGES_SQL = "WITH " + ", ".join(
 QUERIES = {"p1_found": p1_found, "p1_compaction": p1_compaction}
 ORACLES = {
     "p1_found": _IMAGES_SQL + "SELECT dataset, rec_id FROM marked WHERE is_repeat",
-    "p1_compaction": _IMAGES_SQL + "SELECT dataset, count(*) AS source_rows, count(*) FILTER (NOT is_repeat) AS kept_rows, count(*) FILTER (is_repeat) AS repeat_rows, true AS intact FROM marked GROUP BY dataset",
+    "p1_compaction": _IMAGES_SQL + "SELECT dataset, count(*) AS source_rows, count(*) FILTER (NOT is_repeat) AS kept_rows, count(*) FILTER (is_repeat) AS repeat_rows, true AS intact, true AS well_sized FROM marked GROUP BY dataset",
 }

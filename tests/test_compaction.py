@@ -51,25 +51,42 @@ def test_repeats(spark, tables):
     assert (report["cub200"].source_rows, report["cub200"].intact) == (0, True)
 
 
-def test_hot_copy_is_split(spark, tables, tmp_path):
-    """A third of the rows are copies of one record: its code is heavier than a file and spread over several."""
-    images = [(i, 1 + i % 4, i, "hot/a.JPEG", "k", "train", 100, 1) for i in range(1000)] + [(i, 1 + i % 4, i, f"d{i % 7}/b{i}.JPEG", "k", "train", 100, i) for i in range(1000, 3000)]
+def test_hot_copy_and_sizes(spark, tables, tmp_path):
+    """A third of the rows are copies of one record; the files are of the wanted size and each holds a part of both axes."""
+    images = [(i, 1 + i % 4, i, "hot/a.JPEG", "k", "train", 100, 1) for i in range(10_000)] + [(i, 1 + i % 4, i, f"d{i % 97:02}/b{i}.JPEG", "k", "train", 100, (i * 0x9E3779B97F4A7C15) % (1 << 63)) for i in range(10_000, 40_000)]
     put_images(tables, images)
-    clustered, records = c.image_clusters(spark, tables.dir, "tiny_imagenet", target_bytes=10_000)
-    assert clustered.n_files == 30
-    report = c.compact(records, clustered, records.columns, str(tmp_path / "out"), 10_000).first()
-    assert (report.source_rows, report.kept_rows, report.repeat_rows, report.intact) == (3000, 2001, 999, True)
-    sizes = [r[0] for r in clustered.rows.groupBy("_file").count().select("count").collect()]
-    assert max(sizes) < 250 and len(sizes) == 30
-    kept = c.read_files(spark, str(tmp_path / "out"), records.schema)
-    assert kept.columns == records.columns and kept.select("rec_id").distinct().count() == 2001
-    first = kept.filter("checksum = 1").first()
-    assert first.file_id == 4  # the file that arrived first
-    assert len(list((tmp_path / "out" / "_role=kept").glob("*.parquet"))) == 21
+    target = 40_000
+    done = c.compact_images(spark, tables.dir, "tiny_imagenet", target, str(tmp_path / "out"))
+    assert done.intact and [done.digests[k][0] for k in ("source", "files", "repeats")] == [40_000, 30_001, 9_999]
+    files = list((tmp_path / "out" / "parts" / "_role0=files").glob("*.parquet"))
+    sizes = sorted(f.stat().st_size for f in files)
+    assert len(files) == done.n_files > 8 and done.well_sized and sizes[1] > target / 2 and sizes[-1] < 1.5 * target
+    assert done.files.columns == spark.read.parquet(f"{tables.dir}/tiny_imagenet.parquet").columns and done.files.select("rec_id").distinct().count() == 30_001
+    assert done.files.filter("checksum = 1").first().file_id == 4  # the file that arrived first
+    spans = done.files.groupBy("_metadata.file_path").agg(F.min("img_path").alias("lo"), F.max("img_path").alias("hi"), F.min("checksum").alias("a"), F.max("checksum").alias("b")).collect()
+    at = lambda path: int(path[1:3]) if path[0] == "d" else 97
+    # A reader that looks for one path, or one checksum, can pass over most files.
+    assert sum(at(r.hi) - at(r.lo) for r in spans) / len(spans) < 97 * 0.55 and sum(r.b - r.a for r in spans) / len(spans) < 0.55 * (1 << 63)
+    copies = done.repeats.filter("img_path = 'hot/a.JPEG'")
+    assert copies.count() == 9_999 and len(list((tmp_path / "out" / "repeats").glob("*.parquet"))) < done.n_files
+
+
+def test_axes_are_cut_evenly(spark):
+    df = spark.range(0, 30_000).select(F.when(F.col("id") % 3 == 0, "same").otherwise(F.lpad(F.col("id").cast("string"), 6, "0")).alias("x"), F.lit(None).cast("string").alias("y"))
+    x, y = c.axis_bounds(df, [F.col("x"), F.col("y")], 16)
+    assert y == [] and x == sorted(set(x)) and 9 <= len(x) <= 15 and x[-1] == "same"
+    counts = [df.filter((F.col("x") > a) & (F.col("x") <= b)).count() for a, b in zip(x, x[1:])]
+    assert max(counts[:-1]) < 3000
+
+
+def test_ranges_are_even():
+    r = c.cut(np.array([3, 9, 11]), np.array([1.0, 1000.0, 7.0]), 10)
+    loads = np.bincount(r.file, np.repeat(np.array([1.0, 1000.0, 7.0]) / r.units, r.units), 10)
+    assert loads.min() > 85 and loads.max() < 115
 
 
 def test_extra_columns_with_clashing_names(spark, tables):
-    tables("tiny_imagenet", [(*r, 1, 2, True) for r in IMAGES], IMAGE + ", _code int, _key int, _repeat boolean")
+    tables("tiny_imagenet", [(*r, 1, 2, True, "p", "r", "o") for r in IMAGES], IMAGE + ", _code int, _key int, _repeat boolean, place string, row string, _role0 string")
     tables("cub200", [], CUB)
     tables("image_files", [(i, "tiny_imagenet", dt.datetime(2030, 1, 10 - i)) for i in range(1, 5)], FILES)
     assert len(rows(c.p1_found(spark, tables.dir))) == 3
