@@ -3,6 +3,11 @@
 Lines are loaded as maps from field name to raw value; per file and field the raw types are counted; files are compared with
 the one before them in their chain; typed columns are projected from the maps, and values that do not cast are reported.
 
+A field is followed through its chain from the file in which it comes up: its line of descent is the names it is renamed from and
+to there, found by doubling the steps of a pointer. A line that bears the name of one of its table's columns is that column. Only
+a line without such a name takes its column from what other chains call its names. A column's type is the one that at least half
+of its values in all files are of.
+
 Defined results: a file without a header has no fields; a value beyond the header is dropped and a missing one is no value;
 of equal names in a header the first counts; a field without any value is a bigint (the narrowest type fits vacuously);
 two fields are renamed only if the files share a run; of several fields with equal cells, the first gone pairs with the first new.
@@ -20,8 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenfold.operators.skew import small
-from lumenfold.session import stage
+from lumenfold.operators.skew import frequent, lookup, small
+from lumenfold.session import parallelism, stage
 
 DELIMITERS = [",", ";", "\t", "|"]
 NO_VALUE = ["", "na", "null", "nan"]
@@ -81,18 +86,18 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b["file_id"], b["line_no"], pa.array(out, pa.map_(pa.string(), pa.string()))], ["file_id", "line_no", "cells"])
 
 
-def load_cells(files: DataFrame, lines: DataFrame) -> DataFrame:
+def load_cells(files: DataFrame, lines: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """(file_id, line_no, cells MAP<STRING, STRING>) of each line that holds a non-blank; cells without a value are null.
 
-    Line 0 holds the header mapped to itself, so that fields of files without data are known.
+    Line 0 holds the header mapped to itself, so that fields of files without data are known. hot: file_ids of very many lines.
     """
     known = files.filter(F.col("header").isNotNull()).select("file_id", "header", "delimiter")
-    rows = lines.filter(F.col("line_text").rlike(r"[^ \t\r\n]")).select("file_id", "line_no", "line_text").join(known, "file_id")
-    return rows.mapInArrow(_parse, "file_id long, line_no int, cells map<string,string>")
+    rows = lookup(lines.filter(F.col("line_text").rlike(r"[^ \t\r\n]")).select("file_id", "line_no", "line_text"), known, "file_id", hot, F.col("line_no"))
+    return rows.select("file_id", "line_no", "line_text", "header", "delimiter").mapInArrow(_parse, "file_id long, line_no int, cells map<string,string>")
 
 
 def field_types(cells: DataFrame) -> DataFrame:
-    """(file_id, field_name, position, n_values, type): the narrowest type that fits all values of a field in a file."""
+    """(file_id, field_name, position, n_values, n_bigint, n_double, n_boolean, type): how many values are of which type, and the narrowest type that fits all values of a field in a file."""
     long = cells.select("file_id", "line_no", F.posexplode("cells").alias("position", "field_name", "value"))
     value, data = F.col("value"), F.col("line_no") > 0
     fits = lambda test: F.count_if(data & value.isNotNull() & test).alias
@@ -100,7 +105,16 @@ def field_types(cells: DataFrame) -> DataFrame:
         F.min("position").alias("position"), fits(F.lit(True))("n_values"), fits(value.rlike(BIGINT))("n_bigint"), fits(value.rlike(DOUBLE))("n_double"), fits(F.lower(value).isin("true", "false"))("n_boolean"),
     )
     kind = F.when(F.col("n_bigint") == F.col("n_values"), "bigint").when(F.col("n_double") == F.col("n_values"), "double").when(F.col("n_boolean") == F.col("n_values"), "boolean").otherwise("string")
-    return stats.select("file_id", "field_name", "position", "n_values", kind.alias("type"))
+    return stats.select("file_id", "field_name", "position", "n_values", "n_bigint", "n_double", "n_boolean", kind.alias("type"))
+
+
+def cast_cell(value: Column, kind: str) -> Column:
+    """The value in a type that it is written in; null for any other, as a plain cast would cut or guess. A bigint may be written as a decimal without a fraction."""
+    if kind == "bigint":
+        whole = value.try_cast("double")
+        return F.when(value.rlike(BIGINT), value.try_cast("bigint")).when(value.rlike(DOUBLE) & (whole == F.floor(whole)) & (F.abs(whole) < float(1 << 53)), whole.try_cast("bigint"))
+    fits = {"double": value.rlike(DOUBLE), "boolean": F.lower(value).isin("true", "false")}
+    return F.when(fits[kind], value.try_cast(kind)) if kind in fits else value
 
 
 def _comparable(value: Column) -> Column:
@@ -149,7 +163,9 @@ def changes(files: DataFrame, cells: DataFrame, types: DataFrame) -> DataFrame:
 
 #: Distinct names, or distinct renames, of all files; they are held on the driver.
 MAX_NAMES = 100_000
-#: The columns of the three tables and their types.
+#: Columns of the consistent table.
+MAX_COLUMNS = 1000
+#: The columns of the three tables, and their types where no file holds a value of them.
 TARGETS = {
     "run_id": "bigint", "backbone": "string", "dataset": "string", "method": "string", "category": "string", "classifier": "string", "accuracy": "double", "accuracy_mean": "double", "accuracy_std": "double",
     "dim": "bigint", "feature_dim": "bigint", "n_classes": "bigint", "n_components": "bigint", "time_reduce": "double", "time_classify": "double", "time_total": "double", "n_seeds": "bigint", "status": "string",
@@ -164,23 +180,43 @@ class Drift:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         lines = spark.read.parquet(f"{sf_dir}/result_lines.parquet")
+        hot = frequent(lines, "file_id", parallelism(spark))  # at most four times as many as tasks
+        self.hot = spark.createDataFrame([(h,) for h in hot], "file_id long") if hot else None
         self.files = stage(with_headers(chains(spark.read.parquet(f"{sf_dir}/result_files.parquet")), lines), "drift-files")
-        self.cells = stage(load_cells(self.files, lines), "drift-cells")
-        self.types = field_types(self.cells)
+        self.cells = stage(load_cells(self.files, lines, self.hot), "drift-cells")
+        self.types = stage(field_types(self.cells), "drift-types")
 
     def changes(self) -> DataFrame:
         return changes(self.files, self.cells, self.types)
 
-    def names(self, targets: list[str], fields: set[tuple[str, str]], max_names: int = MAX_NAMES) -> dict[tuple[str, str], str]:
-        """(table_name, name) -> column of each of the lower-case names in fields: the target that renames lead to, else the name itself or the first of those it was renamed from or to.
+    def lines_of_descent(self, steps: DataFrame) -> DataFrame:
+        """(file_id, field_name, table_name, root_file, root_name): the file and name with which the field of a file began in its chain. steps: changes."""
+        files = self.files.select("file_id", "folder", "table_name", "seq_no", "prev_file_id")
+        began = steps.filter("change_kind IN ('renamed', 'added')").select("file_id", "field_name", "old_name", F.lit(True).alias("new"))
+        nodes = self.types.select("file_id", "field_name").join(files, "file_id").join(began, ["file_id", "field_name"], "left")
+        # A field goes on until a file of its chain holds it anew; a running last value needs no memory of the chain.
+        along = Window.partitionBy("folder", "table_name", "field_name").orderBy("seq_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        nodes = nodes.withColumn("start", F.last(F.when(F.col("new") | F.col("prev_file_id").isNull(), F.col("file_id")), ignorenulls=True).over(along))
+        nodes = stage(nodes.select("file_id", "field_name", "table_name", "prev_file_id", "old_name", "start"), "drift-nodes")
+        before = nodes.select(F.col("file_id").alias("prev_file_id"), F.col("field_name").alias("old_name"), F.col("start").alias("root_file"))
+        up = stage(nodes.filter("old_name IS NOT NULL").join(before, ["prev_file_id", "old_name"]).select(F.col("file_id").alias("start"), "field_name", "root_file", F.col("old_name").alias("root_name")), "drift-up")
+        while True:
+            on = up.select(F.col("start").alias("root_file"), F.col("field_name").alias("root_name"), F.col("root_file").alias("next_file"), F.col("root_name").alias("next_name"))
+            up = stage(up.join(on, ["root_file", "root_name"], "left").select("start", "field_name", F.coalesce("next_file", "root_file").alias("root_file"), F.coalesce("next_name", "root_name").alias("root_name"), F.col("next_file").isNotNull().alias("moved")), "drift-up")
+            if not up.filter("moved").head(1):
+                break
+        return nodes.join(up.drop("moved"), ["start", "field_name"], "left").select("file_id", "field_name", F.coalesce("table_name", F.lit("")).alias("table_name"), F.coalesce("root_file", "start").alias("root_file"), F.coalesce("root_name", "field_name").alias("root_name"))
+
+    def names(self, targets: list[str], fields: set[tuple[str, str]], steps: DataFrame) -> dict[tuple[str, str], str]:
+        """(table_name, name) -> column of each of the lower-case names in fields, by the renames of all chains: the target that they lead to, else the name itself or the first of those it was renamed from or to.
 
         Every rename counts, those of the table itself before those of other tables and frequent ones before rare ones; only one
         that would join two of the table's own targets does not. Works on distinct names, not on files.
         """
         files = self.files.select("file_id", F.coalesce("table_name", F.lit("")).alias("table_name"))
-        renames = self.changes().filter("change_kind = 'renamed'").join(files, "file_id").groupBy("table_name", "old_name", "field_name").agg(F.count(F.lit(1)).alias("n")).limit(max_names + 1).collect()
-        if len(renames) > max_names:
-            raise ValueError(f"more than {max_names} distinct renames")
+        renames = steps.filter("change_kind = 'renamed'").join(files, "file_id").groupBy("table_name", "old_name", "field_name").agg(F.count(F.lit(1)).alias("n")).limit(MAX_NAMES + 1).collect()
+        if len(renames) > MAX_NAMES:
+            raise ValueError(f"more than {MAX_NAMES} distinct renames")
         edges = sorted((-r.n, r.old_name.lower(), r.field_name.lower(), r.table_name) for r in renames)
 
         def joined(own: set[str], some: list[tuple]) -> dict[str, list[str]]:
@@ -206,46 +242,56 @@ class Drift:
                 out[table, name] = low[first[0]] if first else min(common.get(name, [name]))
         return out
 
-    def columns(self, targets: dict[str, str], max_columns: int = 1000) -> tuple[dict[str, str], list[tuple[str, str, str]]]:
-        """(column -> type of all fields of all files, (table_name, field_name, column)): the targets, then the fields that lead to none.
-
-        An added field has the type of most files that hold values of it, of numbers the widest.
-        """
-        seen = self.types.join(self.files.select("file_id", F.coalesce("table_name", F.lit("")).alias("table_name")), "file_id")
-        found = seen.groupBy("table_name", "field_name", "type").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("n_values") > 0).alias("valued")).limit(MAX_NAMES + 1).collect()
+    def fields(self, targets: dict[str, str]) -> DataFrame:
+        """(file_id, field_name, column) of every field of every file."""
+        steps = stage(self.changes(), "drift-changes")
+        nodes = stage(self.lines_of_descent(steps), "drift-descent")
+        found = nodes.select("table_name", "field_name").distinct().limit(MAX_NAMES + 1).collect()
         if len(found) > MAX_NAMES:
             raise ValueError(f"more than {MAX_NAMES} distinct fields")
-        to = self.names(list(targets), {(r.table_name, r.field_name.lower()) for r in found})
-        where = sorted({(r.table_name, r.field_name, to[r.table_name, r.field_name.lower()]) for r in found})
-        counts: dict[str, dict[str, int]] = {}
-        for r in found:
-            kinds = counts.setdefault(to[r.table_name, r.field_name.lower()], {})
-            kinds[r.type] = kinds.get(r.type, 0) + r.valued
-        types = dict(targets)
-        for column in sorted(c for c in counts if c and c not in targets):
-            n = {k: counts[column].get(k, 0) for k in ("bigint", "double", "boolean", "string")}
-            number, most = n["bigint"] + n["double"], max(n["boolean"], n["string"])
-            types[column] = ("double" if n["double"] else "bigint") if number > most else "boolean" if n["boolean"] > n["string"] else "string"
-        if len(types) > max_columns:
-            raise ValueError(f"more than {max_columns} columns")
-        return types, where
+        to = self.names(list(targets), {(r.table_name, r.field_name.lower()) for r in found}, steps)
+        order = {t: i for i, t in enumerate(targets)}
+        low = {t.lower(): t for t in targets}
+        named = []
+        for t, n in sorted((r.table_name, r.field_name) for r in found):
+            own = low.get(n.lower()) if n.lower() in OWN.get(t, set(low)) else None
+            column = own or to[t, n.lower()]
+            named.append((t, n, 0 if own else 1, order.get(column, len(order)), column))
+        table = self.cells.sparkSession.createDataFrame(named, "table_name string, field_name string, foreign int, nth int, column string")
+        known = nodes.join(small(table), ["table_name", "field_name"])
+        root = ["root_file", "root_name"]
+        best = known.groupBy(*root).agg(F.min(F.struct("foreign", "nth", "column")).alias("best"))
+        return known.select("file_id", "field_name", *root).join(best, root).select("file_id", "field_name", F.col("best.column").alias("column"))
+
+    def columns(self, fields: DataFrame, targets: dict[str, str]) -> dict[str, str]:
+        """column -> type of the columns of all files: the targets, then the others. At least half of a column's values in all files are of its type, else it is a string; a number is a bigint if all its numbers are."""
+        sums = fields.join(self.types, ["file_id", "field_name"]).filter("column <> ''").groupBy("column").agg(*[F.sum(f"n_{k}").alias(k) for k in ("values", "bigint", "double", "boolean")])
+        found = {r.column: r for r in sums.limit(MAX_COLUMNS + 1).collect()}
+        if len(found) > MAX_COLUMNS:
+            raise ValueError(f"more than {MAX_COLUMNS} columns")
+        types = {}
+        for column in [*targets, *sorted(set(found) - set(targets))]:
+            r = found.get(column)
+            if r is None or not r["values"]:
+                types[column] = targets.get(column, "string")
+            else:
+                types[column] = ("bigint" if r.bigint == r.double else "double") if 2 * r.double >= r["values"] else "boolean" if 2 * r.boolean >= r["values"] else "string"
+        return types
 
     def typed(self, targets: dict[str, str], added: bool = False) -> DataFrame:
-        """One row per data line: file_id, line_no, the target columns in their types (added: those of all other fields too), failed_casts, the columns whose value does not cast, and other_values, the values that are in no column as they are.
+        """One row per data line: file_id, line_no, the target columns (added: those of all other fields too), failed_casts (column, field, value as it is) and other_values, the values that are in no column as they are.
 
         Of several fields of a file that lead to one column the one of its name, else the first by name counts.
         """
-        types, where = self.columns(targets)
-        types = types if added else dict(targets)
-        spark = self.cells.sparkSession
-        named = spark.createDataFrame([(t, n, c, n != c, n.lower() != c) for t, n, c in where if c in types], "table_name string, field_name string, column string, other boolean, renamed boolean")
-        fields = self.types.join(self.files.select("file_id", F.coalesce("table_name", F.lit("")).alias("table_name")), "file_id").join(small(named), ["table_name", "field_name"])
-        firsts = fields.groupBy("file_id", "column").agg(F.min(F.struct("renamed", "other", "field_name")).alias("f"))
-        held = firsts.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("column", "f.field_name"))).alias("held"))
-        rows = self.cells.filter("line_no > 0").join(held, "file_id", "left")
+        fields = stage(self.fields(targets), "drift-columns")
+        types = self.columns(fields, targets)
+        types = types if added else {t: types[t] for t in targets}
+        firsts = fields.filter(F.col("column").isin(list(types))).groupBy("file_id", "column").agg(F.min(F.struct(F.lower("field_name") != F.lower("column"), F.col("field_name") != F.col("column"), F.col("field_name").alias("n"))).alias("f"))
+        held = firsts.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("column", "f.n"))).alias("held"))
+        rows = lookup(self.cells.filter("line_no > 0"), held, "file_id", self.hot, F.col("line_no"), "left")
         raw = {t: F.col("cells")[F.col("held")[t]] for t in types}
-        cast = {t: raw[t].try_cast(kind) for t, kind in types.items()}
-        failed = F.array_compact(F.array(*[F.when(raw[t].isNotNull() & cast[t].isNull(), t) for t in types]))
+        cast = {t: cast_cell(raw[t], kind) for t, kind in types.items()}
+        failed = F.array_compact(F.array(*[F.when(raw[t].isNotNull() & cast[t].isNull(), F.struct(F.lit(t).alias("column"), F.col("held")[t].alias("field_name"), raw[t].alias("value"))) for t in types]))
         kept = F.array_compact(F.array(*[F.when(cast[t].isNotNull(), F.col("held")[t]) for t in types]))
         rest = F.map_filter("cells", lambda k, v: v.isNotNull() & ~F.array_contains("_kept", k))
         out = lambda t: t if t not in ("file_id", "line_no", "failed_casts", "other_values") else f"{t}_value"
@@ -263,10 +309,10 @@ def p6_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_failed_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(table_name, field_name, lines): how many lines of each table hold a value that does not cast to the column's type."""
+    """(table_name, file_id, line_no, column, field_name, value): every value that does not cast to its column's type, where it stands and as it is."""
     drift = Drift(spark, sf_dir)
-    rows = drift.typed(TARGETS, added=True).select("file_id", F.explode("failed_casts").alias("field_name"))
-    return rows.join(drift.files.select("file_id", "table_name"), "file_id").groupBy("table_name", "field_name").agg(F.count(F.lit(1)).alias("lines"))
+    rows = drift.typed(TARGETS, added=True).select("file_id", "line_no", F.inline("failed_casts"))
+    return rows.join(small(drift.files.select("file_id", "table_name")), "file_id").select("table_name", "file_id", "line_no", "column", "field_name", "value")
 
 
 QUERIES = {"p6_found": p6_found, "p6_table": p6_table, "p6_failed_casts": p6_failed_casts}

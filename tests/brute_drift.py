@@ -65,7 +65,8 @@ def equal(a, b):
     return float(a) == float(b) if DECIMAL.match(a) and DECIMAL.match(b) else a == b
 
 
-def changes(folder):
+def chained(folder):
+    """(chains of files in order, file_id -> line_no -> text)."""
     lines = defaultdict(dict)
     for r in pq.read_table(f"{folder}/result_lines.parquet").to_pylist():
         lines[r["file_id"]][r["line_no"]] = r["line_text"]
@@ -75,6 +76,54 @@ def changes(folder):
     chains = defaultdict(list)
     for key in sorted(first):
         chains[key[:2]].append(first[key])
+    return chains, lines
+
+
+def renames(old, new):
+    """name of the new file -> name of the old one that it goes on from."""
+    (old_names, old_runs, old_types), (names, runs, types) = old, new
+    gone, shared = [n for n in old_names if n not in types], (set(old_runs) & set(runs)) - {None}
+    before = {n: n for n in types if n in old_types}
+    for n in names:
+        match = [g for g in gone if n not in old_types and shared and all(equal(old_runs[s][g], runs[s][n]) for s in shared)]
+        if match:
+            gone.remove(match[0])
+            before[n] = match[0]
+    return before
+
+
+def descent(folder):
+    """(file_id -> table, (file_id, name) -> (file_id, name) with which it began)."""
+    chains, lines = chained(folder)
+    tables, roots = {}, {}
+    for (_, table), chain in chains.items():
+        last = None
+        for f in chain:
+            tables[f["file_id"]] = table
+            now = load(f, lines[f["file_id"]])
+            before = renames(last[1], now) if last else {}
+            for n in now[2]:
+                roots[f["file_id"], n] = roots[last[0], before[n]] if n in before else (f["file_id"], n)
+            last = (f["file_id"], now)
+    return tables, roots
+
+
+def lines(folder):
+    """(file_id, line_no) -> name -> value of every data line."""
+    chains, texts = chained(folder)
+    out = {}
+    for chain in chains.values():
+        for f in chain:
+            own = texts[f["file_id"]]
+            for i in own:
+                if i and (own[i] or "").strip(" \t\r\n") and 0 in own:
+                    rows = load(f, {0: own[0], i: own[i]})[1]
+                    out[f["file_id"], i] = next(iter(rows.values()))
+    return out
+
+
+def changes(folder):
+    chains, lines = chained(folder)
     out = set()
     for chain in chains.values():
         loaded = [load(f, lines[f["file_id"]]) for f in chain]

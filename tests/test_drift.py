@@ -1,6 +1,7 @@
 import datetime as dt
 
 from conftest import rows
+from pyspark.sql import functions as F
 
 from lumenfold.operators import drift as d
 
@@ -37,7 +38,7 @@ def test_kinds_of_changes(spark, tables):
     )
     assert changes(spark, tables) == [(2, "accuracy", "renamed"), (2, "accuracy", "retyped"), (2, "gone", "removed"), (2, "new", "added"), (4, "a", "added"), (4, "accuracy", "retyped"), (4, "new", "retyped")]
     table = {(r.file_id, r.line_no): r for r in d.Drift(spark, tables.dir).typed({"run_id": "bigint", "accuracy": "double"}).collect()}
-    assert table[(2, 2)].accuracy == 71.0 and table[(4, 1)].accuracy is None and table[(4, 1)].failed_casts == ["accuracy"]
+    assert table[(2, 2)].accuracy == 71.0 and table[(4, 1)].accuracy is None and [tuple(f) for f in table[(4, 1)].failed_casts] == [("accuracy", "accuracy", "n/a")]
 
 
 def test_column_order_and_no_shared_runs(spark, tables):
@@ -78,7 +79,7 @@ def test_table_holds_every_field(spark, tables):
     assert (a.classifier, a.accuracy_std, a.n_components, a.n_seeds, a.status, a.lr, a.file_id_value, a.other_values) == ("LogReg", 0.5, 9, 3, "OK", 0.1, 77, {"": "z"})
     assert (b.accuracy_std, b.n_seeds, b.lr, b.status, b.other_values) == (None, None, 3.0, "FAILED", {"accuracy_std": "x", "n_seeds": "many"})
     assert (c.lr, c.is_pareto, c.notes, c.other_values) == (None, True, "a", {"Lr": "low", "NOTES": "b"})
-    assert sorted(rows(d.p6_failed_casts(spark, tables.dir))) == [("all_benchmarks", "lr", 1), ("all_results", "accuracy_std", 1), ("all_results", "n_seeds", 1)]
+    assert sorted(rows(d.p6_failed_casts(spark, tables.dir))) == [("all_benchmarks", 2, 1, "lr", "Lr", "low"), ("all_results", 1, 2, "accuracy_std", "accuracy_std", "x"), ("all_results", 1, 2, "n_seeds", "n_seeds", "many")]
 
 
 def test_every_rename_is_followed_in_its_table(spark, tables):
@@ -112,3 +113,76 @@ def test_against_plain_loops(spark):
         pytest.skip("no test data")
     got = rows(d.p6_found(spark, data))
     assert len(got) == len(set(got)) and set(got) == brute_drift.changes(data)
+
+
+def test_casts_neither_cut_nor_guess(spark):
+    df = spark.createDataFrame([(v,) for v in ["7", "+7", "7.0", "7.5", "1e3", "7f", "inf", "yes", "TRUE", "99999999999999999999", "", None]], "v string")
+    got = [tuple(r) for r in df.select(*[d.cast_cell(F.col("v"), k) for k in ("bigint", "double", "boolean", "string")]).collect()]
+    assert got[:6] == [(7, 7.0, None, "7"), (7, 7.0, None, "+7"), (7, 7.0, None, "7.0"), (None, 7.5, None, "7.5"), (1000, 1000.0, None, "1e3"), (None, None, None, "7f")]
+    assert got[6:] == [(None, None, None, "inf"), (None, None, None, "yes"), (None, None, True, "TRUE"), (None, 1e20, None, "9" * 20), (None, None, None, ""), (None,) * 4]
+
+
+def test_a_name_is_followed_in_its_own_chain(spark, tables):
+    """acc is accuracy in one chain, dim in another, and comes up again for a third thing; a chain that says nothing follows the others."""
+    put(
+        tables,
+        [(1, "f", "all_benchmarks", 1, ","), (2, "f", "all_benchmarks", 2, ","), (3, "g", "all_benchmarks", 1, ","), (4, "g", "all_benchmarks", 2, ","), (5, "g", "all_benchmarks", 3, ","), (6, "g", "all_benchmarks", 4, ","), (7, "h", "all_benchmarks", 1, ","), (8, "i", "all_benchmarks", 1, ","), (9, "i", "all_benchmarks", 2, ",")],
+        {1: ["run_id,accuracy", "1,70"], 2: ["run_id,acc", "1,70"], 3: ["run_id,dim", "1,9"], 4: ["run_id,acc", "1,9"], 5: ["run_id,size", "1,9"], 6: ["run_id,size,acc", "1,9,5"], 7: ["run_id,acc", "1,3"], 8: ["run_id,accuracy", "1,71"], 9: ["run_id,acc", "1,71"]},
+    )
+    got = {r.file_id: r for r in d.p6_table(spark, tables.dir).collect()}
+    assert [got[i].accuracy for i in (1, 2, 7, 8, 9)] == [70, 70, 3, 71, 71] and [got[i].dim for i in (3, 4, 5, 6)] == [9, 9, 9, 9]
+    assert all(not r.other_values for r in got.values())
+
+
+def test_no_value_is_lost(spark):
+    """Every cell with a value is in its column, or among the values that are in none; what fails its cast is reported; lines of descent and types are those of plain loops."""
+    import os
+
+    import brute_drift
+    import pytest
+
+    data = "/root/testdata/sf0.01"
+    if not os.path.isdir(data):
+        pytest.skip("no test data")
+    drift = d.Drift(spark, data)
+    column = {(r.file_id, r.field_name): r.column for r in drift.fields(d.TARGETS).collect()}
+    table_of, descent = brute_drift.descent(data)
+    for root in set(descent.values()):
+        fields = [f for f, r in descent.items() if r == root]
+        own = {n for f, n in fields} & d.OWN[table_of[root[0]]]
+        assert len({column[f] for f in fields}) == 1 and (not own or column[fields[0]] in own)
+    assert set(column) == set(descent)
+    found = drift.typed(d.TARGETS, added=True)
+    types, table = dict(found.dtypes), {(r.file_id, r.line_no): r for r in found.collect()}
+    reported = {(r.file_id, r.line_no, r.column, r.field_name): r.value for r in d.p6_failed_casts(spark, data).collect()}
+
+    def whole(v):
+        if not float(v).is_integer():
+            raise ValueError
+        return int(float(v))
+
+    parse = {"bigint": whole, "double": float, "boolean": lambda v: {"true": True, "false": False}[v.lower()], "string": str}
+    assert types["accuracy"] == "double" and types["run_id"] == "bigint" and types["backbone"] == "string"
+    cells, failed = 0, 0
+    lines = brute_drift.lines(data)
+    assert set(lines) == set(table)
+    for key, row in lines.items():
+        held: dict = {}
+        for n in row:
+            c = column[key[0], n]
+            held[c] = min(held.get(c, (2,)), (n.lower() != c.lower(), n != c, n))
+        for n, v in row.items():
+            if v is None:
+                continue
+            cells, c = cells + 1, column[key[0], n]
+            try:
+                want = parse[types[c]](v) if held[c][2] == n else None
+            except (KeyError, ValueError):
+                want = None
+                assert reported.pop((*key, c, n)) == v
+                failed += 1
+            if want is None:
+                assert table[key].other_values[n] == v
+            else:
+                assert table[key][c] == want and n not in table[key].other_values
+    assert not reported and cells > 30_000 and failed > 0
