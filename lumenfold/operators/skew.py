@@ -35,6 +35,13 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame | None, s
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
+def hot_table(counts: DataFrame, key: str, n: str) -> DataFrame | None:
+    """hot_keys as a table of its own, or None if no key is hot: at most HOT_PER_TASK rows a task."""
+    spark = counts.sparkSession
+    found = hot_keys(counts, key, n, parallelism(spark)).collect()
+    return spark.createDataFrame(found, counts.select(key).schema) if found else None
+
+
 def frequent(df: DataFrame, column: str, tasks: int, least: int = 1000) -> list[int]:
     """The values of a BIGINT column that hold more than an even task's half of the rows, without a shuffle by value.
 
