@@ -2,9 +2,10 @@
 
 A vector is normalised to a sequence of symbols: the signs of its coordinates in VIEWS fixed random rotations, which neither
 scale nor small noise changes much. A hash that rolls over the last WINDOW symbols cuts the sequence where it hits a fixed
-residue, at least MIN and at most MAX symbols apart, so a changed symbol spoils only the chunks around it. The digests of
-chunks (symbols and place) are joined across splits, and the lengths of shared chunks summed into the fraction of the record
-that overlaps. Pairs that overlap are then measured exactly.
+residue, at least MIN symbols from the cut before and from the end and at most MAX from the cut before where the end is farther,
+so a changed symbol spoils only the chunks around it and every symbol is in a chunk. The digests of chunks (symbols and place) are
+joined across splits, and the lengths of shared chunks summed into the fraction of the record that overlaps: of equal records
+1, of both records the same, as all of a group are of one length. Pairs that overlap are then measured exactly.
 
 Exact copies within a split are represented by one record and restored at the end, so a mass of copies shares no chunk more
 than once. A digest that a large part of the records share (a cluster of almost equal vectors) is spread over salts.
@@ -24,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions.labels import label
-from lumenfold.llm.vectors import copies, cosines, matrix, usable, with_digest
-from lumenfold.operators.skew import frequent
+from lumenfold.llm.vectors import copies, cosines, matrix, members_of, usable, with_digest
+from lumenfold.operators.skew import frequent, lookup
 from lumenfold.session import parallelism, stage
 
 VIEWS = 10
@@ -59,8 +60,9 @@ def chunk_rows(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         digest = (digest ^ (bit + np.uint64(1))) * np.uint64(0x100000001B3)
         since += 1
         end = ((since >= MIN) & cuts[window.astype(np.int64)]) | (since >= MAX)
-        if i == length - 1:
-            end = since >= MIN
+        if i >= length - MIN:
+            # What would be left is too short for a chunk, many records would share it; it goes to the last one.
+            end = np.full(n, i == length - 1)
         at = np.flatnonzero(end)
         if len(at):
             h = (digest[at] ^ (start[at] * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0x9E3779B97F4A7C15)
@@ -70,7 +72,7 @@ def chunk_rows(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def chunks(df: DataFrame, group: str, vector: str, columns: list[str]) -> DataFrame:
-    """(columns..., digest) of each vector's chunks. A digest is 42 bits of a hash of group, place and symbols, the chunk's length (6 bits) and the record's (16)."""
+    """(columns..., digest) of each vector's chunks. A digest is 42 bits of a hash of group, place and symbols, the chunk's length (6 bits: below MAX + MIN) and the record's (16)."""
     schema = df.select(*columns).schema.add("digest", "long")
     chosen = df.select(*columns, F.xxhash64(group).alias("_group"), F.col(vector).alias("_vector"))
 
@@ -119,9 +121,11 @@ def cross_split_pairs(df: DataFrame, group: str, identity: str, vector: str, in_
     hot = sorted({h for t in (True, False) for h in frequent(side(t), "digest", parallelism(df.sparkSession))})
     near = overlaps(side(True), side(False), hot, MIN_OVERLAP).withColumnsRenamed({"id_l": "rep_train", "id_r": "rep_eval"})
     near = stage(cosines(near, distinct, "id", "v", "rep_train", "rep_eval").filter(F.col("cosine") >= min_cosine), "split-pairs")
-    members = rows.join(classes, ["g", "train", "_same"]).select("id", "rep", "train")
-    copied = lambda t, name: members.filter(F.col("train") == t).select(F.col("rep").alias(f"rep_{name}"), F.col("id").alias(f"id_{name}"))
-    return near.join(copied(True, "train"), "rep_train").join(copied(False, "eval"), "rep_eval").select("id_train", "id_eval", "cosine", "overlap")
+    members, many = members_of(rows.select("id", "g", "train", "_same"), classes, ["g", "train"], "id")
+    for t, name in ((True, "train"), (False, "eval")):
+        own = members.filter(F.col("train") == t).select(F.col("rep").alias(f"rep_{name}"), F.col("id").alias(f"id_{name}"))
+        near = lookup(own, near, f"rep_{name}", many.toDF(f"rep_{name}") if many else None, F.col(f"id_{name}"))
+    return near.select("id_train", "id_eval", "cosine", "overlap")
 
 
 def feature_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,13 +148,29 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.least("id_train", "id_eval").alias("id_a"), F.greatest("id_train", "id_eval").alias("id_b"))
 
 
+def p5_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id_train, id_eval, cosine, overlap) of those pairs. overlap: the share of either record that lies in chunks that both hold."""
+    pairs = cross_split_pairs(feature_splits(spark, sf_dir), "backbone", "sample_id", "features", "in_train", MIN_COSINE)
+    return pairs.select("id_train", "id_eval", F.round("cosine", 6).alias("cosine"), F.round("overlap", 6).alias("overlap"))
+
+
+def p5_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id_train, id_eval, cosine, whole) of those pairs: whether the overlap is whole, for pairs of equal vectors; null for others."""
+    rows = feature_splits(spark, sf_dir)
+    pairs = cross_split_pairs(rows, "backbone", "sample_id", "features", "in_train", MIN_COSINE)
+    same = with_digest(rows, "features").select("sample_id", "_same")
+    side = lambda n: same.select(F.col("sample_id").alias(f"id_{n}"), F.col("_same").alias(f"_{n}"))
+    both = pairs.join(side("train"), "id_train").join(side("eval"), "id_eval")
+    return both.select("id_train", "id_eval", F.round("cosine", 6).alias("cosine"), F.when(F.col("_train") == F.col("_eval"), F.col("overlap") == 1.0).alias("whole"))
+
+
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(dataset, split, train_dataset, records, pairs): evaluation records that occur in training, per dataset and split of theirs and dataset of the training record."""
+    """(dataset, split, train_dataset, records, pairs, overlapping): evaluation records that occur in training, per dataset and split of theirs and dataset of the training record."""
     rows = feature_splits(spark, sf_dir)
     pairs = cross_split_pairs(rows, "backbone", "sample_id", "features", "in_train", MIN_COSINE)
     about = rows.select("sample_id", label("dataset").alias("dataset"), F.coalesce(label("split"), F.lit("by image")).alias("split"))
     both = pairs.join(about.withColumnRenamed("sample_id", "id_eval"), "id_eval").join(about.select(F.col("sample_id").alias("id_train"), F.col("dataset").alias("train_dataset")), "id_train")
-    return both.groupBy("dataset", "split", "train_dataset").agg(F.count_distinct("id_eval").alias("records"), F.count(F.lit(1)).alias("pairs"))
+    return both.groupBy("dataset", "split", "train_dataset").agg(F.count_distinct("id_eval").alias("records"), F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("overlap") > 0).alias("overlapping"))
 
 
 _PAIRS = """
@@ -159,10 +179,11 @@ rows AS (SELECT e.sample_id AS id, e.backbone, lower(trim(e.dataset)) AS dataset
   FROM extract_features_multi e LEFT JOIN cub c ON c.img_id = e.img_id WHERE e.features IS NOT NULL AND e.backbone IS NOT NULL),
 usual AS (SELECT backbone, mode(d) AS d FROM rows WHERE in_train IS NOT NULL GROUP BY backbone),
 good AS (SELECT id, backbone, dataset, split, in_train, CAST(v AS DOUBLE[]) AS v FROM rows JOIN usual USING (backbone, d) WHERE in_train IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
-pairs AS (SELECT a.id AS id_train, b.id AS id_eval, a.dataset AS train_dataset, b.dataset, b.split FROM good a JOIN good b ON a.backbone = b.backbone AND a.in_train AND NOT b.in_train AND list_cosine_similarity(a.v, b.v) >= 0.985)
+pairs AS (SELECT a.id AS id_train, b.id AS id_eval, a.dataset AS train_dataset, b.dataset, b.split, list_cosine_similarity(a.v, b.v) AS cosine, a.v = b.v AS same FROM good a JOIN good b ON a.backbone = b.backbone AND a.in_train AND NOT b.in_train AND list_cosine_similarity(a.v, b.v) >= 0.985)
 """
-QUERIES = {"p5_found": p5_found, "p5_report": p5_report}
+QUERIES = {"p5_found": p5_found, "p5_overlaps": p5_overlaps, "p5_copies": p5_copies, "p5_report": p5_report}
 ORACLES = {
     "p5_found": _PAIRS + "SELECT least(id_train, id_eval) AS id_a, greatest(id_train, id_eval) AS id_b FROM pairs",
-    "p5_report": _PAIRS + "SELECT dataset, split, train_dataset, count(DISTINCT id_eval) AS records, count(*) AS pairs FROM pairs GROUP BY ALL",
+    "p5_copies": _PAIRS + "SELECT id_train, id_eval, round(cosine, 6) AS cosine, CASE WHEN same THEN true END AS whole FROM pairs",
+    "p5_report": _PAIRS + "SELECT dataset, split, train_dataset, count(DISTINCT id_eval) AS records, count(*) AS pairs, count(*) AS overlapping FROM pairs GROUP BY ALL",
 }

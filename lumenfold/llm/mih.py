@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenfold.llm.vectors import copies, cosines, first_members, matrix, usable, with_digest
-from lumenfold.operators.skew import frequent, hot_keys, lookup, small
+from lumenfold.llm.vectors import copies, cosines, first_members, matrix, members_of, usable, with_digest
+from lumenfold.operators.skew import frequent, lookup, small
 from lumenfold.session import parallelism, stage
 
 BITS, SUB = 192, 16
@@ -39,7 +39,7 @@ ROUNDS = 15
 #: Vectors that a cell should hold.
 CELL_ROWS = 32_768
 #: A substring value of more vectors is compared in blocks of this size.
-HOT_RUN = 8_192
+HOT_RUN = 2_048
 #: Groups whose rotations (up to 150 kB each) are shipped to the tasks.
 MAX_GROUPS = 1000
 SEED = 5
@@ -248,7 +248,8 @@ def nearest(df: DataFrame, group: str, identity: str, vector: str, k: int, min_c
 
 def with_copies(rows: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """Neighbours of all rows (id, g, _same) from pairs of representatives: copies of a vector count as neighbours with a cosine of 1, those of its neighbours as the neighbours themselves."""
-    members = rows.join(classes, ["g", "_same"]).select("id", "rep", "n")
+    members, many = members_of(rows.select("id", "g", "_same"), classes, ["g"], "id")
+    members = stage(members.select("id", "rep"), "mih-members")
     first = first_members(members, "rep", "id", k + 1)
     both = pairs.select(F.col("id_a").alias("rep"), F.col("id_b").alias("of"), "cosine").unionByName(pairs.select(F.col("id_b").alias("rep"), F.col("id_a").alias("of"), "cosine"))
     itself = classes.filter("n > 1").select("rep", F.col("rep").alias("of"), F.lit(1.0).alias("cosine"))
@@ -256,10 +257,7 @@ def with_copies(rows: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -
     nth = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("c"), "o"))
     # One row per representative with at most 2 k + 2 offers: enough for each of its copies.
     best = offers.withColumn("_nth", nth).filter(F.col("_nth") <= 2 * k + 2).groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("_nth", F.col("c").alias("cosine"), F.col("o").alias("id")))).alias("offers"))
-    counts = classes.select("rep", "n")
-    hot = hot_keys(counts, "rep", "n", parallelism(rows.sparkSession)).collect()
-    hot_df = rows.sparkSession.createDataFrame(hot, counts.select("rep").schema) if hot else None
-    joined = lookup(members.select("id", "rep"), best, "rep", hot_df, F.col("id"))
+    joined = lookup(members, best, "rep", many, F.col("id"))
     others = F.slice(F.filter("offers", lambda o: o["id"] != F.col("id")), 1, k)
     return joined.select("id", F.transform(others, lambda o: F.struct(o["cosine"].alias("cosine"), o["id"].alias("id"))).alias("neighbours"))
 
@@ -268,6 +266,7 @@ K, MIN_COSINE = 5, 0.90
 #: Rows of a block that meet a batch of queries in one matrix product. All rows do, so it bounds memory, not the result.
 SHORTLIST = 2048
 SCAN_ROWS = 65_536
+SCAN_LEAST = 4_096
 SCAN_QUERIES = 512
 
 
@@ -317,14 +316,14 @@ def scan_nearest(df: DataFrame, group: str, identity: str, vector: str, is_query
     sizes = rows.groupBy("g").count().limit(MAX_GROUPS + 1).collect()
     if len(sizes) > MAX_GROUPS:
         raise ValueError(f"more than {MAX_GROUPS} groups of vectors")
-    blocks = {r.g: ceil(r["count"] / SCAN_ROWS) for r in sizes} or {"": 1}
+    # Blocks are smaller where there would be fewer of them than tasks.
+    size = min(SCAN_ROWS, max(SCAN_LEAST, ceil(sum(r["count"] for r in sizes) / (2 * parallelism(df.sparkSession)))))
+    blocks = {r.g: ceil(r["count"] / size) for r in sizes} or {"": 1}
     n_blocks = F.create_map(*[x for g, n in blocks.items() for x in (F.lit(g), F.lit(n))])[F.col("g")]
     index_rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks).cast("int"))
-    # The queries meet every block; they are dealt to several tasks by a part of their own.
-    parts = ceil(2 * parallelism(df.sparkSession) / sum(blocks.values()))
-    queries = rows.filter("q").withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1))).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-    index_rows = index_rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    found = queries.groupBy("g", "block", "part").cogroup(index_rows.groupBy("g", "block", "part")).applyInArrow(_scan(k, shortlist), "id long, neighbour_id long, cosine double")
+    # The queries meet every block, and every vector is in one.
+    queries = rows.filter("q").withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    found = queries.groupBy("g", "block").cogroup(index_rows.groupBy("g", "block")).applyInArrow(_scan(k, shortlist), "id long, neighbour_id long, cosine double")
     nth = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour_id"))
     return found.withColumn("rank_no", nth).filter(F.col("rank_no") <= k)
 

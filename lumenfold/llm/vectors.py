@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumenfold.operators.skew import hot_table, lookup
+
 #: Groups (backbones) that a collection may have; their lengths and counts are held on the driver.
 MAX_GROUPS = 10_000
 
@@ -36,6 +38,15 @@ def with_digest(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumn("_same", F.struct(F.xxhash64(vector).alias("a"), F.xxhash64(F.lit(17), F.reverse(vector)).alias("b")))
 
 
+def members_of(rows: DataFrame, classes: DataFrame, keys: list[str], identity: str) -> tuple[DataFrame, DataFrame | None]:
+    """rows with the rep of their class (and without keys and _same), and the reps of very many copies. classes: from copies, staged; a mass of copies is dealt to many tasks."""
+    same = F.struct(*[F.col(k) for k in keys], "_same")
+    table = classes.select(same.alias("_class"), "rep", "n")
+    hot = hot_table(table, "_class", "n")
+    reps = lookup(table.drop("n"), F.broadcast(hot), "_class", None, F.col("rep")).select("rep") if hot else None
+    return lookup(rows.withColumn("_class", same), table.drop("n"), "_class", hot, F.col(identity)).drop("_class", "_same"), reps
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     """The vectors of a list column, all of one length, as rows of doubles scaled to length 1."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)

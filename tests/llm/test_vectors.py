@@ -157,7 +157,19 @@ def test_cross_split_pairs(spark, tables):
     got = rows(chunks.p5_found(spark, tables.dir))
     assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.98 * len(want)
     report = chunks.p5_report(spark, tables.dir).collect()
-    assert sum(r.pairs for r in report) == len(got)
+    assert sum(r.pairs for r in report) == sum(r.overlapping for r in report) == len(got)
+    copies = rows(chunks.p5_copies(spark, tables.dir).filter("whole IS NOT NULL"))
+    assert len(copies) >= 18 and all(c[3] and c[2] == 1 for c in copies)
+    # The overlap of a pair is the length of the chunks that both records hold, over all of their length.
+    some = chunks.p5_overlaps(spark, tables.dir).limit(40).collect()
+    cut = {}
+    for r in some:
+        for i in (r.id_train, r.id_eval):
+            x = np.float32([good[i][6]]).astype(float)
+            _, digest, length = chunks.chunk_rows((x / np.linalg.norm(x) @ chunks.rotations(x.shape[1]) > 0).astype(np.uint8))
+            cut[i] = dict(zip(digest, length, strict=True)), length.sum()
+        (a, n), (b, m) = cut[r.id_train], cut[r.id_eval]
+        assert n == m and abs(r.overlap - sum(a[k] for k in a.keys() & b.keys()) / n) < 1e-6
 
 
 def test_pairs_that_share_little(spark, tables):
@@ -176,7 +188,8 @@ def test_chunks_cover_the_record():
     rng = np.random.default_rng(3)
     symbols = rng.integers(0, 2, (50, 200)).astype(np.uint8)
     row, digest, length = chunks.chunk_rows(symbols)
-    assert all(200 - chunks.MIN < length[row == i].sum() <= 200 for i in range(50)) and length.max() <= chunks.MAX and length[:50].min() >= chunks.MIN
+    assert all(length[row == i].sum() == 200 for i in range(50)) and length.max() < chunks.MAX + chunks.MIN < 64 and length.min() >= chunks.MIN
+    assert [chunks.chunk_rows(symbols[:, :n])[2][0] for n in (1, 5, 13)] == [1, 5, 13]
     changed = symbols.copy()
     changed[:, 100] ^= 1
     again = chunks.chunk_rows(changed)
