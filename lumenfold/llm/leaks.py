@@ -1,14 +1,18 @@
 """Evaluation texts inside a training corpus, by template canonicalisation.
 
-Words are the maximal runs of a-z and 0-9 of the lower-cased text. A word is made canonical without looking at its context, so
-equal passages have equal templates: runs of digits become a number slot, unit words a unit slot, names of the items and words
-that no item uses become a name slot, and the items' other words stay. Windows of WINDOW canonical words are hashed over whole
-texts; a window with fewer than LITERALS words that stay is hashed by its words themselves, as its template alone says little. Documents'
-windows are joined with the items' by hash, then the slots are checked: all slots equal is a passage in the item's own words,
-slots that differ but map consistently (one value of the document for each value of the item) are a re-parameterised copy.
+Words are the maximal runs of a-z and 0-9 of the lower-cased text. A word is made canonical by itself, whatever its case, its
+neighbours, the items or the corpus, so equal passages have equal templates: digits and words for numbers become a number slot,
+unit words a unit slot, digits with a unit a slot of their own, and every word that is no plain word of the vocabulary a name slot;
+plain words stay. Windows of WINDOW canonical words are hashed over whole texts; a window with fewer than LITERALS words that stay is
+hashed by its words themselves, as its template alone says little. Documents' windows are joined with the items' by hash, and those
+whose words are equal as well are passages of the item.
 
-The hashes of the items' windows go to all tasks in blocks of at most BLOCK_WINDOWS (8 bytes each); more items mean more passes over
-the documents, not more memory.
+For re-parameterised copies digits are parted from letters, and neighbours of one kind of slot are one slot (3.5, twenty five, a
+name of several words), so values of another number of words keep the alignment; then the slots of each alignment are checked: its
+values must map one to one.
+
+Items are cut into windows on the executors. Only the hashes of their windows go to all tasks, in blocks of about BLOCK_WINDOWS (8
+bytes each); more items mean more passes over the documents, not more memory.
 
 Defined results: a null text has no words; an item of fewer words than a window cannot be found; repeated documents are found
 each on their own; an empty table of items or documents gives no rows.
@@ -16,31 +20,53 @@ each on their own; an empty table of items or documents gives no rows.
 
 from __future__ import annotations
 
+import base64
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.session import stage
+from lumenfold.llm.mixing import tokenizer_path
+from lumenfold.operators.skew import frequent, lookup
+from lumenfold.session import parallelism, stage
 
 WINDOW = 12
 LITERALS = 6
 BLOCK_WINDOWS = 1_000_000
-#: Words of all items that the driver may read.
-MAX_ITEM_WORDS = 20_000_000
+#: Windows of all items, with their words, that are broadcast; beyond it they are joined by shuffle.
+SMALL_WINDOWS = 200_000
+#: Words of the vocabulary that the tasks hold, and distinct words whose canonical forms a task remembers.
+MAX_PLAIN, MAX_KNOWN = 1_000_000, 500_000
 WORD = re.compile(r"[a-z0-9]+")
-#: Unit words, each a unit slot.
-UNITS = "b kb mb gb tb kib mib gib ms us ns s sec secs second seconds min mins minute minutes h hour hours day days week weeks month months year years mm cm m km g kg percent px dpi hz khz mhz ghz bytes bits".split()
-
-NUMBER, NAME, UNIT = 1, 2, 3
+#: Words where digits and letters are parted.
+PART = re.compile(r"[a-z]+|[0-9]+")
+#: Unit words (fixed values).
+UNITS = frozenset("b kb mb gb tb kib mib gib ms us ns s sec secs second seconds min mins minute minutes h hour hours day days week weeks month months year years mm cm m km in inch inches ft feet yd yards mile miles mg g kg t lb lbs oz ml l litre litres liter liters percent pct px dpi hz khz mhz ghz bytes bits usd eur gbp dollars euros pounds cents degrees watts volts amps kw kwh mph kmh".split())
+#: Words for numbers (fixed values).
+NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
+
+NUMBER, NAME, UNIT, MEASURE = 1, 2, 3, 4
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_MEASURE = re.compile(r"[0-9]+([a-z]+)\Z")
+
+
+def plain_words(path: str) -> frozenset[str]:
+    """The words that a vocabulary of ranks holds whole after a space, in lower case and there more often than with a capital."""
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    words = {t[1:] for t in ranks if re.fullmatch(rb" [a-z]+", t)}
+    plain = frozenset(w.decode() for w in words if ranks[b" " + w] < ranks.get(b" " + w.capitalize(), 1 << 62))
+    if len(plain) > MAX_PLAIN:
+        raise ValueError(f"more than {MAX_PLAIN} plain words")
+    return plain
 
 
 def _mix(ids: np.ndarray) -> np.ndarray:
-    h = (ids.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (ids + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xFF51AFD7ED558CCD)
     return (h ^ (h >> np.uint64(32))) * np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -53,123 +79,126 @@ def window_hashes(ids: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-class Lexicon:
-    """The items' words. number: word -> its own id; canonical[id]: what stands for it in templates; fixed[id]: whether it stays."""
-
-    def __init__(self, texts: list[str]):
-        names, plain, words = set(), set(), {}
-        for text in texts:
-            for m in re.finditer(r"[A-Za-z0-9]+", text):
-                before = text[: m.start()].rstrip()
-                starts = not before or before[-1] in ".!?:;\"'"
-                w = m.group()
-                if w[0].isupper():
-                    if not starts:
-                        names.add(w.lower())
-                else:
-                    plain.add(w)
-            for w in WORD.findall(text.lower()):
-                words.setdefault(w, len(words) + 10)
-        names -= plain
-        units = set(UNITS)
-        self.number = words
-        self.canonical = np.zeros(len(words) + 10, np.int64)
-        self.canonical[:10] = np.arange(10)
-        for w, i in words.items():
-            self.canonical[i] = NUMBER if w.isdigit() else UNIT if w in units else NAME if w in names else i
-        self.fixed = np.arange(len(self.canonical)) == self.canonical
-        self.fixed[:10] = False
-
-    def ids(self, words: list[str]) -> np.ndarray:
-        """Own ids of the items' words; NUMBER, UNIT or NAME for words that no item uses."""
+class Canon:
+    """Canonical forms of words, remembered. own[i]: hash of the word with number i; form[i]: the slot it is in, or its hash; a hash is above all slots."""
+
+    def __init__(self, plain: frozenset[str]):
+        self.plain, self.number = plain, {}
+        self.own, self.form = np.zeros(4096, np.uint64), np.zeros(4096, np.uint64)
+
+    def slot(self, word: str) -> int:
+        """The slot of a word, 0 for a plain one."""
+        if word.isdigit() or word in NUMBERS:
+            return NUMBER
+        if word in UNITS:
+            return UNIT
+        measure = _MEASURE.match(word)
+        return MEASURE if measure and measure[1] in UNITS else 0 if word in self.plain else NAME
+
+    def _add(self, word: str) -> int:
+        if (i := self.number.get(word)) is None:
+            i = self.number[word] = len(self.number)
+            if i == len(self.own):
+                self.own, self.form = np.append(self.own, np.zeros_like(self.own)), np.append(self.form, np.zeros_like(self.form))
+            self.own[i] = int.from_bytes(blake2b(word.encode(), digest_size=8).digest()) | 8
+            self.form[i] = self.slot(word) or self.own[i]
+        return i
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        if len(self.number) > MAX_KNOWN:
+            self.number.clear()
         get = self.number.get
-        own = np.fromiter([get(w, 0) for w in words], np.int64, len(words))
-        for i in np.flatnonzero(own == 0):
-            own[i] = NUMBER if words[i].isdigit() else UNIT if words[i] in _UNIT_SET else NAME
-        return own
-
-    def keys(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(template hash, whether it is a template) of each window; a window with few words that stay is hashed by its words."""
-        template, exact = window_hashes(self.canonical[own], WINDOW), window_hashes(own, WINDOW)
-        upto = np.concatenate([[0], np.cumsum(self.fixed[own])])
-        rich = upto[WINDOW:] - upto[:-WINDOW] >= LITERALS
-        return np.where(rich, template, exact ^ np.uint64(0x5851F42D4C957F2D)), rich
-
-
-_UNIT_SET = set(UNITS)
-
-
-def item_windows(items: list[tuple[int, str]], lexicon: Lexicon) -> list[tuple[int, int, int, str]]:
-    """(key, item_id, position, words) of every window of every item."""
-    out = []
-    for item, text in items:
-        words = WORD.findall(text.lower())
-        if len(words) >= WINDOW:
-            keys = lexicon.keys(lexicon.ids(words))[0].view(np.int64)
-            out += [(int(k), item, i, " ".join(words[i : i + WINDOW])) for i, k in enumerate(keys)]
-    return out
+        out = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        for i in np.flatnonzero(out < 0):
+            out[i] = self._add(words[i])
+        return out
 
 
-def matched_windows(documents: DataFrame, identity: str, text: str, lexicon: Lexicon, keys: np.ndarray) -> DataFrame:
-    """(identity, key, doc_pos, doc_words) of the documents' windows whose key is among keys (sorted)."""
-    table = np.sort(keys.astype(np.uint64))
-    bits = 22
-    # A bitmap over the leading bits of the keys spares nearly all searches.
-    seen = np.zeros(1 << bits, bool)
-    seen[(table >> np.uint64(64 - bits)).astype(np.int64)] = True
-    schema = documents.select(identity).schema.add("key", "long").add("doc_pos", "integer").add("doc_words", "string")
+def windows(texts: DataFrame, identity: str, text: str, plain: frozenset[str], merged: bool, keys: np.ndarray | None = None) -> DataFrame:
+    """(identity, key, pos, words) of the windows of all texts, or of those whose key is among keys (sorted).
 
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Not merged: windows of words. Merged: of slots and plain words, digits parted from letters, neighbouring slots of one kind in
+    one; windows of few plain words are left out.
+    """
+    schema = texts.select(F.col(identity).alias("identity")).schema.add("key", "long").add("pos", "integer").add("words", "string")
+    bits, pattern = 22, PART if merged else WORD
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        canon, table, seen = Canon(plain), keys, np.ones(0, bool)
+        if table is not None:
+            # A bitmap over the leading bits of the keys spares nearly all searches.
+            seen = np.zeros(1 << bits, bool)
+            seen[(table >> np.uint64(64 - bits)).astype(np.int64)] = True
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 b = whole.slice(start, 256)
                 words: list[str] = []
                 ends = []
-                for t in b[text].to_pylist():
+                for t in b[1].to_pylist():
                     if t:
-                        words += WORD.findall(t.lower())
+                        words += pattern.findall(t.lower())
                     ends.append(len(words))
-                if len(words) < WINDOW:
+                number, upto = canon.numbers(words), np.array(ends)
+                form, first = canon.form[number], None
+                if merged:
+                    new = np.ones(len(form), bool)
+                    new[1:] = (form[1:] != form[:-1]) | (form[1:] > MEASURE)
+                    new[upto[upto < len(form)]] = True
+                    first = np.flatnonzero(new)
+                    form, upto = form[first], np.searchsorted(first, upto)
+                if len(form) < WINDOW:
+                    continue
+                fixed = np.concatenate([[0], np.cumsum(form > MEASURE)])
+                rich = fixed[WINDOW:] - fixed[:-WINDOW] >= LITERALS
+                key = window_hashes(form, WINDOW)
+                if not merged:
+                    key = np.where(rich, key, window_hashes(canon.own[number], WINDOW) ^ np.uint64(0x5851F42D4C957F2D))
+                hit = np.flatnonzero(rich) if merged else np.arange(len(key))
+                if table is not None:
+                    hit = hit[seen[(key[hit] >> np.uint64(64 - bits)).astype(np.int64)]]
+                    at = np.minimum(np.searchsorted(table, key[hit]), len(table) - 1)
+                    hit = hit[table[at] == key[hit]]
+                text_of = np.searchsorted(upto, hit, "right")
+                inside = hit + WINDOW <= upto[text_of]
+                hit, text_of = hit[inside], text_of[inside]
+                if not len(hit):
                     continue
-                key = lexicon.keys(lexicon.ids(words))[0]
-                hit = np.flatnonzero(seen[(key >> np.uint64(64 - bits)).astype(np.int64)])
-                at = np.searchsorted(table, key[hit])
-                hit = hit[table[np.minimum(at, len(table) - 1)] == key[hit]]
-                ends_ = np.array(ends)
-                doc = np.searchsorted(ends_, hit, "right")
-                inside = hit + WINDOW <= ends_[doc]
-                hit, doc = hit[inside], doc[inside]
-                if len(hit):
-                    begins = np.concatenate([[0], ends_[:-1]])
-                    yield pa.RecordBatch.from_arrays([b[identity].take(pa.array(doc)), pa.array(key[hit].view(np.int64)), pa.array((hit - begins[doc]).astype(np.int32)), pa.array([" ".join(words[i : i + WINDOW]) for i in hit])], [identity, "key", "doc_pos", "doc_words"])
-
-    return documents.select(identity, text).mapInArrow(match, schema)
-
-
-def window_matches(documents: DataFrame, identity: str, text: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
-    """(identity, item_id, doc_pos, item_pos, doc_words, item_words) of windows with equal templates."""
-    spark = documents.sparkSession
-    size = items.agg(F.sum(F.length(item_text) / 2)).first()[0] or 0
-    if size > MAX_ITEM_WORDS:
-        raise ValueError(f"items of more than {MAX_ITEM_WORDS} words")
-    rows = [(r[0], r[1]) for r in items.select(item_id, item_text).filter(F.col(item_text).isNotNull()).collect()]
-    lexicon = Lexicon([t for _, t in rows])
-    windows = item_windows(rows, lexicon)
-    schema = items.select(item_id).schema.add("item_pos", "integer").add("item_words", "string")
-    schema.fields.insert(0, documents.select(F.lit(0).cast("long").alias("key")).schema["key"])
-    table = spark.createDataFrame(windows, type(schema)(schema.fields))
-    keys = np.unique(np.array([w[0] for w in windows] or [0], np.int64).view(np.uint64))
+                begins = np.concatenate([[0], upto[:-1]])
+                if merged:
+                    last = np.append(first[1:], len(words))
+                    values = [" ".join("+".join(words[first[j] : last[j]]) for j in range(i, i + WINDOW)) for i in hit]
+                else:
+                    values = [" ".join(words[i : i + WINDOW]) for i in hit]
+                yield pa.RecordBatch.from_arrays([b[0].take(pa.array(text_of)), pa.array(key[hit].view(np.int64)), pa.array((hit - begins[text_of]).astype(np.int32)), pa.array(values)], ["identity", "key", "pos", "words"])
+
+    return texts.select(identity, text).mapInArrow(cut, schema)
+
+
+def window_matches(documents: DataFrame, identity: str, text: str, items: DataFrame, item_id: str, item_text: str, merged: bool = False, vocabulary: str | None = None) -> DataFrame:
+    """(identity, item_id, doc_pos, item_pos, doc_words, item_words) of windows with equal templates. vocabulary: file of ranks that tells plain words."""
+    plain = plain_words(vocabulary or tokenizer_path())
+    known = stage(windows(items, item_id, item_text, plain, merged).select("key", F.col("identity").alias("_item"), F.col("pos").alias("item_pos"), F.col("words").alias("item_words")), "leak-items")
+    n = known.count()
+    blocks = max(1, -(-n // BLOCK_WINDOWS))
     hits = None
-    for at in range(0, len(keys), BLOCK_WINDOWS):
-        part = matched_windows(documents, identity, text, lexicon, keys[at : at + BLOCK_WINDOWS])
+    for at in range(blocks):
+        own = known.select("key").filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == at).distinct().toArrow()["key"]
+        keys = np.sort(own.to_numpy().view(np.uint64)) if len(own) else np.zeros(1, np.uint64)
+        part = windows(documents, identity, text, plain, merged, keys).select("key", F.col("identity").alias("_doc"), F.col("pos").alias("doc_pos"), F.col("words").alias("doc_words"))
         hits = part if hits is None else hits.unionByName(part)
-    return hits.join(F.broadcast(table) if len(windows) <= BLOCK_WINDOWS else table, "key").drop("key")
+    if n <= SMALL_WINDOWS:
+        both = hits.join(F.broadcast(known), "key")
+    else:
+        hits = stage(hits, "leak-hits")
+        hot = frequent(hits, "key", parallelism(hits.sparkSession))  # at most four times as many as tasks
+        both = lookup(hits, known, "key", hits.sparkSession.createDataFrame([(h,) for h in hot], "key long") if hot else None, F.struct("_doc", "doc_pos"))
+    return both.select(F.col("_doc").alias(identity), F.col("_item").alias(item_id), "doc_pos", "item_pos", "doc_words", "item_words")
 
 
-def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _matches(spark: SparkSession, sf_dir: str, merged: bool) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet(f"{sf_dir}/eval_items.parquet").select("item_id", "item_text")
-    return window_matches(documents, "doc_id", "text", items, "item_id", "item_text")
+    return window_matches(documents, "doc_id", "text", items, "item_id", "item_text", merged)
 
 
 def leaked(matches: DataFrame, identity: str, item_id: str) -> DataFrame:
@@ -178,30 +207,28 @@ def leaked(matches: DataFrame, identity: str, item_id: str) -> DataFrame:
 
 
 def reparameterised(matches: DataFrame, identity: str, item_id: str) -> DataFrame:
-    """(item_id, identity, windows, slots): items that a document repeats with other slot values, each item value mapped to one document value.
+    """(item_id, identity, windows, slots): items that a document repeats with other slot values, which map one to one. matches: merged ones.
 
-    A document is compared along each alignment (difference of positions) on its own; windows: those along the best one.
+    A document is compared along each alignment (difference of positions) on its own; windows: those along the best one; slots: its values that differ.
     """
     keys = [item_id, identity, "shift"]
     aligned = matches.withColumn("shift", F.col("doc_pos") - F.col("item_pos"))
     pairs = F.arrays_zip(F.split("item_words", " ").alias("i"), F.split("doc_words", " ").alias("d"))
-    slots = stage(aligned.groupBy(*keys, "item_pos").agg(F.first(pairs).alias("pairs")), "leak-slots")
-    counts = slots.groupBy(*keys).agg(F.count(F.lit(1)).alias("windows"))
-    values = slots.select(*keys, F.explode("pairs").alias("p")).select(*keys, F.col("p.*")).toDF(*keys, "i", "d")
-    mapped = values.groupBy(*keys, "i").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-    judged = mapped.groupBy(*keys).agg(F.bool_and(F.col("lo") == F.col("hi")).alias("consistent"), F.count_if((F.col("lo") != F.col("i")) | (F.col("lo") != F.col("hi"))).alias("slots"))
-    good = judged.filter("consistent AND slots > 0").join(counts, keys)
-    return good.groupBy(item_id, identity).agg(F.max(F.struct("windows", "slots")).alias("best")).select(item_id, identity, "best.*")
+    # At most as many values as the item has words.
+    mapped = aligned.select(*keys, "item_pos", F.explode(pairs).alias("p")).groupBy(*keys).agg(F.count_distinct("item_pos").alias("windows"), F.collect_set("p").alias("pairs"))
+    one_to_one = (F.size("pairs") == F.size(F.array_distinct("pairs.i"))) & (F.size("pairs") == F.size(F.array_distinct("pairs.d")))
+    judged = mapped.filter(one_to_one).select(*keys, "windows", F.size(F.filter("pairs", lambda p: p["i"] != p["d"])).cast("long").alias("slots"))
+    return judged.filter("slots > 0").groupBy(item_id, identity).agg(F.max(F.struct("windows", "slots")).alias("best")).select(item_id, identity, "best.*")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_id, doc_id) of documents that hold 12 consecutive words of an item."""
-    return leaked(_matches(spark, sf_dir), "doc_id", "item_id")
+    return leaked(_matches(spark, sf_dir, False), "doc_id", "item_id")
 
 
 def p7_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_id, doc_id, windows, slots) of documents that repeat an item's template with other numbers, names or units."""
-    return reparameterised(_matches(spark, sf_dir), "doc_id", "item_id")
+    return reparameterised(_matches(spark, sf_dir, True), "doc_id", "item_id")
 
 
 QUERIES = {"p7_found": p7_found, "p7_templates": p7_templates}

@@ -19,7 +19,7 @@ def test_leaks(spark, tables):
     items = [(1, item(1, "Ulnar", 52)), (2, "too short an item"), (3, None), (4, item(1, "Ulnar", 52) + " And then more words follow here."), (5, "Zed Yod Xan 1 2 3 Wim Vor Uth 4 5 6 Tol Sib")]
     a = items[0][1]
     docs = [
-        (1, "before\r\n" + a.upper().replace(" ", "\n\t") + " after"), (2, item(1, "Bexpi", 99)), (3, item(1, "Bexpi", 99).replace("from Bexpi", "from Other")), (4, " ".join(re.findall(r"\w+", a)[3:15])), (5, " ".join(re.findall(r"\w+", a)[3:14])),
+        (1, "before\r\n" + a.upper().replace(" ", "\n\t") + " after"), (2, item(1, "Bexpi", 99)), (3, item(1, "Bexpi", 99).replace("from Bexpi", "from Quakawem")), (4, " ".join(re.findall(r"\w+", a)[3:15])), (5, " ".join(re.findall(r"\w+", a)[3:14])),
         (6, None), (7, ""), (8, "x " * 300_000 + a), (9, a), (10, a), (11, "zed yod xan 1 2 3 wim vor uth 4 5 6 tol"), (12, "aaa bbb ccc 1 2 3 ddd eee fff 4 5 6 ggg hhh"), (13, "Kelvin " + a),
     ]
     tables("eval_items", items, ITEMS)
@@ -32,11 +32,34 @@ def test_leaks(spark, tables):
     assert (1, 2) in templates and templates[(1, 2)].slots == 2 and (1, 3) not in templates and (1, 9) not in templates and (5, 12) not in templates
 
 
+QUESTION = "A train leaves {a} at noon and travels {n} {u} before it reaches the station in {b}. The driver of the train then returns to {a} by the same road, which takes {m} hours longer. How far is the station from the sea if {a} lies {n} {u} away?"
+
+
+def test_other_values_in_a_question(spark, tables):
+    """Planted copies with other numbers, units and names are found, those whose values do not map one to one are not."""
+    ask = lambda **v: QUESTION.format(**{"a": "Ulnar", "b": "Bexpi", "n": "12", "u": "km", "m": "3"} | v)
+    planted = [
+        (1, ask(n="15", m="4")), (2, ask(n="twelve", u="miles")), (3, ask(n="3.5", m="twenty two")), (4, ask(a="Zemost Dra", b="Quakawem")), (5, ask(n="15", u="").replace("15 ", "15km")),
+        (6, "Some words before. " + ask(n="40", a="Zemost Dra Quakawem").upper()), (7, ask()), (8, ask(a="Bexpi")), (9, ask(n="15").replace("lies 15", "lies 16")), (10, ask(n="15").replace("train", "coach")), (11, None),
+    ]
+    tables("documents", [(i, t, "s") for i, t in planted], DOCS)
+    tables("eval_items", [(1, ask()), (2, ask(n="12kg", u="of flour"))], ITEMS)
+    got = {r.doc_id: r for r in leaks.p7_templates(spark, tables.dir).filter("item_id = 1").collect()}
+    assert {1, 2, 3, 4, 5, 6} <= set(got) and not {7, 8, 9, 11} & set(got)
+    assert got[1].slots == 2 and got[4].slots == 2
+    # What a word stands for does not depend on the items.
+    plain = leaks.plain_words(mixing.tokenizer_path())
+    slots = [leaks.Canon(plain).slot(w) for w in ("12", "twelve", "12kg", "kg", "12x", "ulnar", "station", "paris")]
+    assert slots == [leaks.NUMBER, leaks.NUMBER, leaks.MEASURE, leaks.UNIT, leaks.NAME, leaks.NAME, 0, leaks.NAME]
+
+
 def test_leaks_blocks_and_empty(spark, tables, monkeypatch):
     tables("eval_items", [(i, item(i, "Ulnar", i)) for i in range(30)], ITEMS)
     tables("documents", [(i, item(i, "Ulnar", i), "s") for i in range(40)], DOCS)
     monkeypatch.setattr(leaks, "BLOCK_WINDOWS", 50)  # more items than one pass holds
     assert sorted(rows(leaks.p7_found(spark, tables.dir))) == [(i, i) for i in range(30)]
+    monkeypatch.setattr(leaks, "SMALL_WINDOWS", 10)  # and more than are broadcast
+    assert sorted(rows(leaks.p7_found(spark, tables.dir))) == [(i, i) for i in range(30)]
     tables("documents", [], DOCS)
     assert rows(leaks.p7_found(spark, tables.dir)) == []
     tables("eval_items", [], ITEMS)
