@@ -92,6 +92,24 @@ def test_layout_figures():
 
     assert quality.period(np.array([0, 4, 0, 4, 0, 4, 0, 4.0])) > 0.6 and quality.period(np.zeros(9)) == 0.0
     assert quality.alignment(["a,b,c", "d,e,f", "g,h,i"]) == 1.0 and quality.alignment(["a", "b"]) == 0.0
+    wide = ",".join("x" * i for i in range(1, 200))
+    assert quality.alignment([wide, "yy" + wide, wide]) == 1.0  # delimiters beyond any number count
+    assert [quality.marker(s) for s in ("- a", "  * b", "12. c", "9) d", "[x] e", "-flag", "2024 was", "", "(a) f", "• g")] == [("-", 0), ("*", 2), (".", 1), (")", 1), ("[", 0), None, None, None, None, ("•", 0)]
+
+
+def test_kinds_of_planted_layouts(spark):
+    """Tables and lists are told by their layout, whatever their delimiters and markers; prose with such marks inside is not one."""
+    word = lambda i: "abcdefghij"[: 2 + i % 7]
+    texts = {
+        "table": ["\n".join(f"{word(i)};{i};{word(i + 3)};x" for i in range(20)), "\n".join(f"{word(i)}\t{i * 7}\t{word(i)}" for i in range(9)), "\n".join(f"| {word(i):10} | {i:4} |" for i in range(30))],
+        "list": ["\n".join(f"{i + 1}. {word(i)} {word(i + 2)}" for i in range(14)), "\n".join(f"{'  ' * (i % 3)}* {word(i)}" for i in range(12)), "To do\n" + "\n".join(f"[{'x' if i % 2 else ' '}] {word(i)} {word(i + 1)}" for i in range(8)), "\n".join(f"• {word(i)}" for i in range(10))],
+        "prose": [PROSE, "- " + PROSE, PROSE.replace("town", "town, city")],
+    }
+    rows_ = [(k, t) for k, ts in texts.items() for t in ts]
+    common = spark.createDataFrame([(w,) for w in "the of and in to it was a for all them their".split()], "w string")
+    for all_ in (True, False):
+        got = quality.statistics(spark.createDataFrame(rows_, "want string, text string"), "text", common, "w", all_).select("want", "kind").collect()
+        assert all(r.want == r.kind for r in got) and len(got) == len(rows_)
 
 
 @pytest.fixture
