@@ -6,9 +6,10 @@ most 2**EXACT_BITS shifted codes exist, else in a Count-sketch of DEPTH signed r
 parts, files or days are merged by addition, and a row with weight -1 deletes one with weight +1. A rank is inverted by
 descending from the exact level, at each level into the child whose estimated count covers the rank.
 
-Error: besides the width of a code, the returned value has a rank within eps * n of the asked one. eps is reported with each
-value: twice the root of the summed variances of the levels descended, as the sketch itself estimates them from its second
-moments without the heaviest counters. It does not depend on the size of the data.
+Error: besides the width of a code, the returned value has a rank within eps * n of the asked one, with a probability of at least
+0.995 for each value. eps is reported with it: DEVIATIONS root mean squares of a counter, its HEAVY heaviest apart, for each of the
+levels descended. A row's estimate is farther off only if a heavy code collides with it (at most 1 in 32) or by Chebyshev (at most 1
+in 36); the median of 7 rows needs 4 such rows, 0.0005 for each of 8 levels. eps does not depend on the size of the data.
 
 Defined results: null values and NaN, infinite ones and those for which no group row exists are not counted; a null group is a
 group; a group whose counts sum to 0 has null percentiles; an empty table has no groups.
@@ -26,15 +27,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions.labels import last_version, method_label
-from lumenfold.session import parallelism
+from lumenfold.operators.skew import small
+from lumenfold.session import parallelism, stage
 
 CODE_BITS = 24
-EXACT_BITS = 12
-DEPTH = 5
-WIDTH = 1024
-#: Groups whose sketches a task holds before it hands them on (half a MB each).
+EXACT_BITS = 16
+DEPTH = 7
+WIDTH = 4096
+#: Groups whose sketches a task holds before it hands them on (2.4 MB each).
 HELD = 48
 SEED = 20240607
+#: Of the stated error: deviations of an estimate, and counters of a row that are left out of its second moment.
+DEVIATIONS, HEAVY = 6, WIDTH // 32
 QS = [0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 
 _MIX = np.random.default_rng(SEED).integers(1, 1 << 63, size=(CODE_BITS, DEPTH, 2), dtype=np.uint64) | np.uint64(1)
@@ -97,11 +101,10 @@ class DyadicSketch:
         return int(self.exact.sum())
 
     def eps(self) -> float:
-        """Relative rank error: two deviations of the summed estimates that a descent uses."""
-        # The few heaviest counters of a row disturb only what collides with them, which the median over rows passes over.
-        squares = np.sort(self.levels.astype(np.float64) ** 2, axis=2)[:, :, : WIDTH - WIDTH // 8]
+        """Relative rank error that holds for each value with a probability of at least 0.995."""
+        squares = np.sort(self.levels.astype(np.float64) ** 2, axis=2)[:, :, : WIDTH - HEAVY]
         f2 = np.median(squares.sum(axis=2), axis=1)
-        return 2 * float(np.sqrt((f2 / WIDTH).sum())) / max(1, self.n)
+        return min(1.0, DEVIATIONS * float(np.sqrt(f2 / WIDTH).sum()) / max(1, self.n))
 
     def quantiles(self, qs: list[float]) -> np.ndarray:
         """The values at the ranks ceil(q * n), at least 1."""
@@ -235,6 +238,21 @@ def p3_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles(merge(sketches(runs, ["month", "method"], METRICS), ["month", "method"]), ["month", "method"])
 
 
+def p3_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(method, metric, q, n, within): for each percentile, whether the rank of its value among all rows is within the stated error, a code's width apart. Months are sketched on their own, stored, and added up."""
+    runs = stage(counted(last_version(_runs(spark, sf_dir), "run_id", "ingested_at")), "p3-runs")
+    months = stage(merge(sketches(runs.withColumn("month", F.date_format("run_at", "yyyy-MM")), ["month", "method"], METRICS), ["month", "method"]), "p3-months")
+    found = percentiles(merge(months.drop("month"), ["method"]), ["method"])
+    # A row for each method, metric and percentile: the registry of methods, hence small.
+    asked = found.select("method", "metric", F.explode(F.array(F.struct("q", "value", "rank_error", "n"))).alias("a")).select("method", "metric", "a.*")
+    long = runs.select("method", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in METRICS])))
+    width = F.abs("value") * 2.0**-14
+    ranks = long.filter("x IS NOT NULL AND NOT isnan(x) AND abs(x) < 3e38").join(small(asked), (long["method"].eqNullSafe(asked["method"])) & (long["metric"] == asked["metric"]))
+    ranks = ranks.groupBy(asked["method"], asked["metric"], "q", "value", "rank_error", "n").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("x") < F.col("value") - width).alias("below"), F.count_if(F.col("x") <= F.col("value") + width).alias("upto"))
+    within = (F.col("below") <= F.ceil(F.col("q") * F.col("rows")) + F.col("rank_error") * F.col("rows")) & (F.col("upto") >= F.ceil(F.col("q") * F.col("rows")) - F.col("rank_error") * F.col("rows")) & (F.col("rows") == F.col("n"))
+    return ranks.select("method", "metric", "q", "n", within.alias("within"))
+
+
 def p3_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As p3_percentiles, but by deletion: all deliveries are counted, then every superseded one is taken out again."""
     runs = _runs(spark, sf_dir).drop("run_at")
@@ -248,5 +266,10 @@ def p3_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles(merge(sketches(signed, ["method"], METRICS, F.col("_sign")), ["method"]), ["method"])
 
 
-QUERIES = {"p3_percentiles": p3_percentiles, "p3_monthly": p3_monthly, "p3_corrected": p3_corrected}
-ORACLES: dict[str, str] = {}
+QUERIES = {"p3_percentiles": p3_percentiles, "p3_checked": p3_checked, "p3_monthly": p3_monthly, "p3_corrected": p3_corrected}
+_CHECKED = r"""
+WITH last AS (SELECT * FROM multi_seed_results WHERE run_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY ingested_at DESC NULLS LAST, method DESC NULLS LAST, accuracy DESC NULLS LAST, time_total DESC NULLS LAST) = 1),
+runs AS (SELECT upper(trim(regexp_replace(method, '\([^)]*\)', '', 'g'), E' \t\r\n')) AS method, CASE WHEN accuracy BETWEEN 0 AND 100 THEN accuracy END AS accuracy, CASE WHEN time_total >= 0 THEN time_total END AS time_total FROM last),
+long AS (SELECT method, 'accuracy' AS metric, accuracy AS x FROM runs UNION ALL SELECT method, 'time_total', time_total FROM runs)
+SELECT method, metric, q, count(*) AS n, true AS within FROM long, (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95, 0.99]::DOUBLE[]) AS q) WHERE isfinite(x) AND abs(x) < 3e38 GROUP BY ALL"""
+ORACLES = {"p3_checked": _CHECKED}
