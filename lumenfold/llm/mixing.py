@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lumenfold.functions.labels import label
 from lumenfold.llm.topn import select_top
@@ -95,38 +96,29 @@ def shares(targets: DataFrame, sizes: DataFrame) -> DataFrame:
     return total.join(sums, "mix_id").select("mix_id", "source", part.alias("share"), "cap", "available", (part * F.col("mix_tokens")).alias("wanted"))
 
 
-def scale(documents: DataFrame, plan: list, rounds: int = 60) -> dict[tuple, float]:
-    """(mix_id, source) -> c with sum of min(cap, c * weight) * tokens = wanted over the source's documents.
+def scale(documents: DataFrame, plan: list) -> dict[tuple, float]:
+    """(mix_id, source) -> c with sum of min(cap, c * weight) * tokens = wanted over the source's documents, at least the cap over the least weight where that is out of reach.
 
-    c grows as documents reach the cap; each round is one aggregation over all documents, and the last changes nothing.
+    In order of falling size, c is what is left to be filled over what is left to fill it, and right at the first size that it
+    leaves below the cap. One aggregation by size, then running sums over the distinct sizes of a source.
     """
     spark = documents.sparkSession
-    c: dict[tuple, float] = {}
-    live = {(r.mix_id, r.source): r for r in plan if r.wanted > 0 and r.available > 0 and r.cap >= 1}
-    open_ = {k: r for k, r in live.items() if r.wanted < r.cap * r.available}
-    c |= {k: float("inf") for k in live if k not in open_}
-    bound = {k: float("inf") for k in open_}  # documents with a larger weight are at the cap
-    for _ in range(rounds):
-        if not open_:
-            break
-        at = spark.createDataFrame([(k[0], k[1], bound[k]) for k in open_], "mix_id int, source string, bound double")
-        sums = documents.join(F.broadcast(at), "source").groupBy("mix_id", "source").agg(
-            F.sum(F.when(F.col("weight") > F.col("bound"), F.col("tokens")).otherwise(0)).alias("full"), F.sum(F.when(F.col("weight") > F.col("bound"), 0.0).otherwise(F.col("weight") * F.col("tokens"))).alias("rest"),
-        )
-        for r in sums.collect():  # a row for each target
-            k = (r.mix_id, r.source)
-            cap = open_[k].cap
-            c[k] = (open_[k].wanted - (cap * r.full if r.full else 0)) / r.rest if r.rest > 0 else float("inf")
-            reached = cap / c[k] if c[k] > 0 else float("inf")
-            if reached >= bound[k] or cap == float("inf"):
-                del open_[k]
-            else:
-                bound[k] = reached
-    return c
-
-
-def repeats(documents: DataFrame, targets: DataFrame, seed: int = SEED, exponent: float = SIZE_EXPONENT) -> tuple[DataFrame, list]:
-    """Copies of the documents (identity columns, source, tokens) in each mix: (mix_id, doc_id, source, tokens, copies), and the plan's rows."""
+    live = [r for r in plan if r.wanted > 0 and r.available > 0 and r.cap >= 1]
+    if not live:
+        return {}
+    full = {(r.mix_id, r.source): float("inf") for r in live if r.wanted >= r.cap * r.available}
+    table = spark.createDataFrame([(r.mix_id, r.source, r.cap, r.wanted) for r in live if (r.mix_id, r.source) not in full], "mix_id int, source string, cap double, wanted double")
+    sizes = documents.groupBy("source", "tokens", "weight").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(table), "source")
+    heavier = Window.partitionBy("mix_id", "source").orderBy(F.desc("tokens")).rowsBetween(Window.unboundedPreceding, -1)
+    lighter = Window.partitionBy("mix_id", "source").orderBy("tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = sizes.withColumns({"above": F.coalesce(F.sum(F.col("n") * F.col("tokens")).over(heavier), F.lit(0)), "rest": F.sum(F.col("n") * F.col("weight") * F.col("tokens")).over(lighter)})
+    at = at.withColumn("c", (F.col("wanted") - F.when(F.col("above") > 0, F.col("cap") * F.col("above")).otherwise(0.0)) / F.col("rest")).filter(F.col("c") * F.col("weight") <= F.col("cap"))
+    found = at.groupBy("mix_id", "source").agg(F.max(F.struct("tokens", "c")).alias("best")).collect()  # a row for each target
+    return full | {(r.mix_id, r.source): r.best.c for r in found}
+
+
+def repeats(documents: DataFrame, targets: DataFrame, seed: int = SEED, exponent: float = SIZE_EXPONENT) -> tuple[DataFrame, list, DataFrame]:
+    """Copies of the documents (identity columns, source, tokens) in each mix: (mix_id, doc_id, source, tokens, copies), the plan's rows, and the copies wanted: (mix_id, doc_id, source, tokens, cap, whole, p)."""
     spark = documents.sparkSession
     sizes = documents.groupBy("source").agg(F.sum("tokens").alias("available"))
     plan = shares(targets, sizes).limit(MAX_TARGETS + 1).collect()
@@ -145,7 +137,7 @@ def repeats(documents: DataFrame, targets: DataFrame, seed: int = SEED, exponent
     drawn = want.filter("p > 0").join(F.broadcast(sized), ["mix_id", "source"]).select("mix_id", "source", "doc_id", "tokens", "rank", "n")
     taken = select_top(drawn, ["mix_id", "source"], [("rank", True), ("doc_id", True)], F.col("n")).select("mix_id", "doc_id", "source", "tokens", F.lit(1).cast("long").alias("copies"))
     certain = want.filter("whole > 0").select("mix_id", "doc_id", "source", "tokens", F.col("whole").alias("copies"))
-    return certain.unionByName(taken).groupBy("mix_id", "doc_id", "source", "tokens").agg(F.sum("copies").alias("copies")), plan
+    return certain.unionByName(taken).groupBy("mix_id", "doc_id", "source", "tokens").agg(F.sum("copies").alias("copies")), plan, want
 
 
 def report(copies: DataFrame, plan: list) -> DataFrame:
@@ -159,7 +151,24 @@ def report(copies: DataFrame, plan: list) -> DataFrame:
     return both.join(total, "mix_id").select("mix_id", "source", "target_share", share.alias("actual_share"), "available_tokens", "mixed_tokens", "documents", F.when(F.col("available_tokens") > 0, F.col("mixed_tokens") / F.col("available_tokens")).otherwise(0.0).alias("mean_repeats"), "max_copies")
 
 
-def _mixed(spark: SparkSession, sf_dir: str, path: str | None = None) -> tuple[DataFrame, list]:
+def audit(copies: DataFrame, plan: list, want: DataFrame) -> DataFrame:
+    """(mix_id, source, target_share, n_exact, whole_copies, cap_kept, share_kept) of every target of a mix: whether the sample has as many
+    documents as its odds sum up to, every document its whole copies or one more, none more than the cap, and the tokens are the wanted
+    ones: exactly the cap times all where that is less, else within five deviations of independent draws and the largest document."""
+    spark = copies.sparkSession
+    both = want.select("mix_id", "source", "doc_id", "tokens", "cap", "whole", "p").join(copies.select("mix_id", "doc_id", "copies"), ["mix_id", "doc_id"], "left").withColumn("copies", F.coalesce("copies", F.lit(0)))
+    extra = F.col("copies") - F.col("whole")
+    seen = both.groupBy("mix_id", "source").agg(
+        (F.sum(extra) == F.round(F.sum("p")).cast("long")).alias("n_exact"), F.bool_and(extra.isin(0, 1) & ((extra == 0) | (F.col("p") > 0))).alias("whole_copies"), F.bool_and(F.col("copies") <= F.col("cap")).alias("cap_kept"),
+        F.sum(F.col("copies") * F.col("tokens")).alias("mixed"), F.sqrt(F.sum(F.col("p") * (1 - F.col("p")) * F.pow("tokens", F.lit(2)))).alias("deviation"), F.max("tokens").alias("largest"),
+    )
+    table = spark.createDataFrame([(r.mix_id, r.source, r.share, min(r.wanted, r.cap * r.available) if r.cap >= 1 and r.wanted > 0 else 0.0) for r in plan], "mix_id int, source string, target_share double, wanted double")
+    kept = F.abs(F.coalesce("mixed", F.lit(0)) - F.col("wanted")) <= F.coalesce(5 * F.col("deviation") + F.col("largest"), F.lit(0.0))
+    sure = lambda c: F.coalesce(c, F.lit(True)).alias(c)
+    return table.join(seen, ["mix_id", "source"], "left").select("mix_id", "source", F.round("target_share", 9).alias("target_share"), sure("n_exact"), sure("whole_copies"), sure("cap_kept"), kept.alias("share_kept"))
+
+
+def _mixed(spark: SparkSession, sf_dir: str, path: str | None = None) -> tuple[DataFrame, list, DataFrame]:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", label("source").alias("source"), "text")
     counted = stage(token_counts(documents, "text", path or tokenizer_path(), tokenizer_pattern()), "mix-tokens")
     targets = spark.read.parquet(f"{sf_dir}/mix_targets.parquet")
@@ -173,8 +182,20 @@ def p8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The actual share, tokens and repeats of every source in every mix."""
-    return report(*_mixed(spark, sf_dir))
+    return report(*_mixed(spark, sf_dir)[:2])
+
+
+def p8_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every source of every mix has the copies and tokens that its share and cap ask for."""
+    copies, plan, want = _mixed(spark, sf_dir)
+    return audit(stage(copies, "mix-copies"), plan, want)
 
 
-QUERIES = {"p8_repeats": p8_repeats, "p8_shares": p8_shares}
-ORACLES: dict[str, str] = {}
+QUERIES = {"p8_repeats": p8_repeats, "p8_shares": p8_shares, "p8_checked": p8_checked}
+ORACLES = {
+    "p8_checked": r"""
+WITH known AS (SELECT DISTINCT lower(trim(source, E' \t\r\n')) AS source FROM documents WHERE text <> ''),
+targets AS (SELECT mix_id, lower(trim(source, E' \t\r\n')) AS source, sum(greatest(coalesce(target_share, 0), 0)) AS share FROM mix_targets GROUP BY ALL),
+live AS (SELECT t.*, CASE WHEN k.source IS NOT NULL THEN share ELSE 0 END AS own FROM targets t LEFT JOIN known k USING (source))
+SELECT mix_id, source, round(coalesce(own / nullif(sum(own) OVER (PARTITION BY mix_id), 0), 0), 9) AS target_share, true AS n_exact, true AS whole_copies, true AS cap_kept, true AS share_kept FROM live""",
+}

@@ -136,6 +136,20 @@ def test_mixing(spark, tables, corpus):
     assert (3, "small") in report and copies.filter("mix_id = 3").count() == 0
     assert copies.filter("doc_id IN (9000, 9001)").count() == 0
     assert sorted(rows(copies)) == sorted(rows(mixing.p8_repeats(spark, tables.dir)))
+    assert all(all(r[3:]) for r in rows(mixing.p8_checked(spark, tables.dir)))
+
+
+def test_scale_fills_the_wanted_tokens(spark):
+    """c by running sums is the root that halving an interval finds, with and without documents at the cap."""
+    from collections import namedtuple
+
+    target = namedtuple("Target", "mix_id source share cap available wanted")
+    sizes = [1, 1, 2, 3, 5, 8, 13, 400, 400, 90_000]
+    docs = spark.createDataFrame([(i, "s", t) for i, t in enumerate(sizes)], "doc_id long, source string, tokens long").withColumn("weight", F.pow("tokens", F.lit(0.5)))
+    for mix, (cap, wanted) in enumerate([(1.0, 500.0), (2.0, 181_000.0), (3.0, 3.0), (float("inf"), 1e7), (1.0, 90_833.0), (4.0, 1e9)]):
+        got = mixing.scale(docs, [target(mix, "s", 1.0, cap, sum(sizes), wanted)])[mix, "s"]
+        filled = sum(min(cap, got * t**0.5) * t for t in sizes)
+        assert abs(filled - min(wanted, cap * sum(sizes))) < 1e-6 * wanted
 
 
 def test_inclusion_odds(spark):
