@@ -6,7 +6,7 @@ the codes, of what repeats nothing and in bytes as they are written, is cut into
 records are shuffled by range once, repeats are recognised inside a range (equal records have equal codes and equal shares of
 a code, so they share it), and each range is written as one file. Source, files and repeats are compared by order-free digests.
 
-Bytes are measured: a range of about one file is written first, and what its rows took, against their raw length, holds for all.
+Bytes are measured: a range of a part of a file is written first, and what its rows took, against their raw length, holds for all.
 A code heavier than an eighth of a file is cut further by a hash of place and content. The copies of a record of which very many
 exist are not gathered: their first one is aggregated, and they are dealt to all ranges.
 
@@ -40,6 +40,8 @@ AXIS_CHARS = 256
 #: Points that stand for all values of an axis that a task has met; each merging moves a bound by at most one part in as many.
 SUMMARY = 8192
 TARGET_BYTES = 128 << 20
+#: Least raw bytes of the range whose encoding is measured (a whole file, where that is less).
+MEASURED_BYTES = 4 << 20
 #: Units of a file in which codes are dealt to files.
 UNITS = 8
 
@@ -153,27 +155,29 @@ def raw_bytes(row: Column, schema: T.StructType) -> Column:
 
 @dataclass(frozen=True)
 class Clustered:
-    """rows: every source row as _row with _code, _key (what equal records share, null: nothing), _hash, _order and _weight (raw bytes), staged;
+    """rows: every source row as _row with _code, _key (digest of what equal records share, null: nothing), _hash, _order and _weight (raw bytes), staged;
     hot: hashes of the keys of very many copies."""
 
     rows: DataFrame
     hot: list[int]
 
 
-def cluster(rows: DataFrame, row: str, place: Column, content: Column, order: list[Column]) -> Clustered:
+def cluster(rows: DataFrame, row: str, place: Column, content: Column, order: list[Column], axes_of: DataFrame | None = None) -> Clustered:
     """The rows, of which the struct column row is carried along, on the curve through place and content.
 
     Two rows repeat each other if content and place are equal and not null; the first by order, which ends with an identity, is the original.
+    axes_of: rows as they are before what only order needs was joined to them.
     """
-    bounds = axis_bounds(rows, [place, content], 1 << AXIS_BITS)
+    bounds = axis_bounds(rows if axes_of is None else axes_of, [place, content], 1 << AXIS_BITS)
     coded = rows.select(
         F.col(row).alias("_row"),
-        F.when(content.isNotNull() & place.isNotNull(), F.struct(content.alias("c"), place.alias("p"))).alias("_key"),
+        # 128 bits tell what equal records share.
+        F.when(content.isNotNull() & place.isNotNull(), F.struct(F.xxhash64(content, place).alias("a"), F.xxhash64(F.lit(17), place, content).alias("b"))).alias("_key"),
         F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("_order"),
         raw_bytes(F.col(row), rows.schema[row].dataType).alias("_weight"),
         hilbert_code([place, content], bounds).alias("_code"),
     )
-    staged = stage(coded.withColumn("_hash", F.when(F.col("_key").isNotNull(), F.xxhash64("_key")).otherwise(F.xxhash64("_order"))), "compact-coded")
+    staged = stage(coded.withColumn("_hash", F.when(F.col("_key").isNotNull(), F.col("_key.a")).otherwise(F.xxhash64("_order"))), "compact-coded")
     return Clustered(staged, frequent(staged, "_hash", parallelism(rows.sparkSession)))
 
 
@@ -214,9 +218,9 @@ def histogram(clustered: Clustered) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encoded_share(clustered: Clustered, columns: list[str], cells: np.ndarray, weights: np.ndarray, target: int) -> float:
-    """Written bytes of a raw one, measured on a range in the middle of the curve that holds about one file's raw bytes."""
+    """Written bytes of a raw one, measured on a range in the middle of the curve: a sixteenth of a file, at least MEASURED_BYTES."""
     spark, upto = clustered.rows.sparkSession, np.cumsum(weights)
-    size = min(float(target), upto[-1])
+    size = min(float(target), max(target / 16, MEASURED_BYTES), upto[-1])
     start = int(np.searchsorted(upto, (upto[-1] - size) / 2))
     stop = min(len(cells) - 1, int(np.searchsorted(upto, (upto[-1] + size) / 2)))
     # A code of many files is thinned by the hash that would deal it to them.
@@ -310,10 +314,11 @@ def compact_images(spark: SparkSession, sf_dir: str, table: str, target: int = T
     records = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     arrivals = spark.read.parquet(f"{sf_dir}/image_files.parquet").groupBy("file_id").agg(F.min("arrived_at").alias("arrived"))
     # The row itself travels as one struct, so its columns cannot clash with those of the clustering.
-    rows = records.select(F.struct(*[F.col(c) for c in records.columns]).alias("row"), "file_id", canonical_path(F.col(IMAGE_TABLES[table])).alias("place")).join(small(arrivals), "file_id", "left")
+    placed = records.select(F.struct(*[F.col(c) for c in records.columns]).alias("row"), "file_id", canonical_path(F.col(IMAGE_TABLES[table])).alias("place"))
+    rows = placed.join(small(arrivals), "file_id", "left")
     late = F.coalesce("arrived", F.lit("9999-12-31").cast(arrivals.schema["arrived"].dataType))
     content = F.lpad(F.hex(F.col("row")["checksum"].bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")  # hex digits in the order of the numbers
-    done = compact(records, cluster(rows, "row", F.col("place"), content, [late, F.col("file_id"), F.col("row")["row_no"], F.col("row")["rec_id"]]), path or stage_path(spark, f"compact-{table}"), target)
+    done = compact(records, cluster(rows, "row", F.col("place"), content, [late, F.col("file_id"), F.col("row")["row_no"], F.col("row")["rec_id"]], placed), path or stage_path(spark, f"compact-{table}"), target)
     if not done.intact:
         raise ValueError(f"{table}: files and repeats are not the source")
     return done
