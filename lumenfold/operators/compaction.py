@@ -74,10 +74,16 @@ def hilbert_encode(axes: np.ndarray, bits: int) -> np.ndarray:
 
 def canonical_path(path: Column) -> Column:
     """The place a delivered image path names, whatever the spelling of separators, dot steps, dataset root and extension."""
-    steps = F.filter(F.split(F.translate(F.regexp_replace(path, r"^[ \t\r\n]+|[ \t\r\n]+$", ""), "\\", "/"), "/"), lambda s: (s != "") & (s != "."))
-    place = F.regexp_replace(F.array_join(steps, "/"), r"^(?:tiny-imagenet-200|CUB_200_2011/images)/", "")
-    ending = F.regexp_extract(place, r"\.[^./]+$", 0)
-    return F.when(path.isNotNull(), F.concat(F.left(place, F.length(place) - F.length(ending)), F.lower(ending)))
+    text = F.translate(F.btrim(path, F.lit(" \t\r\n")), "\\", "/")
+    # Only paths with empty or dot steps are taken apart.
+    odd = F.contains(F.concat(F.lit("/"), text, F.lit("/")), F.lit("//")) | F.contains(F.concat(F.lit("/"), text, F.lit("/")), F.lit("/./"))
+    place = F.when(odd, F.array_join(F.filter(F.split(text, "/"), lambda s: (s != "") & (s != ".")), "/")).otherwise(text)
+    a, b = "tiny-imagenet-200/", "CUB_200_2011/images/"
+    inside = F.when(F.startswith(place, F.lit(a)), len(a)).when(F.startswith(place, F.lit(b)), len(b)).otherwise(0)
+    place = F.substring(place, inside + 1, F.length(place))
+    name = F.substring_index(place, "/", -1)
+    ending = F.when(F.contains(name, F.lit(".")), F.substring_index(name, ".", -1)).otherwise("")
+    return F.concat(F.left(place, F.length(place) - F.length(ending)), F.lower(ending))
 
 
 def _thin(values: list[str], weights: np.ndarray, points: int) -> tuple[list[str], np.ndarray]:
