@@ -18,9 +18,6 @@ from lumenfold.operators.moments import Moments, accumulate, dense, fourth_momen
 from lumenfold.operators.sampling import stratified_sample
 from lumenfold.session import parallelism, stage
 
-#: Rows of the shrinkage estimate of the margin reducer, first by id.
-SHRINK_ROWS = 10_000
-
 
 def project(df: DataFrame, vector: str, mean: np.ndarray, matrix: np.ndarray, out: str) -> DataFrame:
     """df with out ARRAY<DOUBLE> = (vector - mean) @ matrix; null where the vector is null."""
@@ -292,12 +289,13 @@ def _dsb(r: Reducer, df: DataFrame, rounds: int = 2, alpha: float = 0.05):
 
 
 @register("RDA+SMD", "novel")
-def _rda_smd(r: Reducer, df: DataFrame, n_residual: int | None = None, margin: float = 0.3):
-    """Discriminant with between scatter weighted by class margins, and the residual block of the plain one."""
+def _rda_smd(r: Reducer, df: DataFrame, n_residual: int | None = None, margin: float = 0.3, shrink_rows: int | None = None):
+    """Discriminant with between scatter weighted by class margins, and the residual block of the plain one. shrink_rows: the shrinkage is that of so many rows, first by id, instead of all."""
     m = r.moments(df)
-    first = df.filter(F.col(r.vector).isNotNull() & F.col(r.label).isNotNull()).orderBy(r.identity).limit(SHRINK_ROWS)
-    first = stage(first.select(r.identity, r.label, r.vector), "smd-first")
-    part = moments(first, r.vector, r.label)
+    first, part = df.filter(F.col(r.vector).isNotNull() & F.col(r.label).isNotNull()), m
+    if shrink_rows:
+        first = stage(first.select(r.identity, r.label, r.vector).orderBy(r.identity).limit(shrink_rows), "smd-first")
+        part = moments(first, r.vector, r.label)
     alpha = la.ledoit_wolf(part.within, part.n, fourth_moment(first, r.vector, r.label, part))
     sw = la.shrink(m.within, alpha)
     k = min(r.k, len(m.labels) - 1, m.d)

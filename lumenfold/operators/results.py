@@ -143,3 +143,9 @@ def extremes(df: DataFrame, score: str, name: str, k: int, keys: list[str] | Non
     top = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), name))
     low = F.row_number().over(Window.partitionBy(*keys).orderBy(F.asc(score), name))
     return df.withColumn("rank_no", top).filter(F.col("rank_no") <= k).withColumn("side", F.lit("top")).unionByName(df.withColumn("rank_no", low).filter(F.col("rank_no") <= k).withColumn("side", F.lit("bottom")))
+
+
+def band(df: DataFrame, keys: list[str], score: str) -> DataFrame:
+    """(keys..., mean_<score>, deviation, low, high, runs): the points of a curve and a band of one population deviation."""
+    mean, sd = F.avg(score), F.stddev_pop(score)
+    return df.groupBy(*keys).agg(half_up(mean, 6).alias(f"mean_{score}"), half_up(sd, 6).alias("deviation"), half_up(mean - sd, 6).alias("low"), half_up(mean + sd, 6).alias("high"), F.count(F.lit(1)).alias("runs"))

@@ -28,6 +28,20 @@ def split(df: DataFrame, label: str, identity: str, seed: int, train_share: floa
     return df.withColumn("split", F.when(nth <= F.greatest(F.lit(1), F.floor(n * train_share)), "train").otherwise("test"))
 
 
+def permute(df: DataFrame, identity: str, seed: int) -> DataFrame:
+    """df in the drawing order of a seed, as one range-partitioned sort."""
+    return df.orderBy(draw_key(identity, seed), identity)
+
+
+def positions(df: DataFrame, identity: str, seed: int) -> DataFrame:
+    """df with position: the place (from 0) of each row in that order. Rows are numbered inside 4,096 ranges of the key, whose counts are summed up."""
+    keyed = df.withColumn("_k", draw_key(identity, seed)).withColumn("_b", F.conv(F.left("_k", F.lit(3)), 16, 10).cast("int"))
+    counts = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("c"))  # at most 4,096 rows
+    before = counts.select("_b", (F.sum("c").over(Window.orderBy("_b")) - F.col("c")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_b").orderBy("_k", identity)) - 1
+    return keyed.withColumn("_i", inside).join(F.broadcast(before), "_b").withColumn("position", F.col("_before") + F.col("_i")).drop("_k", "_b", "_i", "_before")
+
+
 def per_class(fraction: float, n: int, classes: int) -> int:
     """Rows of each class that a fraction of n rows stands for, at least 2."""
     return max(2, int(fraction * n / classes))

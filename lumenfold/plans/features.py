@@ -377,9 +377,13 @@ for _name, _key in [("Full", "full"), ("PCA", "pca"), ("LDA", "lda"), ("PCA+LDA"
     QUERIES[f"{_key}_reduce"] = _reduce(_name)
 
 
+#: Studies run so many of their parts at a time.
+THREADS = 4
+
+
 def _runs(spark, sf_dir, methods, classifiers=("LogReg",), seeds=(42,)):
     train, test = train_test(spark, sf_dir)
-    return experiments.table(spark, experiments.run(train, test, methods, K, classifiers, seeds)).drop("time_reduce", "time_classify")
+    return experiments.table(spark, experiments.run(train, test, methods, K, classifiers, seeds, threads=THREADS)).drop("time_reduce", "time_classify")
 
 
 @query()
@@ -389,7 +393,8 @@ def logreg_eval(spark, sf_dir):
 
 @query()
 def mlp_eval(spark, sf_dir):
-    return _runs(spark, sf_dir, ["LDA"], ("MLP",))
+    """Four reducers under the perceptron, for five seeds."""
+    return _runs(spark, sf_dir, experiments.MLP_METHODS, ("MLP",), experiments.SEEDS)
 
 
 @query()
@@ -398,24 +403,87 @@ def benchmark_table(spark, sf_dir):
     return results_op.rank_methods(_runs(spark, sf_dir, experiments.METHODS), [])
 
 
+@query("SELECT CAST(seed AS INTEGER) AS seed, vec_id AS sample_id, row_number() OVER (PARTITION BY seed ORDER BY md5(CAST(seed AS VARCHAR) || ':' || CAST(vec_id AS VARCHAR)), vec_id) - 1 AS position FROM embeddings, (SELECT unnest([42, 123, 456, 789, 1024]) AS seed)")
+def row_permutation(spark, sf_dir):
+    """The order of the rows under each seed of the repeated runs."""
+    df, out = vectors(spark, sf_dir).select("sample_id"), None
+    for seed in experiments.SEEDS:
+        one = sampling.positions(df, "sample_id", seed).select(F.lit(seed).alias("seed"), "sample_id", "position")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query()
+def repeated_runs(spark, sf_dir):
+    """Seven reducers for five seeds, each on the training rows in the seed's order."""
+    rows = experiments.repeated_runs(*train_test(spark, sf_dir), experiments.SIGNIFICANCE_METHODS, K, threads=THREADS)
+    return experiments.table(spark, rows).drop("time_reduce", "time_classify")
+
+
 @query()
 def component_sweep(spark, sf_dir):
-    rows = experiments.component_sweep(*train_test(spark, sf_dir), [1, 3, 5, 9])
-    return spark.createDataFrame([(r["method"], r["n_components"], r["accuracy"]) for r in rows], "method string, n_components int, accuracy double")
+    rows = experiments.component_sweep(*train_test(spark, sf_dir), [1, 2, 3, 4, 5, 7, 9], threads=THREADS)
+    return spark.createDataFrame([(r["method"], r["n_components"], r["seed"], r["accuracy"]) for r in rows], "method string, n_components int, seed int, accuracy double")
 
 
 @query()
 def data_efficiency(spark, sf_dir):
-    rows = experiments.data_efficiency(*train_test(spark, sf_dir), [0.25, 1.0], [42], ["Full", "LDA"], K)
+    rows = experiments.data_efficiency(*train_test(spark, sf_dir), experiments.FRACTIONS, experiments.SEEDS[:3], experiments.EFFICIENCY_METHODS, K, threads=THREADS)
     return spark.createDataFrame([(r["method"], r["fraction"], r["seed"], r["n_train"], r["accuracy"]) for r in rows], "method string, fraction double, seed int, n_train long, accuracy double")
 
 
 @query()
 def per_class_study(spark, sf_dir):
-    """Classes that LDA helps and hurts most against Full."""
-    c = experiments.per_class_study(*train_test(spark, sf_dir), ["Full", "LDA"], K)
-    diff = c.groupBy("label").agg((F.max(F.when(F.col("method") == "LDA", F.col("class_accuracy"))) - F.max(F.when(F.col("method") == "Full", F.col("class_accuracy")))).alias("diff"))
-    return results_op.extremes(diff, "diff", "label", 5)
+    """The five classes that DSB helps and hurts most against LDA, and LDA against Full, of a study of five methods."""
+    c = stage(experiments.per_class_study(*train_test(spark, sf_dir), experiments.EFFICIENCY_METHODS, K, threads=THREADS), "classes")
+    out = None
+    for method, baseline in (("DSB", "LDA"), ("LDA", "Full")):
+        of = lambda name: F.max(F.when(F.col("method") == name, F.col("class_accuracy")))
+        one = results_op.extremes(c.groupBy("label").agg((of(method) - of(baseline)).alias("diff")), "diff", "label", 5).select(F.lit(method).alias("method"), F.lit(baseline).alias("baseline"), "label", "diff", "side", "rank_no")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+#: What holds for the directions of each reducer (see reducer_invariants).
+INVARIANTS = [
+    ("Full", "keeps every vector"), ("PCA", "orthonormal"), ("PCA", "uncorrelated"), ("PCA", "captures the largest eigenvalues"), ("LDA", "whitens within"), ("LDA", "captures the largest ratios"), ("PCA+LDA", "spans what LDA spans"),
+    ("R-LDA", "whitens the shrunk class covariances"), ("LFDA", "whitens its local scatter"), ("NCA", "full rank"), ("RDA", "begins with LDA"), ("RDA", "residual is orthogonal"), ("DSB", "at most k directions"), ("RDA+SMD", "whitens the shrunk within"),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{r}', '{i}', true)" for r, i in INVARIANTS) + ") t(reducer, invariant, holds)")
+def reducer_invariants(spark, sf_dir):
+    """Whether the fitted directions have the properties that define them, by formulas other than those they were found by."""
+    raw = vectors(spark, sf_dir)
+    df = stage(classify.standardize(raw, "features", "label", "x")(raw).select("sample_id", "label", "x"), "invariants")
+    m = moments(df, "x", "label")
+    sw, sb, st, c = m.within, m.between, m.total, len(m.labels)
+    w = dict(zip(experiments.METHODS, experiments.each(experiments.METHODS, lambda n: Reducer.create(n, K, vector="x").fit(df).matrix, THREADS), strict=True))
+    close = lambda a, b, tol=1e-6: bool(np.allclose(a, b, atol=tol * max(1.0, float(np.abs(b).max()))))
+    diagonal = lambda a: close(a, np.diag(np.diag(a)))
+    span = lambda a: (q := np.linalg.qr(a)[0]) @ q.T
+    ratios = np.sort(np.linalg.eigvals(np.linalg.solve(sw, sb)).real)[::-1]
+    ratio = lambda a: float(np.trace(np.linalg.solve(a.T @ sw @ a, a.T @ sb @ a)))
+    knn = stage(graph.knn_within_class(df.select(F.col("sample_id").alias("id"), "label", "x"), 7))
+    rows = df.select(F.col("sample_id").alias("id"), "label", "x")
+    local = graph.local_scatter(rows, graph.affinity(knn, rows), m.rows)
+    local = local + 1e-4 * np.trace(local) / m.d * np.eye(m.d)
+    shrunk = la.shrink(sw, la.ledoit_wolf(sw, m.n, fourth_moment(df, "x", "label", m)))
+
+    def shrunk_class(label) -> np.ndarray:
+        own = df.filter(F.col("label") == F.lit(label))
+        n = moments(own, "x", "label")
+        corr = n.total / np.outer(n.scale, n.scale)
+        return la.shrink(corr, la.ledoit_wolf(corr, n.n, fourth_moment(own, "x", None, n, n.scale))) * np.outer(n.scale, n.scale) * n.n / m.n
+
+    by_class = sum(experiments.each(m.labels.tolist(), shrunk_class, THREADS))
+    holds = [
+        close(w["Full"], np.eye(m.d)), close(w["PCA"].T @ w["PCA"], np.eye(K)), diagonal(w["PCA"].T @ st @ w["PCA"]), close(np.trace(w["PCA"].T @ st @ w["PCA"]), np.linalg.eigvalsh(st)[-K:].sum()),
+        close(w["LDA"].T @ sw @ w["LDA"] * m.n / (m.n - c), np.eye(K)), close(ratio(w["LDA"]), ratios[:K].sum()), close(span(w["PCA+LDA"]), span(w["LDA"])),
+        close(w["R-LDA"].T @ by_class @ w["R-LDA"], np.eye(w["R-LDA"].shape[1])), close(w["LFDA"].T @ local @ w["LFDA"], np.eye(K), 1e-5), np.linalg.matrix_rank(w["NCA"]) == w["NCA"].shape[1], close(w["RDA"][:, :K], w["LDA"]),
+        close(w["RDA"][:, K:].T @ span(w["LDA"]), np.zeros((w["RDA"].shape[1] - K, m.d))), w["DSB"].shape[1] <= K, close(w["RDA+SMD"][:, :K].T @ shrunk @ w["RDA+SMD"][:, :K], np.eye(K)),
+    ]
+    return spark.createDataFrame([(r, i, bool(h)) for (r, i), h in zip(INVARIANTS, holds, strict=True)], "reducer string, invariant string, holds boolean")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

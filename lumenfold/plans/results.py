@@ -239,3 +239,22 @@ def figure_heatmap(spark, sf_dir):
     g = _means(spark, sf_dir).groupBy("backbone", "dataset").agg((F.max(F.when(F.col("method") == "LDA", F.col("accuracy"))) - F.max(F.when(F.col("method") == "FULL", F.col("accuracy")))).alias("gain"))
     limit = F.max(F.abs("gain")).over(Window.partitionBy())  # one row per configuration
     return g.select("backbone", "dataset", half_up("gain", 6).alias("gain"), (F.abs("gain") > 0.6 * limit).alias("light_text"))
+
+
+_BAND = "round(avg(accuracy), 6) AS mean_accuracy, round(stddev_pop(accuracy), 6) AS deviation, round(avg(accuracy) - stddev_pop(accuracy), 6) AS low, round(avg(accuracy) + stddev_pop(accuracy), 6) AS high, count(*) AS runs"
+
+
+@query("WITH " + src.FINAL_SQL + ", ok AS (SELECT *, regexp_replace(dataset, '_s.*$', '') AS base FROM finals WHERE status = 'OK' AND dim IS NOT NULL), line AS (SELECT backbone, base, round(avg(accuracy), 6) AS full_accuracy FROM ok WHERE method = 'FULL' GROUP BY ALL), c AS (SELECT backbone, base, method, dim, " + _BAND + " FROM ok WHERE method IN ('LDA', 'PCA') GROUP BY ALL) SELECT c.*, full_accuracy FROM c LEFT JOIN line ON c.backbone IS NOT DISTINCT FROM line.backbone AND c.base IS NOT DISTINCT FROM line.base")
+def figure_sweep(spark, sf_dir):
+    """Curves of LDA and PCA over the number of dimensions with a band of one deviation, and the line of Full."""
+    ok = src.final_results(spark, sf_dir).filter("status = 'OK' AND dim IS NOT NULL").withColumn("base", F.regexp_replace("dataset", "_s.*$", ""))
+    curves = op.band(ok.filter(F.col("method").isin("LDA", "PCA")), ["backbone", "base", "method", "dim"], "accuracy")
+    line = ok.filter("method = 'FULL'").groupBy(F.col("backbone").alias("_b"), F.col("base").alias("_d")).agg(half_up(F.avg("accuracy"), 6).alias("full_accuracy"))
+    return curves.join(line, F.col("backbone").eqNullSafe(F.col("_b")) & F.col("base").eqNullSafe(F.col("_d")), "left").drop("_b", "_d")
+
+
+@query("WITH " + src.RUNS_SQL + " SELECT backbone, dataset, method, seed % 4 AS step, " + _BAND + " FROM runs WHERE status = 'OK' AND method IN ('FULL', 'PCA', 'LDA', 'DSB', 'RDA') GROUP BY ALL")
+def figure_efficiency(spark, sf_dir):
+    """Curves of five methods with a band of one deviation. The delivered runs have no fraction of the training rows; four groups of seeds stand in for it."""
+    ok = src.seeded_runs(spark, sf_dir).filter("status = 'OK'").filter(F.col("method").isin("FULL", "PCA", "LDA", "DSB", "RDA"))
+    return op.band(ok.withColumn("step", F.col("seed") % 4), ["backbone", "dataset", "method", "step"], "accuracy")
