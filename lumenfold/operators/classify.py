@@ -15,7 +15,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.operators.moments import Moments, dense, moments, pack, tree_sum, unpack
+from lumenfold.operators.moments import Moments, classes, dense, moments, pack, tree_sum, unpack
 from lumenfold.operators.reducers import project
 
 
@@ -33,7 +33,7 @@ class Logistic:
 
     def fit(self, df: DataFrame):
         good = df.filter(F.col(self.vector).isNotNull() & F.col(self.label).isNotNull())
-        labels = sorted(r[0] for r in good.select(self.label).distinct().collect())  # a registry of classes
+        labels = classes(good, self.label)
         n = good.count()
         index = F.create_map(*[x for i, v in enumerate(labels) for x in (F.lit(v), F.lit(float(i)))])
         self.prepare = lambda t: t.withColumns({"_v": array_to_vector(F.col(self.vector)), "_y": index[F.col(self.label)]})
@@ -83,7 +83,7 @@ class Perceptron:
 
     def fit(self, df: DataFrame):
         good = df.filter(F.col(self.vector).isNotNull() & F.col(self.label).isNotNull())
-        self.labels = sorted(r[0] for r in good.select(self.label).distinct().collect())
+        self.labels = classes(good, self.label)
         order = {v: i for i, v in enumerate(self.labels)}
         d = good.select(F.size(self.vector)).first()[0]
         held = F.pmod(F.xxhash64(self.vector, F.lit(self.seed)), F.lit(10)) == 0

@@ -22,6 +22,16 @@ from lumenfold.session import parallelism
 
 #: Rows whose mean is the pivot.
 PIVOT_ROWS = 256
+#: Classes, whose names, counts and means the driver holds and the plans name.
+MAX_CLASSES = 100_000
+
+
+def classes(df: DataFrame, label: str) -> list:
+    """The labels of df in order; raises if there are more than MAX_CLASSES."""
+    found = df.select(label).filter(F.col(label).isNotNull()).distinct().limit(MAX_CLASSES + 1).collect()
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
+    return sorted(r[0] for r in found)
 
 
 def pack(arrays: dict[str, np.ndarray]) -> bytes:
@@ -146,8 +156,7 @@ def moments(df: DataFrame, vector: str, label: str, weight: str | None = None) -
     if not head.num_rows:
         raise ValueError("no rows with a vector and a label")
     pivot = dense(head[vector].combine_chunks()).mean(axis=0)
-    # Classes are a registry of names: as many as fit the C x D statistics.
-    labels = np.array(sorted(r[0] for r in good.select(label).distinct().collect()))
+    labels = np.array(classes(good, label))
     order = {v: i for i, v in enumerate(labels.tolist())}
     c, d = len(labels), len(pivot)
 

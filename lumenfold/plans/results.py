@@ -258,3 +258,28 @@ def figure_efficiency(spark, sf_dir):
     """Curves of five methods with a band of one deviation. The delivered runs have no fraction of the training rows; four groups of seeds stand in for it."""
     ok = src.seeded_runs(spark, sf_dir).filter("status = 'OK'").filter(F.col("method").isin("FULL", "PCA", "LDA", "DSB", "RDA"))
     return op.band(ok.withColumn("step", F.col("seed") % 4), ["backbone", "dataset", "method", "step"], "accuracy")
+
+
+@query("WITH " + src.FINAL_SQL + ", ok AS (SELECT backbone, dataset, method, accuracy, time_total FROM finals WHERE status = 'OK' AND classifier = 'logreg' AND backbone IS NOT NULL AND time_total IS NOT NULL) SELECT backbone, dataset, method, max(accuracy) AS accuracy, arg_max(time_total, (accuracy, time_total)) AS time_total FROM ok GROUP BY ALL")
+def csv_glob(spark, sf_dir):
+    """CSV files of one classifier, found by a glob among others and a combined one, as a table with one row for each configuration and method."""
+    from pyspark.sql import types as T
+
+    path = stage_path(spark, "csv-glob")
+    rows = src.final_results(spark, sf_dir).filter("status = 'OK' AND backbone IS NOT NULL AND time_total IS NOT NULL").select("backbone", "dataset", "method", "accuracy", "time_total", "classifier")
+    for name, part in (("a_logreg", rows.filter("classifier = 'logreg'")), ("b_mlp", rows.filter("classifier = 'mlp'")), ("all_logreg", rows)):
+        src.write_csv(part.drop("classifier").coalesce(1), f"{path}/{name}")
+    schema = T.StructType([T.StructField(c, T.DoubleType() if c in ("accuracy", "time_total") else T.StringType()) for c in ("backbone", "dataset", "method", "accuracy", "time_total")])
+    return src.keyed_scan(spark, f"{path}/?_logreg", schema, ["backbone", "dataset", "method"])
+
+
+@query("SELECT bench_id, method, printf('%.2f', accuracy) AS accuracy, printf('%.2f', time_total) AS time_total FROM all_benchmarks WHERE accuracy IS NOT NULL AND NOT isnan(accuracy) AND time_total IS NOT NULL AND NOT isnan(time_total)")
+def row_append_sink(spark, sf_dir):
+    """Rows appended in two goes to one headed CSV table, figures with two decimals."""
+    from pyspark.sql import types as T
+
+    path = stage_path(spark, "csv-rows")
+    rows = spark.read.parquet(f"{sf_dir}/all_benchmarks.parquet").filter("accuracy IS NOT NULL AND NOT isnan(accuracy) AND time_total IS NOT NULL AND NOT isnan(time_total)").select("bench_id", "method", "accuracy", "time_total")
+    for half in (0, 1):
+        src.append_rows(rows.filter(F.col("bench_id") % 2 == half), path)
+    return src.read_csv(spark, path, T.StructType([T.StructField("bench_id", T.LongType()), *[T.StructField(c, T.StringType()) for c in ("method", "accuracy", "time_total")]]))

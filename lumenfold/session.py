@@ -21,15 +21,30 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+#: Paths handed out and not yet removed.
+_staged: list[str] = []
+
+
 def stage_path(spark: SparkSession, label: str = "stage") -> str:
-    """A new path in the shared folder, removed when the application ends."""
+    """A new path in the shared folder, removed by release or when the application ends."""
     path = f"{shared_dir(spark)}/lumenfold/{label}-{uuid.uuid4().hex}"
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(conf).deleteOnExit(at)
+    _staged.append(path)
     return path
 
 
+def release(spark: SparkSession) -> int:
+    """Remove all that was staged, once the results that read it are written; returns how many paths there were."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_staged)
+    while _staged:
+        at = jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        at.getFileSystem(conf).delete(at, True)
+    return n
+
+
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends there, and a lost executor costs nothing that was staged."""
     path = stage_path(df.sparkSession, label)

@@ -7,6 +7,8 @@ or infinite are null; a run without an accuracy has the status FAILED.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,22 +77,29 @@ def consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, paths: str | list[str], schema: T.StructType | None = None, sep: str = ",") -> DataFrame:
-    """Typed scan of headed CSV files; without a schema the types are inferred. Paths that match nothing give an empty table of the schema."""
+    """Typed scan of headed CSV files; without a schema the types are inferred. Paths that match nothing give a warning and an empty table (of the schema, or without columns)."""
     from pyspark.errors import AnalysisException
 
     reader = spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE")
     try:
         return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(paths)
-    except AnalysisException:
-        if schema is None:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        warnings.warn(f"no files at {paths}", stacklevel=2)
+        return spark.createDataFrame([], schema or T.StructType([]))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
+def append_rows(df: DataFrame, path: str, places: int = 2) -> None:
+    """Row-append sink: adds headed CSV rows to what is there, fractions with a fixed number of decimals."""
+    fixed = [F.format_string(f"%.{places}f", F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.DoubleType | T.FloatType) else F.col(f.name) for f in df.schema.fields]
+    write_csv(df.select(*fixed), path, "append")
+
+
 def append_config(df: DataFrame, path: str, keys: list[str]) -> None:
     """Crash-safe incremental sink: replaces only the partitions (configurations) that df holds, others stay."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
@@ -102,6 +111,14 @@ def merge_scan(spark: SparkSession, pattern: str, schema: T.StructType, exclude:
     return rows.filter(~F.contains(F.regexp_extract("seq", r"[^/]*$", 0), F.lit(exclude)))
 
 
+def keyed_scan(spark: SparkSession, pattern: str, schema: T.StructType, keys: list[str], exclude: str = "_all") -> DataFrame:
+    """One row for each key of all CSV files of a glob: that of the last file by name, in it the largest."""
+    rows = merge_scan(spark, pattern, schema, exclude)
+    rest = [c for c in rows.columns if c not in keys and c != "seq"]
+    last = rows.groupBy(*keys).agg(F.max(F.struct(F.regexp_extract("seq", r"[^/]*$", 0).alias("f"), *rest)).alias("v"))
+    return last.select(*keys, *[F.col("v")[c].alias(c) for c in rest])
+
+
 #: The same views in SQL, for the oracles.
 _PCT = "CASE WHEN NOT isfinite({0}) THEN NULL WHEN {0} > 0 AND {0} <= 1 THEN {0} * 100 WHEN {0} > 0 AND {0} <= 100 THEN {0} END"
 _DUR = "CASE WHEN isfinite({0}) AND {0} >= 0 THEN {0} END"
