@@ -10,8 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pairs up to which the signed-rank distribution is enumerated (2 ** n sign vectors).
-EXACT_PAIRS = 16
+#: Pairs up to which the signed-rank distribution is exact.
+EXACT_PAIRS = 50
 
 
 def half_up(c: Column | str, places: int = 0) -> Column:
@@ -80,18 +80,32 @@ def t_pvalue(t: Column, n: Column) -> Column:
     return F.when(t.isNotNull(), _t_pvalue(t.cast("double"), (n - 1).cast("double")))
 
 
-def wilcoxon(ranks: Column, w: Column) -> Column:
-    """Two-sided p of the signed-rank statistic w over the array of ranks of the differences that are not zero.
+def signed_rank_p(ranks: np.ndarray, w: float) -> float:
+    """Two-sided p of the signed-rank statistic w over the ranks of the differences that are not zero.
 
     Exact over all sign vectors up to EXACT_PAIRS ranks, beyond that by the normal approximation; 1 if there are none.
     """
-    n = F.size(ranks)
-    signs = F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2.0), F.least(n, F.lit(EXACT_PAIRS))).cast("long") - 1)
-    total = lambda s: F.aggregate(F.zip_with(ranks, F.sequence(F.lit(0), n - 1), lambda r, i: r * F.pmod(F.floor(s / F.pow(F.lit(2.0), i)), F.lit(2))), F.lit(0.0), lambda a, x: a + x)
-    exact = F.least(F.lit(1.0), F.lit(2.0) * F.size(F.filter(signs, lambda s: total(s) <= w + 1e-9)) / F.size(signs))
-    squares = F.aggregate(ranks, F.lit(0.0), lambda a, x: a + x * x)
-    z = (w - n * (n + 1) / 4) / F.sqrt(squares / 4)
-    # Abramowitz and Stegun 26.2.17 for the normal tail (fixed values).
-    k = 1 / (1 + 0.2316419 * F.abs(z))
-    tail = F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * (0.319381530 * k - 0.356563782 * k**2 + 1.781477937 * k**3 - 1.821255978 * k**4 + 1.330274429 * k**5)
-    return F.when(n == 0, 1.0).when(n <= EXACT_PAIRS, exact).otherwise(F.least(F.lit(1.0), 2 * tail))
+    n = len(ranks)
+    if n > EXACT_PAIRS:
+        return math.erfc(abs(w - n * (n + 1) / 4) / math.sqrt((ranks * ranks).sum() / 4) / math.sqrt(2))
+    # Ranks of ties are halves, so twice the ranks are whole: sums of all sign vectors by dynamic programming.
+    twice = np.rint(2 * ranks).astype(int)
+    ways = np.zeros(twice.sum() + 1)
+    ways[0] = 1
+    for k in twice:
+        ways[k:] += ways[: len(ways) - k].copy()
+    return min(1.0, 2 * ways[: int(2 * w + 1e-6) + 1].sum() / 2.0**n) if n else 1.0
+
+
+@F.pandas_udf(T.StructType([T.StructField("w", T.DoubleType()), T.StructField("p", T.DoubleType())]))
+def wilcoxon(d: pd.Series) -> pd.DataFrame:
+    """(w, p) of the signed-rank test over an array of paired differences: zeros are dropped, ranks of equal sizes averaged."""
+    out = []
+    for x in d:
+        x = np.asarray(x, float)
+        x = x[x != 0]
+        size, where, count = np.unique(np.abs(x), return_inverse=True, return_counts=True)
+        rank = (np.cumsum(count) - (count - 1) / 2)[where]
+        w = min(rank[x > 0].sum(), rank[x < 0].sum())
+        out.append((float(w), signed_rank_p(rank, w)))
+    return pd.DataFrame(out, columns=["w", "p"])

@@ -53,43 +53,38 @@ def gain_pivot(df: DataFrame, method: str, baseline: str, datasets: list[str]) -
 
 def seed_pairs(runs: DataFrame, baseline: str = "LDA", n_seeds: int = 5) -> DataFrame:
     """(backbone, dataset, method, seed, accuracy, base, d) of runs paired with the baseline's by seed; only configurations with n_seeds pairs."""
-    keys = [*CONFIG, "seed"]
-    base = runs.filter(F.col("method") == baseline).select(*keys, F.col("accuracy").alias("base"), F.col("time_total").alias("base_time"))
-    pairs = runs.filter(F.col("method") != baseline).join(base, keys).withColumn("d", F.col("accuracy") - F.col("base"))
+    own = Window.partitionBy(*CONFIG, "seed")  # the methods of one seed
+    of = lambda c: F.max(F.when(F.col("method") == baseline, F.col(c))).over(own)
+    pairs = runs.withColumns({"base": of("accuracy"), "base_time": of("time_total"), "_paired": F.max((F.col("method") == baseline).cast("int")).over(own)})
+    pairs = pairs.filter((F.col("method") != baseline) & (F.col("_paired") == 1)).drop("_paired").withColumn("d", F.col("accuracy") - F.col("base"))
     return pairs.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*CONFIG, "method"))).filter(F.col("_n") == n_seeds).drop("_n")
 
 
+_KEYS = [*CONFIG, "method"]
+
+
 def ttest(pairs: DataFrame) -> DataFrame:
     t, n = paired_t(F.col("d"))
-    out = pairs.groupBy(*CONFIG, "method").agg(F.avg("d").alias("mean_diff"), t.alias("t_stat"), n.alias("n"))
+    out = pairs.groupBy(*_KEYS).agg(F.avg("d").alias("mean_diff"), t.alias("t_stat"), n.alias("n"))
     return out.withColumn("p_ttest", t_pvalue(F.col("t_stat"), F.col("n")))
 
 
 def signed_rank(pairs: DataFrame) -> DataFrame:
-    """(…, w_stat, p_wilcoxon): zeros are dropped, ranks of equal raw differences averaged."""
-    group = Window.partitionBy(*CONFIG, "method")
-    size = F.abs("d")
-    nonzero = pairs.filter("d <> 0").withColumn("size", size)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*CONFIG, "method", "size"))
-    ranked = nonzero.withColumn("r", F.rank().over(group.orderBy("size")) + (ties - 1) / 2)
-    sums = ranked.groupBy(*CONFIG, "method").agg(F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("plus"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("minus"), F.sort_array(F.collect_list("r")).alias("ranks"))
-    every = pairs.select(*CONFIG, "method").distinct().join(sums, [*CONFIG, "method"], "left")
-    w = F.coalesce(F.least("plus", "minus"), F.lit(0.0))
-    ranks = F.coalesce("ranks", F.array().cast("array<double>"))
-    return every.select(*CONFIG, "method", w.alias("w_stat"), wilcoxon(ranks, w).alias("p_wilcoxon"))
+    """(…, w_stat, p_wilcoxon) of each method and configuration. The pairs of one are its seeds, hence few."""
+    tested = pairs.groupBy(*_KEYS).agg(F.collect_list("d").alias("d")).withColumn("_t", wilcoxon("d"))
+    return tested.select(*_KEYS, F.col("_t.w").alias("w_stat"), F.col("_t.p").alias("p_wilcoxon"))
 
 
 def significance(runs: DataFrame, baseline: str = "LDA", n_seeds: int = 5) -> DataFrame:
-    """Every method against the baseline in every configuration: means, population deviations, both tests, flags by the t-test, ratio of times."""
+    """Every method against the baseline in every configuration: means, population deviations, both tests, flags by the t-test, ratio of times. One aggregation of the pairs."""
     pairs = seed_pairs(runs, baseline, n_seeds)
-    means = pairs.groupBy(*CONFIG, "method").agg(
+    t, n = paired_t(F.col("d"))
+    out = pairs.groupBy(*_KEYS).agg(
         half_up(F.avg("accuracy"), 3).alias("method_mean"), half_up(F.stddev_pop("accuracy"), 3).alias("method_std"), half_up(F.avg("base"), 3).alias("lda_mean"), half_up(F.stddev_pop("base"), 3).alias("lda_std"),
-        half_up(F.avg("time_total") / F.greatest(F.avg("base_time"), F.lit(0.1)), 2).alias("time_ratio_vs_lda"),
+        half_up(F.avg("time_total") / F.greatest(F.avg("base_time"), F.lit(0.1)), 2).alias("time_ratio_vs_lda"), F.avg("d").alias("mean_diff"), t.alias("t_stat"), n.alias("n"), F.collect_list("d").alias("d"),
     )
-    keys = [*CONFIG, "method"]
-    tests = ttest(pairs).drop("n").join(signed_rank(pairs), keys)
-    out = means.join(tests, keys)
-    return out.select(*keys, "method_mean", "method_std", "lda_mean", "lda_std", half_up("mean_diff", 3).alias("mean_diff"), half_up("t_stat", 4).alias("t_stat"), half_up("p_ttest", 6).alias("p_ttest"), half_up("w_stat", 4).alias("w_stat"), half_up("p_wilcoxon", 6).alias("p_wilcoxon"), (F.col("p_ttest") < 0.05).alias("significant_005"), (F.col("p_ttest") < 0.01).alias("significant_001"), "time_ratio_vs_lda")
+    out = out.withColumns({"p_ttest": t_pvalue(F.col("t_stat"), F.col("n")), "_t": wilcoxon("d")}).withColumns({"w_stat": F.col("_t.w"), "p_wilcoxon": F.col("_t.p")})
+    return out.select(*_KEYS, "method_mean", "method_std", "lda_mean", "lda_std", half_up("mean_diff", 3).alias("mean_diff"), half_up("t_stat", 4).alias("t_stat"), half_up("p_ttest", 6).alias("p_ttest"), half_up("w_stat", 4).alias("w_stat"), half_up("p_wilcoxon", 6).alias("p_wilcoxon"), (F.col("p_ttest") < 0.05).alias("significant_005"), (F.col("p_ttest") < 0.01).alias("significant_001"), "time_ratio_vs_lda")
 
 
 def costs(runs: DataFrame) -> DataFrame:

@@ -53,8 +53,16 @@ def test_wilcoxon_enumeration(spark):
     from pyspark.sql import functions as F
 
     for w in (0.0, 3.0, 7.5):
-        p = spark.range(1).select(stats.wilcoxon(F.array(*[F.lit(r) for r in ranks]), F.lit(w))).first()[0]
-        assert p == min(1.0, 2 * sum(s <= w for s in sums) / 64)
+        assert stats.signed_rank_p(np.array(ranks), w) == min(1.0, 2 * sum(s <= w for s in sums) / 64)
+    # The same differences as an array: sizes 2, 2, 3, 4, 5, 6 and two zeros.
+    got = spark.range(1).select(stats.wilcoxon(F.array(*[F.lit(x) for x in (2.0, -2.0, 3.0, 0.0, -4.0, 5.0, 6.0, 0.0)]))).first()[0]
+    assert got.w == 5.5 and got.p == min(1.0, 2 * sum(s <= 5.5 for s in sums) / 64)
+    assert tuple(spark.range(1).select(stats.wilcoxon(F.array(F.lit(0.0)))).first()[0]) == (0.0, 1.0)
+    many = {0: 1}
+    for r in range(1, 31):  # exact far beyond what can be listed
+        many = {s: many.get(s, 0) + many.get(s - r, 0) for s in range(r * (r + 1) // 2 + 1)}
+    assert abs(stats.signed_rank_p(np.arange(1.0, 31), 120) - 2 * sum(n for s, n in many.items() if s <= 120) / 2**30) < 1e-12
+    assert abs(stats.signed_rank_p(np.arange(1.0, 51), 400) - stats.signed_rank_p(np.arange(1.0, 52), 420)) < 0.05
 
 
 def test_pareto_definitions(spark):
