@@ -123,12 +123,16 @@ def _comparable(value: Column) -> Column:
 
 
 def _signatures(cells: DataFrame, fields: DataFrame, own: str, step: str, other_runs: DataFrame) -> DataFrame:
-    """Order-free digest of each field's cells over the runs that both files of a step hold. own: column of fields with the file that holds it."""
-    long = cells.filter("line_no > 0").select(F.col("file_id").alias(own), F.col("cells")["run_id"].alias("run"), F.explode("cells").alias("field_name", "value"))
-    long = long.filter(F.col("run").isNotNull()).join(fields.select(own, step, "field_name", "position"), [own, "field_name"]) if own != step else long.filter(F.col("run").isNotNull()).join(fields.select(own, "field_name", "position"), [own, "field_name"])
-    shared = long.withColumn("run", _comparable(F.col("run"))).join(other_runs, [step, "run"], "left_semi").distinct()
-    h = F.xxhash64("run", _comparable(F.col("value")))
-    return shared.groupBy(step, "field_name", "position").agg(F.struct(F.count(F.lit(1)), F.sum(h.cast("decimal(38,0)")), F.expr("bit_xor(xxhash64(run, value IS NULL))")).alias("signature"))
+    """Order-free digest of each field's cells over the runs that both files of a step hold. own: column of fields with the file that holds it.
+
+    Lines that the other file has no run of are dropped before any cell is taken out, and only the cells of fields are.
+    """
+    wanted = fields.groupBy(*{own, step}).agg(F.collect_list(F.struct("field_name", "position")).alias("wanted"))  # at most the names of a header
+    lines = cells.filter(F.col("line_no") > 0).select(F.col("file_id").alias(own), _comparable(F.col("cells")["run_id"]).alias("run"), "cells").filter(F.col("run") != "-")
+    shared = lines.join(small(wanted, 200_000), own).join(other_runs, [step, "run"], "left_semi")
+    long = shared.select(step, "run", "cells", F.explode("wanted").alias("w")).select(step, "run", "w.*", _comparable(F.col("cells")[F.col("w.field_name")]).alias("value")).distinct()
+    h = F.xxhash64("run", "value")
+    return long.groupBy(step, "field_name", "position").agg(F.struct(F.count(F.lit(1)), F.sum(h.cast("decimal(38,0)")), F.expr("bit_xor(xxhash64(run, value = '-'))")).alias("signature"))
 
 
 def changes(files: DataFrame, cells: DataFrame, types: DataFrame) -> DataFrame:
