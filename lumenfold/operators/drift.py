@@ -129,8 +129,9 @@ def _signatures(cells: DataFrame, fields: DataFrame, own: str, step: str, other_
     """
     wanted = fields.groupBy(*{own, step}).agg(F.collect_list(F.struct("field_name", "position")).alias("wanted"))  # at most the names of a header
     lines = cells.filter(F.col("line_no") > 0).select(F.col("file_id").alias(own), _comparable(F.col("cells")["run_id"]).alias("run"), "cells").filter(F.col("run") != "-")
-    shared = lines.join(small(wanted, 200_000), own).join(other_runs, [step, "run"], "left_semi")
-    long = shared.select(step, "run", "cells", F.explode("wanted").alias("w")).select(step, "run", "w.*", _comparable(F.col("cells")[F.col("w.field_name")]).alias("value")).distinct()
+    narrow = lines.join(small(wanted, 200_000), own).select(step, "run", F.transform("wanted", lambda w: F.struct(w["field_name"].alias("field_name"), w["position"].alias("position"), F.col("cells")[w["field_name"]].alias("value"))).alias("wanted"))
+    shared = narrow.join(other_runs, [step, "run"], "left_semi")
+    long = shared.select(step, "run", F.inline("wanted")).withColumn("value", _comparable(F.col("value"))).distinct()
     h = F.xxhash64("run", "value")
     return long.groupBy(step, "field_name", "position").agg(F.struct(F.count(F.lit(1)), F.sum(h.cast("decimal(38,0)")), F.expr("bit_xor(xxhash64(run, value = '-'))")).alias("signature"))
 
