@@ -75,3 +75,8 @@ def test_command_line(spark, tmp_path, capsys):
     rows.write.parquet(str(tmp_path / "f"))
     cli.main(["--features", str(tmp_path / "f"), "--methods", "PCA", "--out", str(tmp_path / "r")])
     assert spark.read.parquet(str(tmp_path / "r")).first().status == "OK"
+    spark.read.parquet(str(tmp_path / "f")).selectExpr("*", "'b' backbone", "if(sample_id % 2 = 0, 'd', 'e') dataset").write.parquet(str(tmp_path / "g"))
+    for study in ("repeated", "sweep", "per-class"):
+        cli.main(["--features", str(tmp_path / "g"), "--backbone", "b", "--dataset", "d", "--study", study, "--methods", "PCA", "--components", "5", "--seeds", "1", "2", "--out", str(tmp_path / study)])
+        got = spark.read.parquet(str(tmp_path / study))
+        assert got.count() == {"sweep": 22, "repeated": 2, "per-class": 10}[study]
