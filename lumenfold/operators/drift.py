@@ -321,4 +321,35 @@ def p6_failed_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found, "p6_table": p6_table, "p6_failed_casts": p6_failed_casts}
-ORACLES: dict[str, str] = {}
+_BLANKS_SQL = r"E' \t\r\n﻿'"
+# A cell is a run of quoted parts and of characters that are neither quotes nor the delimiter.
+_SPLIT_SQL = "CASE d " + " ".join(rf"""WHEN {q} THEN regexp_extract_all({{0}} || {q}, '((?:"[^"]*"|[^"{r}])*){e}', 1)""" for q, r, e in ((r"','", ",", ","), (r"';'", ";", ";"), (r"chr(9)", r"\t", r"\t"), (r"'|'", "|", r"\|"))) + " END"
+_CLEAN_SQL = rf"""list_transform(list_transform({{0}}, lambda c: trim(c, {_BLANKS_SQL})), lambda c: CASE WHEN length(c) > 1 AND starts_with(c, '"') AND ends_with(c, '"') THEN trim(replace(substr(c, 2, length(c) - 2), '""', '"'), {_BLANKS_SQL}) ELSE c END)"""
+_NUMBER_SQL = r"'^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$'"
+_CELLS_SQL = rf"""WITH firsts AS (SELECT folder, table_name, seq_no, min(file_id) AS file_id, arg_min(delimiter, file_id) AS delimiter FROM result_files GROUP BY ALL),
+chain AS (SELECT *, lag(file_id) OVER (PARTITION BY folder, table_name ORDER BY seq_no) AS prev FROM firsts),
+heads AS (SELECT file_id, min(line_text) AS header FROM result_lines WHERE line_no = 0 GROUP BY file_id),
+known AS (SELECT file_id, prev, header, CASE WHEN length(delimiter) = 1 AND contains(header, delimiter) THEN delimiter ELSE list_sort([{", ".join(f"{{'n': length(header) - length(replace(header, {q}, '')), 'i': -{i}, 'd': {q}}}" for i, q in enumerate(("','", "';'", "chr(9)", "'|'")))}], 'DESC')[1].d END AS d FROM chain JOIN heads USING (file_id) WHERE header IS NOT NULL),
+named AS (SELECT *, {_CLEAN_SQL.format(_SPLIT_SQL.format("header"))} AS names FROM known),
+long AS (SELECT file_id, line_no, names[i] AS field_name, i, CASE WHEN lower(cells[i]) NOT IN ('', 'na', 'null', 'nan') THEN cells[i] END AS value FROM (SELECT file_id, line_no, names, {_CLEAN_SQL.format(_SPLIT_SQL.format("line_text"))} AS cells, unnest(range(1, len(names) + 1)) AS i FROM named JOIN result_lines USING (file_id) WHERE regexp_matches(line_text, '[^ \t\r\n]'))),
+cells AS (SELECT file_id, line_no, field_name, min(i) AS position, arg_min(coalesce(value, '-'), i) AS v, CASE WHEN arg_min(value IS NULL, i) THEN NULL ELSE arg_min(coalesce(value, ''), i) END AS value FROM long GROUP BY ALL),
+types AS (SELECT file_id, field_name, min(position) AS position, CASE WHEN bool_and(value IS NULL OR line_no = 0 OR regexp_matches(value, '^[+-]?[0-9]+$')) THEN 'bigint' WHEN bool_and(value IS NULL OR line_no = 0 OR regexp_matches(value, {_NUMBER_SQL})) THEN 'double' WHEN bool_and(value IS NULL OR line_no = 0 OR lower(value) IN ('true', 'false')) THEN 'boolean' ELSE 'string' END AS type FROM cells GROUP BY ALL),
+step AS (SELECT file_id, prev FROM chain WHERE prev IS NOT NULL),
+now AS (SELECT s.file_id, field_name, type, position FROM step s JOIN types t ON t.file_id = s.file_id),
+before AS (SELECT s.file_id, field_name, type, position FROM step s JOIN types t ON t.file_id = s.prev),
+gone AS (SELECT * FROM before ANTI JOIN now USING (file_id, field_name)),
+fresh AS (SELECT * FROM now ANTI JOIN before USING (file_id, field_name)),
+comparable AS (SELECT file_id AS own, line_no, field_name, CASE WHEN value IS NULL THEN '-' WHEN regexp_matches(value, {_NUMBER_SQL}) THEN 'n' || CAST(CAST(value AS DOUBLE) + 0.0 AS VARCHAR) ELSE 't' || value END AS c FROM cells WHERE line_no > 0),
+runs AS (SELECT own, line_no, c AS run FROM comparable WHERE field_name = 'run_id' AND c <> '-'),
+both_runs AS (SELECT DISTINCT s.file_id, a.run FROM step s JOIN runs a ON a.own = s.file_id JOIN runs b ON b.own = s.prev AND b.run = a.run),
+old_signs AS (SELECT g.file_id, g.field_name, g.position, list(DISTINCT r.run || '=' || c.c ORDER BY r.run || '=' || c.c) AS signs FROM gone g JOIN step s USING (file_id) JOIN comparable c ON c.own = s.prev AND c.field_name = g.field_name JOIN runs r ON r.own = c.own AND r.line_no = c.line_no JOIN both_runs b ON b.file_id = g.file_id AND b.run = r.run GROUP BY ALL),
+new_signs AS (SELECT g.file_id, g.field_name, g.position, list(DISTINCT r.run || '=' || c.c ORDER BY r.run || '=' || c.c) AS signs FROM fresh g JOIN comparable c ON c.own = g.file_id AND c.field_name = g.field_name JOIN runs r ON r.own = c.own AND r.line_no = c.line_no JOIN both_runs b ON b.file_id = g.file_id AND b.run = r.run GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY file_id, signs ORDER BY position, field_name) AS nth FROM old_signs), n AS (SELECT *, row_number() OVER (PARTITION BY file_id, signs ORDER BY position, field_name) AS nth FROM new_signs),
+renames AS (SELECT n.file_id, n.field_name, o.field_name AS old_name FROM o JOIN n USING (file_id, signs, nth)),
+"""
+ORACLES: dict[str, str] = {
+    "p6_found": _CELLS_SQL
+    + """retyped AS (SELECT file_id, field_name FROM now JOIN before USING (file_id, field_name) WHERE now.type <> before.type UNION ALL SELECT r.file_id, r.field_name FROM renames r JOIN now ON now.file_id = r.file_id AND now.field_name = r.field_name JOIN before ON before.file_id = r.file_id AND before.field_name = r.old_name WHERE now.type <> before.type)
+SELECT file_id, field_name, 'renamed' AS change_kind FROM renames UNION ALL SELECT file_id, field_name, 'retyped' FROM retyped
+UNION ALL SELECT g.file_id, g.field_name, 'removed' FROM gone g ANTI JOIN renames r ON r.file_id = g.file_id AND r.old_name = g.field_name UNION ALL SELECT g.file_id, g.field_name, 'added' FROM fresh g ANTI JOIN renames r USING (file_id, field_name)"""
+}
