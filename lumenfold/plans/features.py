@@ -358,6 +358,40 @@ def feature_cache_scan(spark, sf_dir):
     return cached.groupBy("backbone", "dataset", "split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("classes"), F.max(F.when(F.col("features").isNotNull(), F.size("features"))).cast("long").alias("feature_dim"))
 
 
+@query(f"WITH {_X} SELECT CAST(i AS INTEGER) AS dim, round(sum(v * (1 + id % 3)) / sum(1 + id % 3), 9) AS mean FROM x GROUP BY i")
+def weighted_global_mean(spark, sf_dir):
+    """Mean of every feature under the weights 1 + id mod 3."""
+    m = moments(vectors(spark, sf_dir).withColumn("w", 1 + F.col("sample_id") % 3), "features", "label", "w")
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(m.mean)], "dim int, mean double").withColumn("mean", half_up("mean", 9))
+
+
+@query("WITH l AS (SELECT class_id, CAST(row_number() OVER (ORDER BY md5(class_id)) - 1 AS INTEGER) AS label FROM (SELECT DISTINCT class_id FROM tiny_imagenet WHERE class_id IS NOT NULL)) SELECT rec_id, class_id, label FROM tiny_imagenet JOIN l USING (class_id)")
+def listed_class_index(spark, sf_dir):
+    """Labels of image records by the line of their class in a list, which is written as a file and read again."""
+    images = spark.read.parquet(f"{sf_dir}/tiny_imagenet.parquet").select("rec_id", "class_id")
+    path = stage_path(spark, "wnids")
+    images.select("class_id").filter("class_id IS NOT NULL").distinct().orderBy(F.md5("class_id")).coalesce(1).write.text(path)  # a registry of names
+    return images.join(small(src.class_index(images, "class_id", src.listed_lines(spark, path, "class_id"))), "class_id").select("rec_id", "class_id", "label")
+
+
+@query("WITH named AS (SELECT rec_id, img_path AS path, regexp_extract(img_path, '[^/]*$') AS img_name, class_id FROM tiny_imagenet WHERE img_path IS NOT NULL), notes AS (SELECT img_name, min(class_id) AS class_id FROM named WHERE class_id IS NOT NULL GROUP BY ALL) SELECT n.rec_id, notes.class_id, regexp_replace(path, '(/images)?/[^/]*$', '') || '/' || notes.class_id || '/images/' || n.img_name AS new_path FROM named n JOIN notes USING (img_name)")
+def reorganized_paths(spark, sf_dir):
+    """Where every image would lie if each class had its folder, by annotations of image names."""
+    images = spark.read.parquet(f"{sf_dir}/tiny_imagenet.parquet").filter("img_path IS NOT NULL").select("rec_id", F.col("img_path").alias("path"), "class_id")
+    notes = images.filter("class_id IS NOT NULL").select(F.substring_index("path", "/", -1).alias("img_name"), "class_id")
+    return src.annotated_paths(images.drop("class_id"), notes).select("rec_id", "class_id", "new_path")
+
+
+@query(f"WITH {_SPLIT}, x AS (SELECT id, split, unnest(range(len(v))) AS i, unnest(v) AS v FROM sp), s AS (SELECT i, avg(v) AS m, stddev_pop(v) AS sd FROM x WHERE split = 'train' GROUP BY i) SELECT CAST(i AS INTEGER) AS dim, count(*) AS n, round(avg((v - m) / sd), 6) AS mean, 10 AS classes, 64 AS feature_dim FROM x JOIN s USING (i) WHERE split = 'test' GROUP BY i")
+def standardized_facade(spark, sf_dir):
+    """Means of the test vectors of a cached configuration, standardised by its training vectors."""
+    path = stage_path(spark, "cache")
+    src.cached_features(spark, path, lambda: split_vectors(spark, sf_dir).withColumns({"backbone": F.lit("own"), "dataset": F.lit("embeddings")}))
+    _, test, classes, d = src.standardized_features(spark, path, "own", "embeddings")
+    long = test.select(F.posexplode("features_std").alias("dim", "v"))
+    return long.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), half_up(F.avg("v"), 6).alias("mean")).withColumns({"classes": F.lit(classes), "feature_dim": F.lit(d)})
+
+
 # Reducers over whole tables: the reduced vectors of every row.
 K = 9
 

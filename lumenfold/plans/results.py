@@ -283,3 +283,9 @@ def row_append_sink(spark, sf_dir):
     for half in (0, 1):
         src.append_rows(rows.filter(F.col("bench_id") % 2 == half), path)
     return src.read_csv(spark, path, T.StructType([T.StructField("bench_id", T.LongType()), *[T.StructField(c, T.StringType()) for c in ("method", "accuracy", "time_total")]]))
+
+
+@query("WITH " + src.FINAL_SQL + " SELECT result_id, backbone, dataset, method, accuracy FROM finals WHERE status = 'OK' ORDER BY accuracy DESC, result_id LIMIT 10")
+def best_results(spark, sf_dir):
+    """The ten best results of all."""
+    return src.final_results(spark, sf_dir).filter("status = 'OK'").orderBy(F.desc("accuracy"), "result_id").limit(10).select("result_id", "backbone", "dataset", "method", "accuracy")
