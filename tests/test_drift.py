@@ -186,3 +186,13 @@ def test_no_value_is_lost(spark):
             else:
                 assert table[key][c] == want and n not in table[key].other_values
     assert not reported and cells > 30_000 and failed > 0
+
+
+def test_hot_file(spark, tables):
+    """One file holds most of the lines: its lines are dealt to several tasks, and nothing of it is lost."""
+    lines = [f"{i},{i * 2},x" for i in range(3000)]
+    put(tables, [(1, "f", "t", 1, ","), (2, "f", "t", 2, ","), (3, "g", "t", 1, ",")], {1: ["run_id,a,b", *lines], 2: ["run_id,c,b", *lines[:50]], 3: ["run_id,a,b", "1,2,x"]})
+    assert d.Drift(spark, tables.dir).hot.collect()[0][0] == 1
+    assert changes(spark, tables) == [(2, "c", "renamed")]
+    table = d.p6_table(spark, tables.dir)
+    assert table.count() == 3051 and table.filter("size(other_values) > 0").count() == 0 and table.filter("a IS NULL").count() == 0
