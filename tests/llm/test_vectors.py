@@ -197,6 +197,20 @@ def test_chunks_cover_the_record():
     assert np.mean(shared) > 0.5 and max(shared) < 1
 
 
+def test_mass_of_copies(spark, tables):
+    """A third of the vectors are copies of one in both splits: its pairs come out whole, each vector with its k least copies as neighbours."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((401, 32))
+    data = [(i, "a", "c", "train" if i % 3 else "test", None, 1, [float(x) for x in (base[400] if i < 200 else base[i - 200])]) for i in range(600)]
+    tables("extract_features_multi", data, SCHEMA)
+    tables("cub200", [], CUB)
+    got = set(rows(chunks.p5_found(spark, tables.dir)))
+    assert got == {(min(i, j), max(i, j)) for i in range(200) for j in range(200) if i % 3 and not j % 3}
+    found = set(rows(mih.p4_found(spark, tables.dir)))
+    first = lambda i: [j for j in range(7) if j != i][:5]
+    assert found == {(min(i, j), max(i, j)) for i in range(200) for j in first(i)}
+
+
 def test_hot_chunk_is_salted(spark):
     key = lambda h: (h << 22) | (10 << 16) | 100
     left = spark.createDataFrame([(i, key(1 if i < 3000 else i)) for i in range(6000)], "id long, digest long")
