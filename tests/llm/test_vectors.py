@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 from conftest import rows
@@ -184,6 +185,59 @@ def test_pairs_that_share_little(spark, tables):
     assert len(got & {(2 * i, 2 * i + 1) for i in range(1500)}) >= 1497
 
 
+def _spread(n, pairs, seed=12):
+    """n vectors of each split, the first pairs of which are nearly the same."""
+    rng = np.random.default_rng(seed)
+    train, other = rng.standard_normal((n, 64)), rng.standard_normal((n, 64))
+    for i in range(pairs):
+        other[i] = near(rng, train[i], 0.986)
+    return [(2 * i + t, "a", "c", ("train", "test")[t], None, 1, [float(x) for x in v]) for t, side in enumerate((train, other)) for i, v in enumerate(side)]
+
+
+def test_chance_pairs_are_not_moved(spark, tables, monkeypatch):
+    """Records that share a chunk by chance, here some 1,000 pairs and growing with the square, end in the join of digests; no shuffle file stays."""
+    tables("extract_features_multi", _spread(2000, 40), SCHEMA)
+    tables("cub200", [], CUB)
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    files = lambda: {f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(env.blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    handed, before = [], files()
+    measure = chunks.cosines
+    monkeypatch.setattr(chunks, "cosines", lambda pairs, *a: handed.append(pairs.count()) or measure(pairs, *a))
+    found = chunks.p5_found(spark, tables.dir)
+    assert 40 <= handed[0] <= 60
+    for _ in range(50):
+        if not (left := sum(f.endswith(".data") for f in files() - before)):
+            break
+        time.sleep(0.2)
+    assert left <= 8  # of the counts that are not staged
+    assert set(rows(found)) == {(2 * i, 2 * i + 1) for i in range(40)}
+
+
+def test_passes_give_the_same_pairs(spark, tables, monkeypatch):
+    tables("extract_features_multi", _spread(300, 100), SCHEMA)
+    tables("cub200", [], CUB)
+    whole = sorted(rows(chunks.p5_found(spark, tables.dir)))
+    assert whole == [(2 * i, 2 * i + 1) for i in range(100)]
+    for at_once in (1, 600 * 4):  # a view in each pass; four, four and two
+        monkeypatch.setattr(chunks, "VIEWS_AT_ONCE", at_once)
+        assert sorted(rows(chunks.p5_found(spark, tables.dir))) == whole
+
+
+def test_sketches_bound_the_distance(spark):
+    rng = np.random.default_rng(5)
+    for d in (3, 16, 64):
+        a = rng.standard_normal((400, d)) * rng.choice([1.0, 9.0], (400, d))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b = np.array([near(rng, v, 0.985) for v in a])
+        b /= np.linalg.norm(b, axis=1, keepdims=True)
+        turn = chunks.rotations(d, 1)[:, : chunks.SKETCH]
+        x, y = chunks.sketches(a, turn), chunks.sketches(b, turn)
+        step = ((x.view(np.int8).astype(int) - y.view(np.int8)) ** 2).sum(axis=1)
+        assert step.max() <= chunks.farthest(0.985)
+        both = spark.createDataFrame(np.concatenate([x, y], axis=1).tolist(), "a0 long, a1 long, b0 long, b1 long")
+        assert [r[0] for r in both.select(chunks.apart("a0", "b0") + chunks.apart("a1", "b1")).collect()] == step.tolist()
+
+
 def test_chunks_cover_the_record():
     rng = np.random.default_rng(3)
     symbols = rng.integers(0, 2, (50, 200)).astype(np.uint8)
